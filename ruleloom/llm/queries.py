@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom.llm import decontaminate, license_scan, url_filter
+from ruleloom.llm import decontaminate, jaccard_join, license_scan, toxicity, url_filter
 from ruleloom.llm.common import table
 
 
@@ -13,6 +13,16 @@ def op1_url_filters(spark, sf_dir):
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).drop("text", "spans")
@@ -28,6 +38,8 @@ def op8_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_toxicity": op3_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op4_license_scans": op4_license_scans,
     "op8_decontamination": op8_decontamination,
 }
@@ -48,4 +60,38 @@ best AS (
 listed AS (SELECT DISTINCT page_id FROM p JOIN l ON p.host = l.h OR ends_with(p.host, '.' || l.h))
 SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.v, CASE WHEN listed.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id) LEFT JOIN listed USING (page_id)""",
+    "op7_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+linked AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON s.doc_id = m.x""",
+    "op8_decontamination": """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, unnest(list_transform(generate_series(1, greatest(len(w) - 12, 1)), lambda i: array_to_string(w[i:i + 12], ' '))) AS k
+  FROM b WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, size, unnest(generate_series(1, len(w) - size + 1)) AS pos, unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS k
+  FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size),
+hit AS (SELECT doc_id, item_id, pos, size FROM dw JOIN bw USING (size, k)),
+n_hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS i FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit.n, 0) AS n_hit, CAST(coalesce(len(items.i), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items.i, ','), '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AND 20 * coalesce(n_hit.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
