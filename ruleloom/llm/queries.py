@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom.llm import decontaminate, jaccard_join, license_scan, toxicity, url_filter
+from ruleloom.llm import decontaminate, jaccard_join, license_scan, substring_dedup, toxicity, url_filter
 from ruleloom.llm.common import table
 
 
@@ -36,11 +36,17 @@ def op8_decontamination(spark, sf_dir):
     )
 
 
+def op9_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).drop("text")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_toxicity": op3_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op4_license_scans": op4_license_scans,
+    "op9_substring_dedup": op9_substring_dedup,
     "op8_decontamination": op8_decontamination,
 }
 
@@ -94,4 +100,14 @@ items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS i FROM hit GROUP B
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit.n, 0) AS n_hit, CAST(coalesce(len(items.i), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(items.i, ','), '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AND 20 * coalesce(n_hit.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 49)) AS i, unnest(list_transform(generate_series(1, len(w) - 49), lambda i: array_to_string(w[i:i + 49], ' '))) AS k
+  FROM d WHERE len(w) >= 50),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN first USING (k) WHERE doc_id > m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone.p), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone.p IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda x: NOT list_contains(gone.p, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
 }
