@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom.llm import decontaminate, jaccard_join, license_scan, substring_dedup, toxicity, url_filter
+from ruleloom.llm import ann, decontaminate, html_text, jaccard_join, license_scan, substring_dedup, toxicity, url_filter
 from ruleloom.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_url_filters(spark, sf_dir):
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages, url_filter.host_of(F.col("url"))).select("page_id", "url", "text", "n_chars")
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +52,8 @@ def op9_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op5_html_extraction": op5_html_extraction,
     "op3_toxicity": op3_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op4_license_scans": op4_license_scans,
