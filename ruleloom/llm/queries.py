@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom.llm import ann, decontaminate, html_text, jaccard_join, license_scan, substring_dedup, toxicity, url_filter
+from ruleloom.llm import ann, decontaminate, html_text, jaccard_join, license_scan, segment_sampling, substring_dedup, toxicity, url_filter
 from ruleloom.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_segment_sampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segment_sampling.sample_segmentations(docs).drop("text")
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op5_html_extraction": op5_html_extraction,
     "op3_toxicity": op3_toxicity,
+    "op6_segment_sampling": op6_segment_sampling,
     "op7_jaccard_join": op7_jaccard_join,
     "op4_license_scans": op4_license_scans,
     "op9_substring_dedup": op9_substring_dedup,
