@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ruleloom.llm import ann, decontaminate, html_text, jaccard_join, license_scan, segment_sampling, substring_dedup, toxicity, url_filter
+from ruleloom.llm import ann, decontaminate, html_text, jaccard_join, license_scan, masked_lm, segment_sampling, substring_dedup, toxicity, url_filter
 from ruleloom.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(docs).drop("text")
 
 
+def op10_masked_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score_documents(docs, masked_lm.fit(docs)).drop("text")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_segment_sampling": op6_segment_sampling,
     "op7_jaccard_join": op7_jaccard_join,
     "op4_license_scans": op4_license_scans,
+    "op10_masked_lm": op10_masked_lm,
     "op9_substring_dedup": op9_substring_dedup,
     "op8_decontamination": op8_decontamination,
 }
