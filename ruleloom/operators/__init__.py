@@ -1 +1 @@
-"""operators."""
+"""Column-level operators: units, instants, durations, complex numbers, collections."""

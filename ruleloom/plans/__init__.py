@@ -1 +1 @@
-"""plans."""
+"""Trees: reading, building, lowering to Catalyst columns, SQL text."""
