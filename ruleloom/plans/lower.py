@@ -599,7 +599,8 @@ class Lowering:
         portable = op.startswith("portable")
         negated = op in ("notMatches", "portableNotMatches")
         if b.literal is None:
-            return self.op(ab, "boolean", lambda c: _match_udf(portable, negated)(c[0], c[1]), lambda c: reason("wrong-type", F.concat(F.lit("'"), c[1], F.lit("' is not a valid regular expression pattern"))))
+            found = self.attached(_match_udf(portable, negated), ab)
+            return self.op(ab, "boolean", lambda c: F.when(c[0].isNotNull() & c[1].isNotNull(), found), lambda c: reason("wrong-type", F.concat(F.lit("'"), c[1], F.lit("' is not a valid regular expression pattern"))))
         try:
             tree = rx.parse(b.literal) if portable else rx.parse_ecma(b.literal)
             machine = rx.Automaton(tree)
@@ -607,7 +608,43 @@ class Lowering:
             text = f"'{b.literal}' is not a valid portable pattern: {e}" if portable else f"'{b.literal}' is not a valid regular expression pattern"
             return self.wrong(ab, text, "boolean")
         most = min(rx.nfa.MAX_INPUT, rx.nfa.MAX_WORK // len(machine.code) - 1)
-        return self.op([a], "boolean", _pattern(tree, negated, most), lambda _: reason("domain-error", f"the text cannot be tested against '{b.literal}'"), twice=True)
+        return self.op([a], "boolean", self.pattern(a, tree, negated, most), lambda _: reason("domain-error", f"the text cannot be tested against '{b.literal}'"), twice=True)
+
+    def attached(self, udf, evs: list[Ev]) -> Column:
+        """A Python function's result as a column of its own: lambdas, which bind operands, can't call Python."""
+        if self.place.item:
+            raise BindingError("patterns from data can't be tested inside the items of a nested array")
+        name, args = self.fresh(), [e.s["v"] if self.explain else e.s for e in evs]
+        self.steps.append(lambda df: df.withColumn(name, udf(*args)))
+        return F.col(name)
+
+    def pattern(self, a: Ev, tree, negated: bool, most: int):
+        """The test of a fixed pattern; NULL for texts beyond the matcher's limits. Java's matcher counts characters and
+        backtracks; where that tells, the bounded matcher judges (but inside nested items, where Python can't run)."""
+        fast, item = rx.fast_form(tree), self.place.item
+        slow = not fast and not item and rx.java.may_explode(tree)
+        astral = not fast and not item and not slow and rx.java.splits_astral(tree)
+        beyond = "[\\x{10000}-\\x{10FFFF}]"
+        exact = None
+        if slow or astral:
+            text = a if slow else replace(a, s=F.when(a.s["v"].rlike(beyond), a.s["v"]) if self.explain else F.when(a.s.rlike(beyond), a.s))
+            exact = replace(self, explain=False).attached(_nfa_udf(tree), [replace(text, s=text.s["v"]) if slow and self.explain else text])
+
+        def value(c):
+            x = c[0]
+            if fast:
+                form, text = fast
+                hit = x == text if form == "equals" else getattr(x, form)(F.lit(text))
+            elif slow:
+                hit = F.when(x.isNotNull(), exact)
+            else:
+                hit = x.rlike(rx.render(tree))
+                if astral:  # units and characters differ only beyond the basic plane
+                    hit = F.when(x.rlike(beyond), exact).otherwise(hit)
+            hit = F.when(F.length(x) <= most, hit)
+            return ~hit if negated else hit
+
+        return value
 
     def p_memberOf(self, n):
         a = self.expression(n["operand"])
@@ -879,7 +916,9 @@ class Lowering:
         if filter_:
             members = F.filter(array, lambda x: F.coalesce(verdict_of(x)["v"], F.lit(True)))
             unknown = F.get(F.filter(F.transform(array, verdict_of), lambda s: s["v"].isNull()), F.lit(0))
-        s = F.aggregate(members, start.s, merge)
+        # the running verdict has the type of the first one, whose value may be a literal: say that it can become NULL
+        first = F.struct(F.when(F.lit(False), null_of(k)).otherwise(start.s["v"]).alias("v"), start.s["r"].alias("r"))
+        s = F.aggregate(members, first, merge)
         if filter_:
             s = F.when(unknown.isNotNull(), F.struct(null_of(k).alias("v"), unknown["r"].alias("r"))).otherwise(s)
         return Ev(k, s if self.explain else s["v"], start.unit, start.finite, BIND_FROM)
@@ -901,28 +940,6 @@ def _joiner(grouped: DataFrame, parent_key: list[str], name: str, columns: dict)
     return attach
 
 
-def _pattern(tree, negated: bool, most: int):
-    """The test of a fixed pattern; NULL for texts beyond the matcher's limits."""
-    fast = rx.fast_form(tree)
-
-    def value(c):
-        x = c[0]
-        if fast:
-            form, text = fast
-            hit = x == text if form == "equals" else getattr(x, form)(F.lit(text))
-        elif rx.java.may_explode(tree):
-            hit = _nfa_udf(tree)(x)
-        else:
-            hit = x.rlike(rx.render(tree))
-            if rx.java.splits_astral(tree):
-                # units and characters differ only beyond the basic plane
-                hit = F.when(x.rlike("[\\x{10000}-\\x{10FFFF}]"), _nfa_udf(tree)(x)).otherwise(hit)
-        hit = F.when(F.length(x) <= most, hit)
-        return ~hit if negated else hit
-
-    return value
-
-
 def _nfa_udf(tree):
     @F.pandas_udf("boolean")
     def test(texts):

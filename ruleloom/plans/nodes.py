@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 MAX_DEPTH, MAX_ITEMS, MAX_VALUES, MAX_STRING, MAX_TEXT = 500, 65_536, 1_000_000, 1_048_576, 4_194_304
 
+# trees may nest MAX_DEPTH deep, and reading takes some calls a level
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
+
 COMPARISONS = ("gt", "gte", "lt", "lte", "eq", "neq")
 TEXT_COMPARISONS = ("equals", "notEquals", "matches", "notMatches", "portableMatches", "portableNotMatches")
 MEMBERSHIPS = ("in", "notIn")

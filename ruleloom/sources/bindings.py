@@ -97,8 +97,8 @@ class Delegate:
 
 
 def _key(k) -> str:
-    """A plain name stands for itself as a JSON string; text that starts like an object or list is canonical JSON already."""
-    return k if k[:1] in ("{", "[") else canonical(k)
+    """A plain name stands for itself as a JSON string; text that starts like a string, object or list is canonical JSON already."""
+    return k if k[:1] in ("{", "[", '"') else canonical(k)
 
 
 @dataclass
