@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import cut, partitions
+from ruleloom.llm.common import cut, partitions, small_batches
 
 TABLES, PROBES, HASHES = 8, 16, 1
 BLOCK = 4000
@@ -131,7 +131,7 @@ def _hashed(df: DataFrame, vector: str, side: int, tables: int, hashes: int, pro
                         names=[c.split()[0] for c in _ROW.split(", ")],
                     )
 
-    return df.mapInArrow(run, _ROW)
+    return small_batches(df).mapInArrow(run, _ROW)
 
 
 def best_in_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):

@@ -73,7 +73,7 @@ def space_words(text: bytes | None, lower: bool = False) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -132,13 +132,37 @@ def append_columns(df: DataFrame, ddl: str, make) -> DataFrame:
         import pyarrow as pa
 
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             got = work(batch)
             arrays = [batch.column(n) for n in names]
             arrays += [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], type=t) for n, t in kinds]
             yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in kinds])
 
-    return df.mapInArrow(run, StructType(keep + new.fields))
+    return small_batches(df).mapInArrow(run, StructType(keep + new.fields))
+
+
+#: Rows of an Arrow batch. Spark sizes its buffers by whole batches, and rows here are texts.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """See that the session passes no larger Arrow batches than BATCH_ROWS to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
+#: Bytes of an Arrow batch that a task works on at a time. Rows that tasks post are as large, and small rows spare the JVM's heap.
+SLICE_BYTES = 1 << 20
+
+
+def sliced(batches, limit: int = SLICE_BYTES):
+    """The batches in slices of about `limit` bytes, so that a task's memory doesn't follow the length of the texts."""
+    for batch in batches:
+        step = max(1, batch.num_rows // max(1, -(-batch.nbytes // limit)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def blobs(batch, name: str) -> list:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, append_columns, blobs, cut
+from ruleloom.llm.common import BROADCAST_BYTES, append_columns, blobs, cut, sliced, small_batches
 
 #: Least pages of a host for its tree to judge; importance below which a branch goes, outside and inside an article.
 MIN_PAGES, THRESHOLD, THRESHOLD_ARTICLE = 5, 0.3, 0.1
@@ -193,7 +193,7 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float =
     def post(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for host, raw in zip(batch.column("host").to_pylist(), blobs(batch, "html")):
                 texts, shows = _features(raw.decode("utf-8", "replace"))
@@ -202,7 +202,7 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float =
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["host", "node", "kind", "feature"])
 
-    once = pages.where("host <> '' and html is not null")
+    once = small_batches(pages).where("host <> '' and html is not null")
     counts = once.select("host", "html").mapInArrow(post, "host string, node long, kind int, feature long").groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"))
     shown = counts.where("kind = 1").groupBy("host", "node").agg(F.sum("c").alias("shown"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
     texts = counts.where("kind = 0").groupBy("host", "node").agg(F.max("c").alias("most"), F.count("*").alias("texts"), F.sum(F.log2("c")).alias("logc"), F.sum("c").alias("all"))

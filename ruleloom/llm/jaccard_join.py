@@ -1,14 +1,16 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents are sets of word shingles (64-bit hashes). Shingles have one global order: rare ones by hash, then frequent
-ones by rising class of their document count. Of two sets with a similarity of at least the threshold, each overlap is
-at least t = ceil(threshold * size); so for every l <= t both share at least l shingles among their first size - t + l.
+Documents are sets of word shingles (64-bit hashes) in one global order: by rising document count, then by hash. Of two
+sets with a similarity of at least the threshold, each overlap is at least t = ceil(threshold * size); so for every
+l <= t both share at least l shingles among their first size - t + l.
 
 1. Exact copies (equal texts) collapse to their smallest doc_id.
-2. All shingles of all documents are counted; those in many documents get their class (a list of bounded size: the
-   count that makes a shingle frequent rises until the list fits).
-3. Every document posts its prefix for l = 1. Equal shingles tie documents into families by stars (each poster to the
-   smallest poster; batches do so locally first, so a shingle in a third of all documents sends one row a batch).
+2. All shingles of all documents are counted. Only documents of whose shingles at least t occur elsewhere can have a
+   partner. Batches post 32-bit fingerprints by ranges of hashes (a shingle that a batch holds twice goes once, without
+   its documents) and get back a number for each document.
+3. The shingles of these documents are counted again, exactly, which gives the order. Each document posts its prefix for
+   l = 1, less the shingles that nobody else has. Equal shingles tie documents into families by stars: each poster to
+   the smallest poster.
 4. Families are verified in groups of bounded size. Each document lengthens its prefix by the estimated cost of its
    candidates, and two documents are compared exactly only if they share min(l, l') prefix shingles. Families beyond
    the bound are cut into blocks: all pairs inside blocks, then a few members of every block among each other, then
@@ -27,13 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import U64, WordHash, append_columns, blobs, broadcast_if_small, cut, partitions, space_words, window_hashes
+from ruleloom.llm.common import SLICE_BYTES, U64, WordHash, append_columns, blobs, broadcast_if_small, cut, partitions, sliced, small_batches, space_words, window_hashes
 from ruleloom.llm.components import Forest, components
 
 WIDTH = 5
 PERCENT = 75
-#: A shingle in so many documents is frequent, and at most so many frequent shingles are broadcast (8 + 1 bytes each).
-FREQUENT, MAX_FREQUENT = 24, 3_000_000
 #: Largest group of documents, and of shingles, that one verification takes.
 GROUP, GROUP_SHINGLES = 256, 2_000_000
 
@@ -61,139 +61,189 @@ def _split(h: np.ndarray, n: int):
     return [(b, slice(int(x), int(y))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
 
 
-def document_counts(docs: DataFrame, width: int, least: int) -> DataFrame:
-    """(shingle, n) of the shingles that at least `least` documents have; all documents count, batches count first."""
+def _batch(names: list[str], kinds: list, rows: list[tuple]):
+    import pyarrow as pa
+
+    cols = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+
+def _shingled(batches, width: int, limit: int = SLICE_BYTES):
+    """(batch number, doc_ids, sets) of every batch; the number is unique in a stage."""
+    from pyspark import TaskContext
+
+    shingles = Shingler(width)
+    for k, batch in enumerate(sliced(batches, limit)):
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        if len(ids):
+            yield TaskContext.get().partitionId() << 32 | k, ids, [shingles(t) for t in blobs(batch, "text")]
+
+
+def active(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id) of the documents of whose shingles enough occur in another document too."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     n = 4 * partitions(spark)
+    names, kinds = ["b", "batch", "one", "per", "many"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
     def post(batches):
-        import pyarrow as pa
-
-        shingles = Shingler(width)
-        for batch in batches:
-            parts = [shingles(t) for t in blobs(batch, "text")]
-            if not parts:
-                continue
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            del parts
-            rows = [(b, h[s][c[s] == 1].tobytes(), h[s][c[s] > 1].tobytes(), c[s][c[s] > 1].astype(np.uint32).tobytes()) for b, s in _split(h, n)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["b", "one", "many", "times"])
-
-    def count(batches):
-        import pyarrow as pa
-
+        for number, ids, sets in _shingled(batches, width):
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            h = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            same = h[1:] == h[:-1]
+            alone = ~(np.append(False, same) | np.append(same, False))
+            local = np.bincount(owner[~alone], minlength=len(sets)).astype(np.uint32)
+            rows = [(-1 - number % n, number, ids.astype(np.int64).tobytes(), sizes.tobytes(), local.tobytes())]
+            for b, part in _split(h, n):
+                low, whose, single = (h[part] & U64(0xFFFFFFFF)).astype(np.uint32), owner[part], alone[part]
+                mine = np.argsort(whose[single], kind="stable")
+                rows.append((b, number, low[single][mine].tobytes(), np.bincount(whose, single, len(sets)).astype(np.uint32).tobytes(), np.unique(low[~single]).tobytes()))
+            del sets, h, owner
+            yield _batch(names, kinds, rows)
+
+    def reply(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for b, one, many, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                held.setdefault(b, []).append((one, many, times))
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if b < 0:
+                    yield _batch(names[1:], kinds[1:], [tuple(row)])
+                else:
+                    held.setdefault(b, []).append(row)
         for b in list(held):
             rows = held.pop(b)
-            one = np.concatenate([np.frombuffer(r[0], U64) for r in rows])
-            many = np.concatenate([np.frombuffer(r[1], U64) for r in rows])
-            times = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
-            h, at = np.unique(np.concatenate([one, many]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([np.ones(len(one)), times]), len(h)).astype(np.int64)
-            keep = total >= least
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(total[keep])], names=["shingle", "n"])
-
-    posted = docs.select("text").mapInArrow(post, "b int, one binary, many binary, times binary")
-    return posted.repartition(partitions(spark), "b").mapInArrow(count, "shingle long, n long")
-
-
-class Order:
-    """The global order: class 0 for rare shingles, else the log2 class of the count."""
-
-    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
-        order = np.argsort(shingles)
-        self.shingles = shingles[order]
-        self.classes = np.log2(np.maximum(counts[order], 1)).astype(np.uint8) + 1
-
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes in the global order, with their classes."""
-        if not len(self.shingles) or not len(h):
-            return h, np.zeros(len(h), np.uint8)
-        at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
-        classes = np.where(self.shingles[at] == h, self.classes[at], 0).astype(np.uint8)
-        order = np.argsort(classes, kind="stable")
-        return h[order], classes[order]
-
-
-def frequent(docs: DataFrame, width: int, least: int = FREQUENT, most: int = MAX_FREQUENT) -> Order:
-    counts = cut(document_counts(docs, width, least))
-    while counts.where(F.col("n") >= least).count() > most:
-        least *= 2
-    rows = counts.where(F.col("n") >= least).toPandas()
-    return Order(rows.shingle.to_numpy(np.int64).view(U64), rows.n.to_numpy(np.int64))
-
-
-def star_links(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """(a, b): documents tied by an equal shingle of their prefixes."""
+            ones = [np.frombuffer(r[1], np.uint32) for r in rows]
+            many = [np.frombuffer(r[3], np.uint32) for r in rows]
+            every = np.concatenate([*ones, *many, *many])
+            _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+            again = times[at] > 1
+            start, out = 0, []
+            for r, one in zip(rows, ones):
+                per = np.frombuffer(r[2], np.uint32)
+                found = np.bincount(np.repeat(np.arange(len(per)), per), again[start : start + len(one)], len(per))
+                out.append((r[0], b"", found.astype(np.uint32).tobytes(), b""))
+                start += len(one)
+            yield _batch(names[1:], kinds[1:], out)
+
+    def decide(batches):
+        total: dict[int, np.ndarray] = {}
+        heads: dict[int, tuple] = {}
+        for batch in batches:
+            for number, one, per, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if one:
+                    heads[number] = (np.frombuffer(one, np.int64), np.frombuffer(per, np.uint32).astype(np.int64))
+                    found = np.frombuffer(many, np.uint32)
+                else:
+                    found = np.frombuffer(per, np.uint32)
+                total[number] = total.get(number, 0) + found.astype(np.int64)
+        for number, (ids, sizes) in heads.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[(100 * total[number] >= percent * sizes) & (sizes > 0)])], names=["doc_id"])
+
+    ddl = "batch long, one binary, per binary, many binary"
+    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b")
+    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").mapInArrow(decide, "doc_id long").distinct()
+
+
+def ordered_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, wanted, h, head): all shingles in the global order, the document's l, and the shared ones of its prefix for l = 1."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     n = 4 * partitions(spark)
+    names, kinds = ["b", "batch", "ids", "h", "n"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
     def post(batches):
-        import pyarrow as pa
+        for number, ids, sets in _shingled(batches, width, SLICE_BYTES // 4):  # a row holds all sets of a slice
+            rows = [(-1 - number % n, number, ids.astype(np.int64).tobytes(), np.concatenate(sets).tobytes(), np.array([len(s) for s in sets], np.uint32).tobytes())]
+            h, times = np.unique(np.concatenate(sets), return_counts=True)
+            rows += [(b, number, b"", h[s].tobytes(), times[s].astype(np.uint32).tobytes()) for b, s in _split(h, n)]
+            yield _batch(names, kinds, rows)
 
-        shingles, ranked = Shingler(width), order.value
+    def reply(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if b < 0:
+                    yield _batch(names[1:], kinds[1:], [tuple(row)])
+                else:
+                    held.setdefault(b, []).append(row)
+        for b in list(held):
+            rows = held.pop(b)
+            parts = [np.frombuffer(r[2], U64) for r in rows]
+            _, at = np.unique(np.concatenate(parts), return_inverse=True)
+            total = np.bincount(at, np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])).astype(np.int64)[at]
+            start, out = 0, []
+            for r, h in zip(rows, parts):
+                t = total[start : start + len(h)]
+                start += len(h)
+                out.append((r[0], b"", h[t > 1].tobytes(), np.minimum(t[t > 1], 2**32 - 1).astype(np.uint32).tobytes()))
+            yield _batch(names[1:], kinds[1:], out)
+
+    def arrange(batches):
+        heads: dict[int, tuple] = {}
+        known: dict[int, list] = {}
         for batch in batches:
-            prefixes, owners = [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), blobs(batch, "text")):
-                h, _ = ranked(shingles(t))
+            for number, ids, h, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if ids:
+                    heads[number] = (ids, h, times)
+                else:
+                    known.setdefault(number, []).append((h, times))
+        for number in list(heads):
+            ids, every, sizes = heads.pop(number)
+            parts = known.pop(number, [])
+            h = np.frombuffer(b"".join(x[0] for x in parts), U64)
+            times = np.frombuffer(b"".join(x[1] for x in parts), np.uint32)
+            order = np.argsort(h)
+            h, times = h[order], times[order]
+            rows, start = [], 0
+            for d, size in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(sizes, np.uint32).tolist()):
+                own = np.frombuffer(every, U64, size, 8 * start)
+                start += size
+                if not size:
+                    continue
+                count = np.ones(size, np.int64)
                 if len(h):
-                    p = h[: len(h) - least_overlap(len(h), percent) + 1]
-                    prefixes.append(p)
-                    owners.append(np.full(len(p), d, np.int64))
-            if not prefixes:
-                continue
-            h, d = np.concatenate(prefixes), np.concatenate(owners)
-            o = np.lexsort((d, h))
-            h, d = h[o], d[o]
-            first = np.append(True, h[1:] != h[:-1])
-            least = d[first][np.cumsum(first) - 1]
-            own = np.unique(np.stack([d, least])[:, d != least], axis=1)
-            h, d = h[first], d[first]
-            rows = [(b, h[s].tobytes(), d[s].tobytes(), b"", b"") for b, s in _split(h, n)]
-            rows.append((0, b"", b"", own[0].tobytes(), own[1].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["b", "h", "d", "x", "y"])
-
-    def tie(batches):
+                    at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                    count = np.where(h[at] == own, times[at], 1).astype(np.int64)
+                o = np.lexsort((own, count))
+                own, count = own[o], count[o]
+                first = size - int(least_overlap(size, percent)) + 1
+                rows.append((d, matches_wanted(size, count, percent), own.tobytes(), own[:first][count[:first] > 1].tobytes()))
+            yield _batch(["doc", "wanted", "h", "head"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
+
+    ddl = "batch long, ids binary, h binary, n binary"
+    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b")
+    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").mapInArrow(arrange, "doc long, wanted int, h binary, head binary")
+
+
+def star_links(sets: DataFrame) -> DataFrame:
+    """(a, b): documents tied by an equal shingle of their prefixes, each to the smallest that has it."""
+
+    def post(batches):
         import pyarrow as pa
 
-        held: dict[int, list] = {}
-        forest = Forest()
         for batch in batches:
-            for b, h, d, x, y in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if h:
-                    held.setdefault(b, []).append((h, d))
-                for p, q in zip(np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist()):
-                    forest.join(p, q)
-        for b in list(held):
-            rows = held.pop(b)
-            h = np.concatenate([np.frombuffer(r[0], U64) for r in rows])
-            d = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
-            o = np.lexsort((d, h))
-            h, d = h[o], d[o]
-            first = np.append(True, h[1:] != h[:-1])
-            least = d[first][np.cumsum(first) - 1]
-            for p, q in np.unique(np.stack([d, least])[:, d != least], axis=1).T.tolist():
-                forest.join(p, q)
-        nodes = list(forest)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
-
-    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, h binary, d binary, x binary, y binary")
-    return posted.repartition(partitions(spark), "b").mapInArrow(tie, "a long, b long")
-
-
-def matches_wanted(n: int, classes: np.ndarray, percent: int) -> int:
+            heads = batch.column("head").to_pylist()
+            h = np.frombuffer(b"".join(heads), np.int64)
+            d = np.repeat(batch.column("doc").to_numpy(), [len(x) // 8 for x in heads])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=["h", "doc"])
+
+    posted = sets.select("doc", "head").mapInArrow(post, "h long, doc long")
+    least = posted.groupBy("h").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b <> last").drop("last")
+    return posted.join(least, "h").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+
+
+def matches_wanted(n: int, counts: np.ndarray, percent: int) -> int:
     """The l of a document: from 1 up, as long as a longer prefix lowers the estimated cost.
 
-    Posting lists are estimated by class (2 for rare shingles); the prefix is paid once for every posting, and the
-    candidates that remain, about postings / l, are paid by a comparison of about n / 16 postings each.
+    The prefix is paid once for every posting of its shingles (their document counts); the candidates that remain, about
+    postings / l, are paid by a comparison of about n / 16 postings each.
     """
     t = int(least_overlap(n, percent))
-    postings = np.cumsum(np.where(classes > 0, 2.0 ** np.minimum(classes, 40), 2.0))
+    postings = np.cumsum(counts.astype(float))
     best, l = None, 1
     while l <= t:
         size = postings[min(n, n - t + l) - 1]
@@ -310,59 +360,43 @@ def verified(members: DataFrame, percent: int, pivots: int = 0) -> DataFrame:
     return members.select(*[c.split()[0] for c in _MEMBER.split(", ")]).repartition(n, "g", "k").sortWithinPartitions("g", "k").mapInArrow(run, "a long, b long, h binary, wanted int, g long")
 
 
-def shingle_sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """Append h (the shingles in the global order) and wanted (the document's l)."""
-
-    def make():
-        shingles, ranked = Shingler(width), order.value
-
-        def work(batch):
-            h, wanted = [], []
-            for t in blobs(batch, "text"):
-                s, c = ranked(shingles(t))
-                h.append(s.tobytes())
-                wanted.append(matches_wanted(len(s), c, percent) if len(s) else 1)
-            return {"h": h, "wanted": wanted}
-
-        return work
-
-    return append_columns(docs, "h binary, wanted int", make).drop("text")
-
-
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group: int = GROUP, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(a, b) links that connect exactly the documents that similar pairs connect."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
-    keyed = worded.select("doc_id", *key)
-    classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
-    copies = cut(keyed.join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    single = worded.join(broadcast_if_small(copies.select(F.col("a").alias("doc_id")).distinct(), 16), "doc_id", "left_anti")
-
-    order = spark.sparkContext.broadcast(frequent(single, width))
-    family = cut(components(star_links(single, order, width, percent)))
-    family = broadcast_if_small(family, 24)
-    active = single.join(family, single.doc_id == family.node).select("doc_id", "text", "component")
-    sets = shingle_sets(active, order, width, percent).select(F.col("component").alias("g"), F.col("doc_id").alias("doc"), "wanted", "h")
-    sets = cut(sets)
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    classes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
+    copies = cut(worded.drop("text").join(classes, ["k1", "k2"]).where("doc_id <> rep").distinct())
+    single = worded.join(broadcast_if_small(copies.drop("rep"), 32), ["doc_id", "k1", "k2"], "left_anti").drop("k1", "k2")
+    copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    some = cut(active(single, width, percent))
+    few = single.join(broadcast_if_small(some, 16), "doc_id", "left_semi")
+    sets = cut(ordered_sets(few, width, percent))
+    family = broadcast_if_small(cut(components(star_links(sets))), 24)
+    sets = sets.join(family, F.col("doc") == F.col("node")).select(F.col("component").alias("g"), "doc", "wanted", "h")
     total = sets.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.length("h") / 8).alias("s"))
     blocks = total.select("g", F.greatest(F.ceil(F.col("m") / group), F.ceil(F.col("s") / group_shingles)).cast("int").alias("blocks"))
     blocks = cut(blocks)
     large = blocks.where("blocks > 1")
     plain = F.lit(None).cast("long").alias("label")
     deal = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    everyone = sets.join(broadcast_if_small(blocks, 16), "g")
-    found = verified(everyone.select("g", deal.alias("k"), "doc", F.lit(0).alias("side"), plain, "wanted", "h"), percent, pivots=4)
-    found = cut(found)
-    out = found.where("b is not null").select("a", "b")
+    dealt = sets.join(broadcast_if_small(blocks, 16), "g").select("g", "blocks", deal.alias("k"), "doc", F.lit(0).alias("side"), plain, "wanted", "h")
+    out = cut(verified(dealt.where("blocks = 1"), percent).select("a", "b"))  # no two Python functions in one stage
     if not large.isEmpty():
-        few = found.where("b is null").join(broadcast_if_small(large, 16), "g").select("g", F.col("a").alias("doc"), "wanted", "h")
+        pivots = max(1, min(4, group // 8))
+        found = cut(verified(dealt.where("blocks > 1"), percent, pivots=pivots))
+        out = out.union(found.where("b is not null").select("a", "b"))
+        few = found.where("b is null").select("g", F.col("a").alias("doc"), "wanted", "h")
+        # blocks' pivots meet in blocks of their own until one block holds them; this only saves work below, so it ends
+        # as soon as it saves none
+        left = None
         while True:
-            parts = cut(few.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / group, F.sum(F.length("h")) / 8 / group_shingles)).cast("int").alias("blocks")))
-            last = parts.where("blocks > 1").isEmpty()
-            dealt = few.join(broadcast_if_small(parts, 16), "g").select("g", deal.alias("k"), "doc", F.lit(0).alias("side"), plain, "wanted", "h")
-            got = cut(verified(dealt, percent, pivots=0 if last else 4))
+            parts = cut(few.groupBy("g").agg(F.count("*").alias("m"), F.ceil(F.greatest(F.count("*") / group, F.sum(F.length("h")) / 8 / group_shingles)).cast("int").alias("blocks")))
+            held = parts.where("blocks > 1").agg(F.sum("m")).first()[0] or 0
+            last = held == 0 or left is not None and 2 * held > left
+            left = held
+            dealt = few.join(broadcast_if_small(parts.drop("m"), 16), "g").select("g", deal.alias("k"), "doc", F.lit(0).alias("side"), plain, "wanted", "h")
+            got = cut(verified(dealt, percent, pivots=0 if last else pivots))
             out = out.union(got.where("b is not null").select("a", "b"))
             if last:
                 break
@@ -381,7 +415,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group: in
         own = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("lots")).cast("int")
         lone = rest.join(broadcast_if_small(many, 16), "g").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         lone = lone.select("g", (own * F.col("blocks") + F.col("at")).cast("int").alias("k"), "doc", F.lit(1).alias("side"), "label", "wanted", "h")
-        out = out.union(verified(cross.union(lone), percent).where("b is not null").select("a", "b"))
+        out = out.union(cut(verified(cross.union(lone), percent).select("a", "b")))
     return out.union(copies)
 
 

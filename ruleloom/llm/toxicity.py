@@ -145,7 +145,7 @@ class Scorer(dict):
         self.scores, self.bias, self.passage = scores, bias, passage
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = s = float(self.scores[features(word, len(self.scores))].mean())
         return s
