@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, U64, WordHash, append_columns, blobs, cut, partitions, sha256_hex, space_words, window_hashes
+from ruleloom.llm.common import BROADCAST_BYTES, U64, WordHash, append_columns, blobs, cut, mix, partitions, sha256_hex, sliced, small_batches, space_words, window_hashes
 
 WINDOW = 50
 PHRASE = 6
@@ -59,7 +59,7 @@ def recurring(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         import pyarrow as pa
 
         words = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             found, owner = [], []
             for d, t in zip(batch.column("doc_id").to_pylist(), blobs(batch, "text")):
                 w = space_words(t)
@@ -123,24 +123,31 @@ def located(batch_words: list, known: np.ndarray, window: int, phrase: int) -> l
     return out
 
 
+#: starts: pairs of the first and last of consecutive starts.
 _PLACES = "doc_id long, mark long, starts binary"
 
 
 def _rows(keys: list[np.ndarray], starts: np.ndarray) -> list[tuple]:
-    """(doc_id, mark, starts) for places sorted together by document."""
+    """(doc_id, mark, runs of starts) of each document among places."""
     if not len(starts):
         return []
     d, m = keys
     order = np.lexsort((starts, m, d))
     d, m, s = d[order], m[order], starts[order].astype(np.int32)
     cuts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (m[1:] != m[:-1])))
-    return [(int(d[a]), int(m[a]), s[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(s)))]
+    return [(int(d[a]), int(m[a]), _runs(s[a:b]).tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(s)))]
+
+
+def _runs(s: np.ndarray) -> np.ndarray:
+    """First and last of every run of consecutive numbers in a sorted array."""
+    new = np.append(True, s[1:] > s[:-1] + 1)
+    return np.stack([s[new], s[np.append(new[1:], True)]], 1)
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, mark, starts): windows of a document (mark: hash of its text) that a smaller doc_id has too."""
+    """(doc_id, mark, starts): runs of windows of a document (mark: hash of its text) that a smaller doc_id has too."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut(recurring(docs, window, phrase))
     rounds = max(1, -(-known.count() // block))
     n = 4 * partitions(spark)
@@ -153,13 +160,12 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         posted = one if posted is None else posted.union(one)
 
     def judge(batches):
-        import pyarrow as pa
-
         held: dict[int, list] = {}
+        late: list[tuple] = []
         for batch in batches:
             for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if b < 0:
-                    yield _table(_rows([np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int64)], np.frombuffer(row[3], np.int32)))
+                    late.append(tuple(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, np.int32))))
                 else:
                     held.setdefault(b, []).append(row)
         for b in list(held):
@@ -169,7 +175,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             h, d, m, s = h[order], d[order], m[order], s[order]
             first = np.append(True, h[1:] != h[:-1])
             later = d > d[first][np.cumsum(first) - 1]
-            yield _table(_rows([d[later], m[later]], s[later]))
+            late.append((d[later], m[later], s[later]))
+        if late:
+            d, m, s = (np.concatenate(x) for x in zip(*late))
+            yield _table(_rows([d, m], s))
 
     places = posted.repartition(partitions(spark), "b").mapInArrow(judge, _PLACES)
     return places.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
@@ -182,19 +191,23 @@ def _table(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "mark", "starts"])
 
 
-def _poster(shipped, window: int, phrase: int, n: int):
-    edges = np.array([(b << 64) // n for b in range(n)], U64)
+def route(h: np.ndarray, starts: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Where windows meet: a hash of their smallest phrase. Equal windows share it, and so do about twenty neighbours, so
+    the places of a document stay together."""
+    return mix(sliding(window_hashes(h, phrase), window - phrase + 1, np.minimum)[starts])
+
 
+def _poster(shipped, window: int, phrase: int, n: int):
     def post(batches):
         import pyarrow as pa
 
         words, known = WordHash(), shipped.value
-        for batch in batches:
+        for batch in sliced(batches):
             if not len(known):
                 continue
             hashes = [words.of(space_words(t)) for t in blobs(batch, "text")]
             starts = located(hashes, known, window, phrase)
-            parts = [(window_hashes(h, window)[s], s, i) for i, (h, s) in enumerate(zip(hashes, starts)) if len(s)]
+            parts = [(window_hashes(h, window)[s], s, i, route(h, s, window, phrase)) for i, (h, s) in enumerate(zip(hashes, starts)) if len(s)]
             del hashes
             if not parts:
                 continue
@@ -203,15 +216,16 @@ def _poster(shipped, window: int, phrase: int, n: int):
             row = np.repeat([p[2] for p in parts], [len(p[1]) for p in parts])
             d = batch.column("doc_id").to_numpy()[row]
             m = batch.column("mark").to_numpy()[row]
-            order = np.lexsort((s, d, h))
-            h, d, m, s = h[order], d[order], m[order], s[order]
+            to = ((np.concatenate([p[3] for p in parts]) >> U64(32)) * U64(n)) >> U64(32)
+            order = np.lexsort((s, d, h, to))
+            h, d, m, s, to = h[order], d[order], m[order], s[order], to[order]
             first = np.append(True, h[1:] != h[:-1])
             least = d[first][np.cumsum(first) - 1]
             # of a document that has the window twice, or of rows with equal doc_id, all places go on
             on, later = d == least, d > least
             rows = [(-1 - int(d[later][0] % n), b"", d[later].tobytes(), m[later].tobytes(), s[later].tobytes())] if later.any() else []
-            h, d, m, s = h[on], d[on], m[on], s[on]
-            cuts = np.append(np.searchsorted(h, edges), len(h))
+            h, d, m, s, to = h[on], d[on], m[on], s[on], to[on]
+            cuts = np.searchsorted(to, np.arange(n + 1))
             rows += [(b, h[x:y].tobytes(), d[x:y].tobytes(), m[x:y].tobytes(), s[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["b", "h", "doc_id", "mark", "starts"])
 
@@ -221,9 +235,9 @@ def _poster(shipped, window: int, phrase: int, n: int):
 def kept_mask(n: int, starts: list[bytes], window: int) -> np.ndarray:
     cover = np.zeros(n + 1, np.int64)
     for blob in starts:
-        s = np.frombuffer(blob, np.int32)
-        np.add.at(cover, s, 1)
-        np.add.at(cover, s + window, -1)
+        first, last = np.frombuffer(blob, np.int32).reshape(-1, 2).T
+        np.add.at(cover, first, 1)
+        np.add.at(cover, last + window, -1)
     return np.cumsum(cover[:n]) == 0
 
 
