@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, mix, partitions, sliced
+from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, mix, partitions, sliced, small_batches
 
 SIDE, DIM, HIDDEN = 2, 16, 24
 WORDS, CLASSES = 896, 128
 MASK, ROUNDS, RATE = 8, 2, 0.1
-CHUNK = 4096
+#: Tokens at a time: their logits stay in a core's cache.
+CHUNK = 256
 
 
 def vocabulary(docs: DataFrame, text: str, words: int = WORDS) -> list[tuple[bytes, int]]:
@@ -45,26 +46,34 @@ def vocabulary(docs: DataFrame, text: str, words: int = WORDS) -> list[tuple[byt
                 seen.update(alnum_words(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = small_batches(docs).select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     return [(bytes(r.word), r.n) for r in top]
 
 
-class Tokens:
-    """Token numbers: frequent words first, then hash classes; the padding token comes last."""
+class Tokens(dict):
+    """Token numbers by word: frequent words first, then hash classes; the padding token comes last. Numbers of other
+    words are remembered up to a bound."""
 
     def __init__(self, words: list[bytes], classes: int):
+        super().__init__()
         self.known = {w: i for i, w in enumerate(words)}
         self.classes, self.size = classes, len(words) + classes
-        self.first = len(words)
+        self.update(self.known)
+
+    def __reduce__(self):
+        return Tokens, (list(self.known), self.classes)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+            self.update(self.known)
+        self[word] = i = len(self.known) + xxhash.xxh32_intdigest(word) % self.classes
+        return i
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        get, first, classes = self.known.get, self.first, self.classes
-        out = []
-        for w in alnum_words(text):
-            i = get(w)
-            out.append(first + xxhash.xxh32_intdigest(w) % classes if i is None else i)
-        return np.array(out, np.int32)
+        words = alnum_words(text)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def initial(size: int, seed: int = 3) -> list[np.ndarray]:
@@ -83,21 +92,30 @@ def contexts(ids: np.ndarray, pad: int) -> np.ndarray:
     return np.stack([wide[o : o + len(ids)] for o in range(2 * SIDE + 1) if o != SIDE], 1)
 
 
-def forward(p: list[np.ndarray], around: np.ndarray):
+def forward(p: list[np.ndarray], around: np.ndarray, bounded: bool = False):
+    """(inputs, hidden layer, logits). Unless the logits are known to be bounded, their maximum is taken off."""
     x = p[0][around].reshape(len(around), -1)
     h = np.tanh(x @ p[1] + p[2])
-    z = h @ p[3] + p[4]
-    z -= z.max(1, keepdims=True)
+    z = h @ p[3]
+    z += p[4]
+    if not bounded:
+        z -= z.max(1, keepdims=True)
     return x, h, z
 
 
+def is_bounded(p: list[np.ndarray]) -> bool:
+    """Whether no logit can leave the range of exp: the hidden layer lies within -1 and 1."""
+    return bool((np.abs(p[3]).sum(0) + np.abs(p[4])).max() < 60)
+
+
 def log_probabilities(p: list[np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids))
+    bounded, ones = is_bounded(p), np.ones(p[3].shape[1], p[3].dtype)
     for a in range(0, len(ids), CHUNK):
         own = ids[a : a + CHUNK]
-        _, _, z = forward(p, around[a : a + CHUNK])
+        _, _, z = forward(p, around[a : a + CHUNK], bounded)
         own = z[np.arange(len(own)), own].astype(np.float64)
-        out[a : a + CHUNK] = own - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+        out[a : a + CHUNK] = own - np.log((np.exp(z, out=z) @ ones).astype(np.float64))
     return out
 
 
@@ -108,13 +126,18 @@ class Trainer:
         self.p = [x.copy() for x in p]
         self.rate = rate
         self.square = [np.full_like(x, 1e-3) for x in p]
-        self.seen = 0
+        self.seen = self.steps = 0
+        self.ones = np.ones(p[3].shape[1], p[3].dtype)
+        self.bounded = False
 
     def step(self, ids: np.ndarray, around: np.ndarray):
         p, n = self.p, len(ids)
-        x, h, z = forward(p, around)
+        if self.steps % 64 == 0:  # a step moves a weight by at most the rate, so this holds for the next ones with room to spare
+            self.bounded = is_bounded(p)
+        self.steps += 1
+        x, h, z = forward(p, around, self.bounded)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z *= 1 / (z @ self.ones)[:, None]
         z[np.arange(n), ids] -= 1
         z /= n
         dh = (z @ p[3].T) * (1 - h * h)
