@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from ruleloom.llm.common import U64, mix, sliced
+from ruleloom.llm.common import U64, mix, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
@@ -41,6 +41,9 @@ SPACE = "▁"
 UNIT = re.compile(rf"{SPACE}*(?:\w+|[^\w{SPACE}]+)|{SPACE}+")
 #: A literal U+2581 in a text, which must not become a space, travels through byte pieces under this stand-in, which no text holds.
 STAND_IN = "\udfff"
+#: Cumulative probabilities are multiples of this, so that adding a node's number to them is exact and no draw depends on
+#: which numbers a task gives out.
+GRID = 2.0**-28
 #: Edges that a task remembers, and characters that it takes at a time.
 MAX_EDGES, CHARS = 3_000_000, 2_000_000
 
@@ -168,7 +171,7 @@ class Lattices:
             for j, piece, w in own:
                 logp = min(w + beta[j] - beta[i], 0.0)
                 total += math.exp(logp)
-                cdf.append(start + min(total, 1.0))
+                cdf.append(start + min(round(total / GRID) * GRID, 1.0))
                 target.append(-1 if j == n else first + j - (j > n))
                 ids.append(piece)
                 logps.append(logp)
@@ -224,7 +227,7 @@ class Lattices:
         total = np.cumsum(np.exp(logp))
         new = np.append(True, a[1:] != a[:-1])
         before = (total - np.exp(logp))[new][np.cumsum(new) - 1]
-        cdf = np.minimum(total - before, 1.0)
+        cdf = np.minimum(np.rint((total - before) / GRID) * GRID, 1.0)
         cdf[np.append(new[1:], True)] = 1.0
         self.ready()
         first = self.nodes
@@ -235,7 +238,7 @@ class Lattices:
 
     def starts(self, us: list[str]) -> np.ndarray:
         """The first nodes of units."""
-        new = list(dict.fromkeys(u for u in us if u not in self.base))
+        new = list(set(us).difference(self.base))
         if new:
             self.add_all(new)
         return np.fromiter(map(self.base.__getitem__, us), np.int64, len(us))
@@ -249,9 +252,9 @@ class Lattices:
 
 
 def uniform(keys: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the arguments only."""
-    h = mix(mix(at.astype(U64) * U64(0x9E3779B97F4A7C15) + keys) + U64((step * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF))
-    return ((h >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """Numbers in (0, 1) that depend on the arguments only: odd multiples of half a GRID step."""
+    h = mix(at.astype(U64) * U64(0x9E3779B97F4A7C15) + (keys + U64((step * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)))
+    return ((h >> U64(36)).astype(np.float64) + 0.5) * GRID
 
 
 def walk(arrays, nodes: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,4 +457,4 @@ def sample_segmentations(df: DataFrame, key: str = "doc_id", text: str = "text",
                 out += [pa.array([s[1][i] for s in got], pa.float64()) for i in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in keep] + new.names)
 
-    return df.mapInArrow(run, StructType(keep + new.fields))
+    return small_batches(df).mapInArrow(run, StructType(keep + new.fields))
