@@ -9,8 +9,9 @@ A bucket is cut into blocks of about `BLOCK` vectors and its queries visit every
 vector nor a large bucket loads one task. No candidate is dropped: a block returns each query's best, which cannot lose
 any of the best overall. Queries that find fewer than k candidates are compared with all vectors, in the same blocks.
 
-Recall at 5 with the defaults (8 tables, 16 probes) against brute force: over 0.99 on 64-dimensional random unit vectors
-(10,000 to 50,000 rows), checked in tests/llm.
+Recall at 5 of the defaults (8 tables, 16 probes): 0.996 or more of brute force's neighbours were among the candidates of
+the same hashing, simulated in numpy over the 10,000 to 51,000 64-dimensional vectors of the check tables. tests/llm hold
+this operator's own recall to 0.9 on 600 vectors.
 
 Defined results: vectors that are null, zero or hold null or non-finite numbers take no part, neither do rows with a null
 id; only vectors of equal length are compared; repeated ids count once as candidate (best score) and once as query;
