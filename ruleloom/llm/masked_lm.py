@@ -6,10 +6,10 @@ the token given its neighbours, so the masked token is never seen by its own pre
 
 The vocabulary comes from the counts of all words of all documents: the most frequent words, and a bounded number of
 hash classes that share the rest. The network is trained in numpy on the whole corpus, data-parallel: in each round
-every task trains the shared parameters on its documents (each masks and predicts one position in `MASK`, chosen by row
-key, so every document takes part), and the parameters are averaged, weighted by tokens and slice by slice on the
-executors, so the driver sees one model whatever the size of the corpus. The number of messages grows with the input,
-the model's size doesn't.
+every task trains the shared parameters on its documents, and the parameters are averaged, weighted by tokens and slice
+by slice on the executors, so the driver sees one model whatever the size of the corpus. A hash of row key and position
+deals the positions to the rounds, so each position of each document is masked and predicted in exactly one round. The
+number of messages grows with the input, the model's size doesn't.
 
 Defined results: null, empty and wordless texts have no tokens, a pseudo log-likelihood of 0 and no mean; at the edges of
 a document the missing neighbours are one padding token; rows with a null key mask the same positions as key 0; repeated
@@ -29,7 +29,7 @@ from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, mix, pa
 
 SIDE, DIM, HIDDEN = 2, 16, 24
 WORDS, CLASSES = 896, 128
-MASK, ROUNDS, RATE = 8, 2, 0.1
+ROUNDS, RATE = 2, 0.1
 #: Tokens at a time: their logits stay in a core's cache.
 CHUNK = 256
 
@@ -150,13 +150,13 @@ class Trainer:
         self.seen += n
 
 
-def masked(n: int, key: int, turn: int) -> np.ndarray:
-    """The positions of a text that a round predicts: one in MASK, by hash."""
+def masked(n: int, key: int, turn: int, rounds: int) -> np.ndarray:
+    """The positions of a text that a round predicts: each falls to one of the rounds, by hash."""
     h = mix(np.arange(n, dtype=U64) + U64(key & 0xFFFFFFFFFFFFFFFF))
-    return np.flatnonzero(h % U64(MASK) == U64(turn % MASK))
+    return np.flatnonzero(h % U64(rounds) == U64(turn))
 
 
-def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray], turn: int) -> list[np.ndarray]:
+def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray], turn: int, rounds: int) -> list[np.ndarray]:
     """One round over all documents: local training in every task, then the weighted mean of the parameters."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((tokens, start))
@@ -183,7 +183,7 @@ def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray],
             for d, t in zip(batch.column(key).to_pylist(), blobs(batch, text)):
                 ids = token(t)
                 if len(ids):
-                    at = masked(len(ids), xxhash.xxh64_intdigest(f"{0 if d is None else d}"), turn)
+                    at = masked(len(ids), xxhash.xxh64_intdigest(f"{0 if d is None else d}"), turn, rounds)
                     held.append((ids[at], contexts(ids, token.size)[at]))
                     size += len(at)
             if size > 8192:
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
         p[4][: len(n)] = np.log(n / n.sum())
         p[4][len(n) :] = np.log(n.min() / n.sum())
     for turn in range(rounds):
-        p = train(docs, key, text, tokens, p, turn)
+        p = train(docs, key, text, tokens, p, turn, rounds)
     return tokens, p
 
 

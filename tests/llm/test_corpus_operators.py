@@ -366,6 +366,13 @@ def test_masked_lm(spark):
     assert masked_lm.score_documents(df, empty).count() == len(docs)
 
 
+def test_masked_lm_trains_on_every_position():
+    """Each position is a target in exactly one round, whatever the number of rounds."""
+    for count in (1, masked_lm.ROUNDS, 5):
+        got = np.concatenate([masked_lm.masked(1000, 77, turn, count) for turn in range(count)])
+        assert sorted(got) == list(range(1000))
+
+
 def test_masked_lm_gradients():
     rng = np.random.default_rng(0)
     p = [x.astype(np.float64) for x in masked_lm.initial(7)]
