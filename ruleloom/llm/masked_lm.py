@@ -5,7 +5,10 @@ tanh layer and a softmax over the vocabulary. A document's score is the sum over
 the token given its neighbours, so the masked token is never seen by its own prediction.
 
 The vocabulary comes from the counts of all words of all documents: the most frequent words, and a bounded number of
-hash classes that share the rest. The network is trained in numpy on the whole corpus, data-parallel: in each round
+hash classes that share the rest. The network predicts a frequent word itself and of any other word its class; which
+word of the class it is has the probability c / (n + 1), from the counts c of the word and n of its class, and words that
+the corpus lacks share one count. These counts are a distributed table of all words, joined when documents are scored,
+so every token pays for its own word whatever the size of the vocabulary. The network is trained in numpy on the whole corpus, data-parallel: in each round
 every task trains the shared parameters on its documents, and the parameters are averaged, weighted by tokens and slice
 by slice on the executors, so the driver sees one model whatever the size of the corpus. A hash of row key and position
 deals the positions to the rounds, so each position of each document is masked and predicted in exactly one round. The
@@ -13,7 +16,8 @@ number of messages grows with the input, the model's size doesn't.
 
 Defined results: null, empty and wordless texts have no tokens, a pseudo log-likelihood of 0 and no mean; at the edges of
 a document the missing neighbours are one padding token; rows with a null key mask the same positions as key 0; repeated
-rows score alike; without any token the model is uniform. Output columns replace columns of equal name.
+rows score alike; without any token the model is uniform. Logarithms of word counts are summed as multiples of 2^-32, so
+that sums don't depend on the order of rows. Output columns replace columns of equal name.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, mix, partitions, sliced, small_batches
+from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, cut, mix, partitions, sliced, small_batches
 
 SIDE, DIM, HIDDEN = 2, 16, 24
 WORDS, CLASSES = 896, 128
@@ -34,8 +38,12 @@ ROUNDS, RATE = 2, 0.1
 CHUNK = 256
 
 
-def vocabulary(docs: DataFrame, text: str, words: int = WORDS) -> list[tuple[bytes, int]]:
-    """The most frequent words, with their counts over all documents."""
+#: Logarithms of word counts are integers of this many to one.
+GRID = 1 << 32
+
+
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n): the counts of all words over all documents."""
 
     def count(batches):
         import pyarrow as pa
@@ -46,23 +54,52 @@ def vocabulary(docs: DataFrame, text: str, words: int = WORDS) -> list[tuple[byt
                 seen.update(alnum_words(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counts = small_batches(docs).select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut(small_batches(docs).select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counts: DataFrame, words: int = WORDS) -> list[tuple[bytes, int]]:
+    """The most frequent words, with their counts."""
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     return [(bytes(r.word), r.n) for r in top]
 
 
+def class_totals(counts: DataFrame, tokens) -> np.ndarray:
+    """The summed counts of the words of each hash class."""
+    shipped = counts.sparkSession.sparkContext.broadcast(tokens)
+
+    def add(batches):
+        import pyarrow as pa
+
+        token = shipped.value
+        first = len(token.known)
+        sums = np.zeros(token.classes, np.int64)
+        for batch in batches:
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if w not in token.known:
+                    sums[token[w] - first] += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(token.classes, dtype=np.int32)), pa.array(sums)], names=["class", "n"])
+
+    out = np.zeros(tokens.classes, np.int64)
+    for r in small_batches(counts).mapInArrow(add, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r["class"]] = r.n
+    return out
+
+
 class Tokens(dict):
     """Token numbers by word: frequent words first, then hash classes; the padding token comes last. Numbers of other
-    words are remembered up to a bound."""
+    words are remembered up to a bound. totals: the summed counts of each class; counts: the table of all words, which
+    stays with the driver's plan and isn't shipped."""
 
-    def __init__(self, words: list[bytes], classes: int):
+    def __init__(self, words: list[bytes], classes: int, totals: np.ndarray | None = None, counts: DataFrame | None = None):
         super().__init__()
+        self.totals = np.zeros(classes, np.int64) if totals is None else totals
+        self.counts = counts
         self.known = {w: i for i, w in enumerate(words)}
         self.classes, self.size = classes, len(words) + classes
         self.update(self.known)
 
     def __reduce__(self):
-        return Tokens, (list(self.known), self.classes)
+        return Tokens, (list(self.known), self.classes, self.totals)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
@@ -222,12 +259,14 @@ def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray],
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS):
     """(tokens, parameters) of the network trained on all documents."""
-    counts = vocabulary(docs, text, words)
-    tokens = Tokens([w for w, _ in counts], classes)
+    counts = count_words(docs, text)
+    top = vocabulary(counts, words)
+    tokens = Tokens([w for w, _ in top], classes, counts=counts)
+    tokens.totals = class_totals(counts, tokens)
     p = initial(tokens.size)
-    if counts:
+    if top:
         # start from the frequencies of the words that are known one by one
-        n = np.array([c for _, c in counts], np.float64)
+        n = np.array([c for _, c in top], np.float64)
         p[4][: len(n)] = np.log(n / n.sum())
         p[4][len(n) :] = np.log(n.min() / n.sum())
     for turn in range(rounds):
@@ -235,23 +274,57 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = W
     return tokens, p
 
 
+def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
+    """(_rest, _logs): the summed log counts of the words that share classes, by digest of the text, in units of 1 / GRID.
+
+    Words that occur once or never add nothing and need no row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def post(batches):
+        import pyarrow as pa
+
+        known = shipped.value.known
+        for batch in sliced(batches):
+            rows: tuple[list, list, list] = ([], [], [])
+            for t in set(blobs(batch, text)):
+                own = Counter(w for w in alnum_words(t) if w not in known)
+                if own:
+                    rows[0].extend([xxhash.xxh3_128_digest(t)] * len(own))
+                    rows[1].extend(own)
+                    rows[2].extend(own.values())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["_rest", "word", "times"])
+
+    posted = small_batches(docs).select(text).mapInArrow(post, "_rest binary, word binary, times long")
+    logs = tokens.counts.where("n > 1").select("word", F.round(F.log("n") * GRID).cast("long").alias("log"))
+    # the batches that a repeated text is in post it once each: one row a text and word counts
+    once = posted.join(logs, "word").groupBy("word", "_rest").agg(F.max(F.col("times") * F.col("log")).alias("logs"))
+    return cut(once.groupBy("_rest").agg(F.sum("logs").alias("_logs")))
+
+
 def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """Append n_tokens, pll (summed conditional log probabilities) and mean_pll (null without tokens)."""
+    tokens, _ = model
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         tokens, p = shipped.value
+        shared = np.concatenate([np.zeros(len(tokens.known)), np.log(tokens.totals + 1.0)])
 
         def work(batch):
-            ids = [tokens(t) for t in blobs(batch, text)]
+            raw = blobs(batch, text)
+            ids = [tokens(t) for t in raw]
             sizes = np.array([len(x) for x in ids], np.int64)
             around = [contexts(x, tokens.size) for x in ids if len(x)]
             sums = np.zeros(len(ids))
             if around:
-                lp = log_probabilities(p, np.concatenate(ids), np.concatenate(around))
+                flat = np.concatenate(ids)
+                lp = log_probabilities(p, flat, np.concatenate(around)) - shared[flat]
                 sums = np.bincount(np.repeat(np.arange(len(ids)), sizes), lp, len(ids))
-            return {"n_tokens": sizes, "pll": sums, "mean_pll": [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist())]}
+            return {"n_tokens": sizes, "pll": sums, "_rest": [xxhash.xxh3_128_digest(t or b"") for t in raw]}
 
         return work
 
-    return append_columns(docs, "n_tokens bigint, pll double, mean_pll double", make)
+    rest = rest_of_documents(docs, tokens, text)
+    scored = append_columns(docs.drop("mean_pll"), "n_tokens bigint, pll double, _rest binary", make)
+    summed = scored.join(rest, "_rest", "left").withColumn("pll", F.col("pll") + F.coalesce("_logs", F.lit(0)) / F.lit(float(GRID)))
+    return summed.drop("_rest", "_logs").withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -373,6 +373,26 @@ def test_masked_lm_trains_on_every_position():
         assert sorted(got) == list(range(1000))
 
 
+def test_masked_lm_tells_the_words_of_a_class_apart(spark):
+    """Rare words by their counts within the class; with these the probabilities of all words sum to one."""
+    docs = [(i, "the cat " * 20 + " ".join(["often"] * 6 + ["seldom"] * 2 + [f"once{i}"])) for i in range(10)]
+    df = spark.createDataFrame(docs + [(3, docs[3][1])], "doc_id long, text string").repartition(3)
+    tokens, p = masked_lm.fit(df, words=2, classes=1)
+    assert set(tokens.known) == {b"the", b"cat"} and tokens.totals.tolist() == [11 * 9]
+    asked = ["often", "seldom", "once3", "once4", "neverseen", "the", "often seldom", "often", None, "?"]
+    rows = masked_lm.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2), (tokens, p)).collect()
+    assert len(rows) == len(asked)
+    pll = {r.doc_id: r.pll for r in rows}
+    total = 11 * 9 + 1
+    alone = masked_lm.contexts(tokens(b"often"), tokens.size)
+    share = masked_lm.log_probabilities(p, tokens(b"often"), alone)[0]
+    for i, c in enumerate([66, 22, 2, 1, 1]):
+        assert pll[i] == pytest.approx(share + np.log(c / total), abs=1e-6)
+    assert pll[7] == pll[0] and pll[8] == pll[9] == 0
+    words = np.exp(share) * (66 + 22 + 2 + 9 + 1) / total + np.exp(masked_lm.log_probabilities(p, np.array([0, 1]), np.repeat(alone, 2, 0))).sum()
+    assert words == pytest.approx(1, abs=1e-5)
+
+
 def test_masked_lm_gradients():
     rng = np.random.default_rng(0)
     p = [x.astype(np.float64) for x in masked_lm.initial(7)]
