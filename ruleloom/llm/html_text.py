@@ -3,7 +3,7 @@
 The DOMs of a host are merged into one style tree: nodes with the same path of tags and class or id names are one style
 node. Each style node gets an importance from all pages of its host. Content: a text that occurs on c of the m pages
 with the node has the entropy log c / log m; the node's content importance is one less the mean entropy of its texts.
-Presentation: the entropy of the child sequences that its pages show. Both are mixed as in the published scheme, by
+Equal pages of a host are merged before, so c and m count different pages. Presentation: the entropy of the child sequences that its pages show. Both are mixed as in the published scheme, by
 0.9 ^ (number of child styles). Branches of low importance are removed from every page of the host.
 
 What a site style tree cannot know from one host is known beforehand: elements and names that mark menus, headers,
@@ -163,8 +163,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _features(page: str) -> tuple[set, set]:
-    """((node, text hash), (node, child sequence hash)) pairs of a page, without what is marked beforehand."""
+def _features(page: str) -> tuple[set, set, set]:
+    """((node, text hash), (node, child sequence hash)) pairs and nodes of a page, without what is marked beforehand."""
     nodes, blocks = parse(page)
     bad, style = marked(nodes), style_nodes(nodes)
     texts = set()
@@ -179,7 +179,7 @@ def _features(page: str) -> tuple[set, set]:
         if parent > 0 and not bad[i]:
             children.setdefault(parent, []).append(f"{tag} {names}")
     shows = {(signed(style[i]), signed(xxhash.xxh64_intdigest("|".join(_runs(c))))) for i, c in children.items()}
-    return texts, shows
+    return texts, shows, {signed(style[i]) for i in range(1, len(nodes)) if not bad[i]}
 
 
 def _runs(items: list[str]):
@@ -196,19 +196,24 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float =
         for batch in sliced(batches):
             rows = []
             for host, raw in zip(batch.column("host").to_pylist(), blobs(batch, "html")):
-                texts, shows = _features(raw.decode("utf-8", "replace"))
+                texts, shows, own = _features(raw.decode("utf-8", "replace"))
                 rows += [(host, n, 0, h) for n, h in texts]
                 rows += [(host, n, 1, h) for n, h in shows]
+                rows += [(host, n, 2, 0) for n in own]
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["host", "node", "kind", "feature"])
 
-    once = small_batches(pages).where("host <> '' and html is not null")
-    counts = once.select("host", "html").mapInArrow(post, "host string, node long, kind int, feature long").groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"))
-    shown = counts.where("kind = 1").groupBy("host", "node").agg(F.sum("c").alias("shown"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
-    texts = counts.where("kind = 0").groupBy("host", "node").agg(F.max("c").alias("most"), F.count("*").alias("texts"), F.sum(F.log2("c")).alias("logc"), F.sum("c").alias("all"))
-    sizes = once.groupBy("host").agg(F.countDistinct(F.xxhash64("html")).alias("pages"))
-    node = texts.join(shown, ["host", "node"], "left").join(sizes, "host").where(F.col("pages") >= min_pages)
-    m = F.greatest(F.coalesce("shown", "most"), F.col("most"), F.lit(2))
+    once = small_batches(pages).where("host <> '' and html is not null").select("host", "html").distinct()
+    counts = once.mapInArrow(post, "host string, node long, kind int, feature long").groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"))
+    text, look, c = F.col("kind") == 0, F.col("kind") == 1, F.col("c")
+    node = counts.groupBy("host", "node").agg(
+        F.max(F.when(text, c)).alias("most"), F.count(F.when(text, c)).alias("texts"), F.sum(F.when(text, F.log2("c"))).alias("logc"),
+        F.sum(F.when(look, c)).alias("shown"), F.count(F.when(look, c)).alias("styles"), F.sum(F.when(look, c * F.log2("c"))).alias("clogc"),
+        F.max(F.when(F.col("kind") == 2, c)).alias("with_node"),
+    ).where("texts > 0")
+    sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
+    node = node.join(sizes, "host").where(F.col("pages") >= min_pages)
+    m = F.greatest("with_node", F.lit(2))
     content = 1 - F.col("logc") / F.col("texts") / F.log2(m)
     look = F.when(F.col("shown") > 1, (F.log2("shown") - F.col("clogc") / F.col("shown")) / F.log2("shown")).otherwise(F.lit(1.0))
     mixed = F.when(F.col("shown").isNull(), content).otherwise((1 - F.pow(F.lit(0.9), "styles")) * look + F.pow(F.lit(0.9), "styles") * content)

@@ -240,6 +240,16 @@ def test_style_tree_importance(spark):
     assert low == {s for s, n in zip(style, nodes) if n[2] == "a"}
 
 
+def test_repeated_pages_keep_their_text(spark):
+    """Pages that all occur many times give the tree and the texts of the same pages once; so does one copied page."""
+    page = "<body><div class=a>always</div><p>only %d</p><article><p>inner %d</p></article></body>"
+    for copies in ([6] * 7, [6, 1, 1, 1, 1, 1, 1]):
+        rows = [(i, "http://h.example/", page % (i, i)) for i, n in enumerate(copies) for _ in range(n)]
+        df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+        got = html_text.extract_text(df, url_filter.host_of(F.col("url"))).collect()
+        assert len(got) == len(rows) and all(r.text == f"only {r.page_id}\ninner {r.page_id}" for r in got)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32))
