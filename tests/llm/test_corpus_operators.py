@@ -278,6 +278,22 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(pair, F.col("vec_id") == 0).collect()] == [(0, 1, 0.0)]
 
 
+def test_repeated_ids_take_one_place_each(spark):
+    """Ids that occur more than k times, alike or with other vectors, leave the other places to other ids."""
+    base = np.random.default_rng(4).normal(size=16)
+    tilt = lambda e: (base + e * np.eye(16)[3]).tolist()
+    rows = [(0, base.tolist())] + [(7, tilt(0.01))] * 9 + [(8, tilt(0.02 + 0.01 * n)) for n in range(7)] + [(9 + n, tilt(0.2 + 0.1 * n)) for n in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (ann.BLOCK, 4):
+        for tables in (ann.TABLES, 1):
+            got = sorted((r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0, block=block, tables=tables).collect())
+            assert got == [(1, 7), (2, 8), (3, 9), (4, 10), (5, 11)]
+    vid = np.array([7] * 5 + [8, 9, 10, 11])
+    v = np.array([tilt(0.1 * n) for n in range(9)])
+    _, ids, s = ann.best_in_block(np.array([0]), base[None], vid, v, 5)
+    assert ids.tolist() == [7, 8, 9, 10, 11] and s[0] == pytest.approx(1.0)
+
+
 def test_pseudo_rotations_keep_lengths_and_concatenated_hashes_work():
     x = ann.unit(np.random.default_rng(0).normal(size=(50, 24)))
     r = ann.rotated(x, 1, 0, 3)
