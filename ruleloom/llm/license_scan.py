@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z) and cut into words; the search runs over the words joined by single spaces, so spans are
 words and line breaks or punctuation play no part. A notice with up to k edits is cut into k + 1 exact seeds: by the
 pigeonhole principle one of them is unharmed in any place with at most k edits. Every seed hit opens a candidate
-region, on which the regex library's bounded-error matching confirms the edits and gives the span. Of overlapping
-spans the one with the fewest edits stays. Base phrases are found exactly, at every place.
+region, on which the regex library's bounded-error matching confirms the edits and gives the span; what is left of the
+region on both sides is searched again. License codes and version numbers must stand in a span without edits (a final
+"0" may be missing), so a notice of another license or version is no place. Of overlapping spans the one with the fewest edits stays. Base phrases are found exactly, at every place.
 
 Defined results: null and empty texts have no words, labels or places and score 0; repeated rows are scanned each;
 long texts are scanned whole. Output columns replace columns of equal name.
@@ -35,6 +36,9 @@ NOTICES = [
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 
+#: License codes, which like numbers allow no edits.
+CODES = {"mit", "cc", "by", "nc"}
+
 SCHEMA = (
     "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, "
     "score double, spans array<struct<label: string, start: int, end: int, edits: int, text: string>>"
@@ -48,6 +52,8 @@ class Notice:
         cuts = [i * len(text) // (self.edits + 1) for i in range(self.edits + 2)]
         raw = text.encode()
         self.seeds = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:])]
+        runs = "".join(f" {w}" if w in CODES or w.isdigit() else "\n" for w in text.split()).split("\n")
+        self.fixed = [regex.compile((r[:-2] + r"(?: 0 | (?!\d))" if r.endswith(" 0") else r + " ").encode()) for r in runs if r]
         self.pattern = regex.compile(rb"(?b)(?:" + regex.escape(raw) + rb"){e<=%d}" % self.edits)
 
     def places(self, text: bytes):
@@ -60,10 +66,20 @@ class Notice:
                 regions.append((start, at - offset + self.size + self.edits))
                 at = text.find(seed, at + 1)
         for a, b in _merged(regions):
-            for m in self.pattern.finditer(text, a, b):
-                found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+            left = [(a, b)]
+            while left:
+                a, b = left.pop()
+                m = self.pattern.search(text, a, b) if b - a >= self.size - self.edits else None
+                if m:
+                    found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+                    left += [(a, m.start()), (m.end(), b)]
         return found
 
+    def keeps_codes(self, line: bytes, a: int, b: int) -> bool:
+        """Whether the codes and numbers stand unedited among the words of a span."""
+        first, last = line.rfind(b" ", 0, a + 1), line.find(b" ", b - 1)
+        return all((m := p.search(line, first)) and m.start() < last for p in self.fixed)
+
 
 def _merged(regions):
     out: list[list[int]] = []
@@ -89,7 +105,7 @@ def scan(text: bytes | None, notices: list[Notice], base=BASE):
             labels.add(label)
             score = 1.0
             at = line.find(key, at + 1)
-    hits = [(e, -(b - a), a, b, n.label, n.size) for n in notices for a, b, e in n.places(line)]
+    hits = [(e, -(b - a), a, b, n.label, n.size) for n in notices for a, b, e in n.places(line) if n.keeps_codes(line, a, b)]
     spans, taken = [], []
     for e, _, a, b, label, size in sorted(hits):
         if all(b <= x or y <= a for x, y in taken):

@@ -210,6 +210,17 @@ def test_license_seeds_lose_no_place():
         assert bool(notice.places(text)) == bool(whole)
 
 
+def test_license_codes_and_versions_allow_no_edits():
+    notices = [license_scan.Notice(t, label, license_scan.CHARS_PER_EDIT) for t, label in license_scan.NOTICES]
+    labels = lambda t: license_scan.scan(t.encode(), notices)[5]
+    for other in ("licensed under cc by sa 4.0", "licensed under cc by nd 4 0", "mozilla public license version 1.1", "licensed under the apache license version 1 1", "released under the mpl license"):
+        assert labels(f"x {other} y") == "", other
+    for own, label in (("licensd undr cc by nc 4 0", "cc-by-nc"), ("mozila public licence version 2.0", "mpl-2"), ("mozilla public license version 2", "mpl-2"), ("releasd under the mit licence", "mit")):
+        assert labels(f"x {own} y") == label, own
+    twice = license_scan.scan(b"mozila public license version 2 0 mozilla public license version 2 0", notices)[7]
+    assert [s[1:4] for s in twice] == [(0, 5, 1), (6, 11, 0)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><a>Home</a></nav>
 <div class="promo-box banner">Buy</div><div class="x7">Subscribe to our letter today</div><article><h1>Head %d</h1><p><b>First   &amp; one %d<br>more<p>Second&nbsp;one %d</p><aside>side</aside>
 <div class="comments"><p>me too</p></div></article><form><p>f</p></form><footer>&copy; x</footer></body></html>"""
