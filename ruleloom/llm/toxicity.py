@@ -1,16 +1,18 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams (3 to 5, with word edges) and of itself, all hashed into one
-table; a passage of consecutive words is the mean of its words (a word repeated at once counts as zero); a linear softmax
-over that mean gives the odds of label 1. Embeddings and softmax are trained jointly in numpy: steps follow each
-gradient's ratio to its spread over the places it comes from, so chance n-grams of few documents stay at zero, and random
-n-gram dropout keeps any one spelling from carrying a word alone. A document is labelled as a whole but usually toxic in
-few places, so its score is the largest passage score, and training anneals from the mean of all passages to the
-strongest ones. Unseen misspellings share n-grams with known words and so score like them.
+table; a passage is the mean of the words of `PASSAGE` consecutive ones (a word repeated at once counts as zero); a
+linear softmax over that mean gives the odds of label 1. Embeddings (from random ones) and softmax are trained jointly in
+numpy, both by their gradients (both classes weigh alike), with momentum, decay and n-gram dropout, which keeps any one spelling from carrying a word
+alone. A document is labelled as a whole but usually toxic in few places, so its score is that of its most toxic passage,
+over every start; training moves from the mean of all passages to the strongest ones. Unseen misspellings share
+n-grams with known words and so score like them.
 
 Only fitting uses a sample: at most `SAMPLE` labelled rows of each class, taken in the order of a hash of doc_id and
-never held-out ones (crc32(doc_id as text) mod 5 = 0), with texts of at most `SAMPLE_CHARS` characters. Every document is
-scored on its whole text. The model that is broadcast has a fixed size (one number per hash bucket).
+never held-out ones (crc32(doc_id as text) mod 5 = 0), as long as the texts of a class have at most `SAMPLE_CHARS`
+characters together (a row that doesn't fit any more is passed over); of a repeated doc_id its shortest text counts.
+Every document is scored on its whole text. The model that is broadcast has a fixed size (one number per hash bucket:
+as the softmax is linear, an embedding enters a score by its product with the softmax's weights only).
 
 Defined results: null and empty texts have no passage and get the score of the bias alone; labels that are null are not
 used; without labels of both classes the score is the share of label 1 among those there are (0 without labels);
@@ -19,34 +21,53 @@ repeated rows are scored each. Output columns replace columns of equal name.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import append_columns, blobs
+from ruleloom.llm.common import U64, append_columns, blobs, mix
 
-BUCKETS = 1 << 16
+BITS = 17
 DIM = 16
 PASSAGE = 12
 SAMPLE = 2000
-SAMPLE_CHARS = 40_000
-STEPS = 40
-#: Log odds that the clearest n-gram gains in a step; gradients within so many standard deviations of zero count as noise.
-RATE, NOISE = 12.0, 3.0
+SAMPLE_CHARS = 32_000_000
+STEPS = 100
+#: Log odds that the n-gram of the steepest gradient so far gains in a step (falling to a tenth), and how much of a step goes on in the next one.
+RATE, MOMENTUM = 20.0, 0.9
+#: What is left of every embedding after a step, before the gradient: chance n-grams of few documents fade.
+DECAY = 0.97
+DROPOUT = 0.2
+#: How much the strongest passages outweigh the others at the end of training.
+SHARPNESS = 4.0
 _EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
-def features(word: bytes, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a raw token's n-grams and of the word itself; punctuation at its edges is no part of it."""
-    core = word.strip(_EDGES).decode("utf-8", "replace").lower()
-    if not core:
-        return [0]
-    w = f"<{core}>"
-    grams = [w] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1) if n < len(w)]
-    return [zlib.crc32(g.encode()) % buckets for g in grams]
+def features(words: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of raw tokens and of the words themselves, word by word, and how many each word has.
+
+    Punctuation at a token's edges is no part of the word."""
+    cores = [f"<{w.strip(_EDGES).decode('utf-8', 'replace').lower()}>" for w in words]
+    sizes = np.fromiter(map(len, cores), np.int32, len(cores))
+    codes = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    owner = np.repeat(np.arange(len(cores), dtype=np.int32), sizes)
+    size = sizes[owner]
+    left = (ends[owner] - np.arange(len(codes))).astype(np.int32)
+    whole = np.add.reduceat(mix(codes + (size - left + 1).astype(U64) * U64(0x9E3779B97F4A7C15)), ends - sizes)
+    shift = U64(64 - bits)
+    owners, buckets = [np.arange(len(cores), dtype=np.int32)], [(mix(whole) >> shift).astype(np.int32)]
+    h = codes
+    for n in range(2, 6):
+        h = h[:-1] * U64(0x100000001B3) + codes[n - 1 :]
+        if n >= 3:
+            at = np.flatnonzero((left[: len(h)] >= n) & (size[: len(h)] > n))
+            owners.append(owner[at])
+            buckets.append((mix(h[at] + U64(n)) >> shift).astype(np.int32))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    return bucket[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(cores))
 
 
 @dataclass
@@ -68,71 +89,77 @@ def constant(share: float) -> Model:
     return Model(np.zeros((1, 1)), np.zeros((1, 2)), np.array([0.0, np.log(share / (1 - share))]))
 
 
-def train(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, passage: int = PASSAGE, seed: int = 7) -> Model:
+def first_of_run(ids: np.ndarray) -> np.ndarray:
+    """1 for every item but those equal to the one before, which have 0."""
+    return np.append(True, ids[1:] != ids[:-1]).astype(np.float32)[: len(ids)]
+
+
+def passage_starts(sizes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, words) of every passage of texts that lie one after another."""
+    count = np.where(sizes > 0, np.maximum(sizes - passage + 1, 1), 0)
+    text = np.repeat(np.arange(len(sizes)), count)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return text, (np.cumsum(sizes) - sizes)[text] + inside, np.minimum(sizes, passage)[text]
+
+
+def train(texts: list[bytes], labels: list[int], bits: int = BITS, dim: int = DIM, steps: int = STEPS, passage: int = PASSAGE, seed: int = 7) -> Model:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
-    rng = np.random.default_rng(seed)
     index: dict[bytes, int] = {}
-    grams: list[int] = []
-    starts: list[int] = []
-    tokens, passages, owner = [], [], []
-    base = 0
-    for d, text in enumerate(texts):
-        words = (text or b"").split()
-        ids = np.empty(len(words), np.int32)
-        for k, w in enumerate(words):
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(starts)
-                starts.append(len(grams))
-                grams += features(w, buckets)
-            ids[k] = i
-        if len(words):
-            cuts = np.arange(0, len(words), passage)
-            tokens.append(ids)
-            passages.append(cuts + base)
-            owner.append(np.full(len(cuts), d))
-            base += len(words)
-    if not tokens:
+    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in (t or b"").split()), np.int32) for t in texts]
+    sizes = np.array([len(t) for t in tokens])
+    has = sizes > 0
+    share = float(y[has].mean()) if has.any() else 0.0
+    if not 0 < share < 1:
         return constant(float(y.mean()))
-    tokens, passages, owner = (np.concatenate(x) for x in (tokens, passages, owner))
-    grams, starts = np.array(grams, np.int32), np.array(starts, np.int64)
-    per_word = np.diff(np.append(starts, len(grams)))
-    size = np.diff(np.append(passages, len(tokens)))
-    fresh = np.append(True, tokens[1:] != tokens[:-1]) * 1.0
-    n_docs = len(y)
-
-    E = np.zeros((buckets, dim))
-    W = rng.normal(0, 1, (dim, 2))
-    has = np.zeros(n_docs, bool)
-    has[owner] = True
-    share = y[has].mean()
-    b = np.array([0.0, np.log(share / (1 - share))]) if 0 < share < 1 else np.zeros(2)
-    passage_word = np.repeat(np.arange(len(passages)), size)
+    tokens = np.concatenate(tokens)
+    grams, per_word = features(list(index), bits)
+    del index
+    starts = np.cumsum(per_word) - per_word
+    # the words of every bucket, for gradients
+    word_of = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)[np.argsort(grams, kind="stable")]
+    held, first = np.unique(np.sort(grams), return_index=True)
+    fresh = first_of_run(tokens)
+    doc, begin, length = passage_starts(sizes, passage)
+    doc_first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    texts_with = doc[doc_first]
+
+    rng = np.random.default_rng(seed)
+    buckets = 1 << bits
+    E = (rng.normal(0, 0.02 / np.sqrt(dim), (buckets, dim))).astype(np.float32)
+    W = rng.normal(0, 1 / np.sqrt(dim), (dim, 2)).astype(np.float32)
+    b = np.zeros(2)
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both classes weigh alike
+    speed, steepest = np.zeros(buckets, np.float32), 0.0
     for step in range(steps):
         direction = W[:, 1] - W[:, 0]
-        norm = np.sqrt(direction @ direction)
-        keep = (rng.random(buckets) >= 0.2) / 0.8
-        s = (E @ direction) * keep
-        word = np.add.reduceat(s[grams], starts) / per_word
-        z = np.add.reduceat(word[tokens] * fresh, passages) / size
-        top = np.full(n_docs, -np.inf)
-        np.maximum.at(top, owner, z)
-        a = np.exp(min(2.0, 4.0 * step / steps) * (z - top[owner]))
-        a /= np.bincount(owner, a, n_docs)[owner]
-        doc = np.bincount(owner, a * z, n_docs) + b[1] - b[0]
-        p = 1 / (1 + np.exp(-np.clip(doc, -30, 30)))
-        g = (p - y) * has
-        each = (g[owner] * a / size)[passage_word] * fresh
-        g_gram = np.bincount(grams, np.repeat(np.bincount(tokens, each, len(starts)) / per_word, per_word), buckets) * keep
-        spread = np.sqrt(np.bincount(grams, np.repeat(np.bincount(tokens, each * each, len(starts)) / per_word**2, per_word), buckets)) * keep
-        signal = g_gram / (spread + 1e-12)
-        signal = np.sign(signal) * np.maximum(np.abs(signal) - NOISE, 0)
-        grad = E.T @ g_gram
-        E -= RATE / norm / (np.abs(signal).max() + NOISE) * signal[:, None] * (direction / norm)[None, :]
-        grad /= np.abs(grad).max() + 1e-12
-        W -= 0.02 * np.stack([-grad, grad], 1)
+        keep = (rng.random(buckets, np.float32) >= DROPOUT).astype(np.float32) / np.float32(1 - DROPOUT)
+        word = np.add.reduceat(((E @ direction) * keep)[grams], starts) / per_word
+        sums = np.append(0.0, np.cumsum(word[tokens] * fresh, dtype=np.float64))
+        z = (sums[begin + length] - sums[begin]) / length
+        # passages count by softmax over the text's passages, ever more sharply
+        sharp = SHARPNESS * min(1.0, 0.125 + 2 * step / steps)
+        a = np.exp(sharp * (z - np.repeat(np.maximum.reduceat(z, doc_first), np.diff(np.append(doc_first, len(z))))))
+        a /= np.bincount(doc, a, len(sizes))[doc]
+        logit = np.bincount(doc, a * z, len(sizes)) + b[1] - b[0]
+        g = np.zeros(len(sizes))
+        g[texts_with] = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)[texts_with] * weight[texts_with]
+        each = g[doc] * a / length
+        cover = np.cumsum(np.bincount(begin, each, len(tokens) + 1) - np.bincount(begin + length, each, len(tokens) + 1))[:-1]
+        by_word = (np.bincount(tokens, cover * fresh, len(per_word)) / per_word).astype(np.float32)
+        to_logit = np.zeros(buckets, np.float32)  # the loss's gradient by each bucket's log odds
+        to_logit[held] = np.add.reduceat(by_word[word_of], first)
+        to_logit *= keep
+        by_weights = E.T @ to_logit
+        # the gradient by an embedding is its bucket's times the softmax's direction
+        steepest = max(steepest, float(np.abs(to_logit).max()))
+        speed = MOMENTUM * speed + to_logit / (steepest + 1e-12)
+        rate = RATE * (1 - 0.9 * step / steps) / float(direction @ direction)
+        E *= np.float32(DECAY)
+        for x in range(0, buckets, 1 << 14):
+            E[x : x + (1 << 14)] -= np.outer(rate * speed[x : x + (1 << 14)], direction).astype(np.float32)
+        W -= 0.05 * np.stack([-by_weights, by_weights], 1) / (np.abs(by_weights).max() + 1e-12)
         b += 0.3 * g.sum() / has.sum() * np.array([1.0, -1.0])
     return Model(E, W, b)
 
@@ -140,25 +167,33 @@ def train(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: in
 class Scorer(dict):
     """Log odds of raw tokens under the collapsed model, remembered up to a bound."""
 
-    def __init__(self, scores: np.ndarray, bias: float, passage: int = PASSAGE):
+    def __init__(self, scores: np.ndarray, bias: float, passage: int = PASSAGE, limit: int = 300_000):
         super().__init__()
-        self.scores, self.bias, self.passage = scores, bias, passage
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = s = float(self.scores[features(word, len(self.scores))].mean())
-        return s
-
-    def score(self, text: bytes | None) -> float:
-        words = text.split() if text else []
-        z = self.bias
-        if words:
-            s = np.fromiter(map(self.__getitem__, words), np.float64, len(words))
-            s[1:][s[1:] == s[:-1]] = 0  # a word said again at once adds nothing, as in training
-            cuts = np.arange(0, len(words), self.passage)
-            z += float((np.add.reduceat(s, cuts) / np.diff(np.append(cuts, len(words)))).max())
-        return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+        self.scores, self.bias, self.passage, self.limit = scores, bias, passage, limit
+        self.bits = len(scores).bit_length() - 1
+
+    def score(self, texts: list[bytes | None]) -> np.ndarray:
+        tokens = [t.split() if t else [] for t in texts]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        flat = [w for t in tokens for w in t]
+        z = np.full(len(texts), self.bias)
+        if flat:
+            every = set(flat)
+            new = list(every.difference(self))
+            if len(self) + len(new) > self.limit:
+                self.clear()
+                new = list(every)
+            for a in range(0, len(new), 50_000):
+                part = new[a : a + 50_000]
+                grams, per = features(part, self.bits)
+                self.update(zip(part, (np.add.reduceat(self.scores[grams], np.cumsum(per) - per) / per).tolist()))
+            s = np.fromiter(map(self.__getitem__, flat), np.float64, len(flat))
+            s[1:][[x == y for x, y in zip(flat, flat[1:])]] = 0  # a word said again at once adds nothing, as in training
+            sums = np.append(0.0, np.cumsum(s))
+            text, begin, length = passage_starts(sizes, self.passage)
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            z[text[first]] += np.maximum.reduceat((sums[begin + length] - sums[begin]) / length, first)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def held_out(doc_id="doc_id"):
@@ -167,15 +202,26 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows that aren't held out."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic").distinct()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = usable.where("toxic = 1").orderBy(*order).limit(sample).unionByName(usable.where("toxic = 0").orderBy(*order).limit(sample))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    sizes = texts.select("doc_id", F.length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("n").alias("n"))
+    taken, used = [], {0: 0, 1: 0}
+    for r in sizes.orderBy(*order).collect():  # at most 2 * sample rows
+        if used[r.toxic] + r.n <= chars:
+            used[r.toxic] += r.n
+            taken.append((r.doc_id, r.toxic, r.n))
+    if not taken:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int, n int")
     rows = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .where(F.length(F.col("text").cast("string")) <= chars)
-        .join(F.broadcast(chosen.distinct()), "doc_id")
+        texts.join(F.broadcast(wanted), "doc_id")
+        .where(F.length("text") == F.col("n"))
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").cast("binary").alias("text"))
         .toPandas()
-        .sort_values(["doc_id", "toxic", "text"])
+        .sort_values(["doc_id", "toxic"])
     )
     return train(rows.text.tolist(), rows.toxic.tolist())
 
@@ -188,8 +234,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         scorer = Scorer(*shipped.value)
 
         def work(batch):
-            scores = [scorer.score(t) for t in blobs(batch, text)]
-            return {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
+            scores = scorer.score(blobs(batch, text))
+            return {"score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
         return work
 
