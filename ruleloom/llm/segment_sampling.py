@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with Gumbel top-k sampling without replacement.
 
 A text becomes the model's normalised form (a leading space, spaces as U+2581). Its segmentations are the paths of a
-lattice of vocabulary pieces; pieces stay within a unit (a run of U+2581 with the letters and digits or with the other
-characters that follow it), and characters without a piece go through byte pieces. A piece has the weight 1 / (rank + 2.7), its rank in the vocabulary (this model
+lattice of vocabulary pieces. The lattice falls apart wherever no piece holds the two characters that meet, so a text is
+cut there into units whose lattices are made once; no piece of the vocabulary crosses a cut. Characters without a piece
+go through byte pieces. A piece has the weight 1 / (rank + 2.7), its rank in the vocabulary (this model
 stores merge ranks, not probabilities), to the power `alpha`; a path's probability is its share of all paths of the text.
 
 `k` distinct segmentations are drawn without replacement by perturbed A-star search: each set of paths has a Gumbel
@@ -25,7 +26,6 @@ from __future__ import annotations
 import itertools
 import math
 import os
-import re
 
 import numpy as np
 import xxhash
@@ -33,16 +33,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from ruleloom.llm.common import U64, mix, sliced, small_batches
+from ruleloom.llm.common import U64, append_columns, mix, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SPACE = "▁"
-UNIT = re.compile(rf"{SPACE}*(?:\w+|[^\w{SPACE}]+)|{SPACE}+")
 #: A literal U+2581 in a text, which must not become a space, travels through byte pieces under this stand-in, which no text holds.
 STAND_IN = "\udfff"
-#: Cumulative probabilities are multiples of this, so that adding a node's number to them is exact and no draw depends on
-#: which numbers a task gives out.
+#: Cumulative probabilities are multiples of this, and draws lie halfway between them.
 GRID = 2.0**-28
 #: Edges that a task remembers, and characters that it takes at a time.
 MAX_EDGES, CHARS = 3_000_000, 2_000_000
@@ -71,10 +69,39 @@ class Pieces:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 rank += 1
         self.longest = max(map(len, self.weights))
+        self._pairs()
         self.alphabet = np.array(sorted({ord(c) for x in self.weights for c in x}), np.int64)
         self._trie()
         self.byte_weight = -alpha * float(np.log(rank + 2.7)) - 10.0
 
+    def _pairs(self):
+        """Which neighbours some piece holds: classes of the characters (0: in no pair) and a table over two classes."""
+        pairs = {x[i : i + 2] for x in self.weights for i in range(len(x) - 1)}
+        letters = sorted({c for x in pairs for c in x})
+        self.class_of = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+        for i, c in enumerate(letters, 1):
+            self.class_of[ord(c)] = i
+        self.classes = len(letters) + 1
+        self.paired = np.zeros(self.classes * self.classes, bool)
+        for a, b in pairs:
+            self.paired[self.class_of[ord(a)] * self.classes + self.class_of[ord(b)]] = True
+
+    def units(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The units of all texts, and how many each text has."""
+        marked = [SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE) if t else "" for t in texts]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        whole = "".join(marked)
+        if not whole:
+            return [], np.zeros(len(texts), np.int64)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.class_of[np.minimum(codes, len(self.class_of) - 1)]
+        begins = np.append(True, ~self.paired[kind[:-1] * self.classes + kind[1:]])
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(begins)
+        cuts = at.tolist()
+        ends = np.cumsum(sizes)
+        return [whole[a:b] for a, b in zip(cuts, [*cuts[1:], len(whole)])], np.searchsorted(at, ends) - np.searchsorted(at, ends - sizes)
+
     def _trie(self):
         """Transitions as sorted keys (state * letters + letter), and the piece that ends in each state."""
         letters = len(self.alphabet)
@@ -101,13 +128,10 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def units(text: str) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(SPACE, STAND_IN).replace(" ", SPACE)) if text else []
-
-
 class Lattices:
-    """Nodes and edges of the units seen so far, as flat arrays. A node's edges are one range of `cdf`, which rises from
-    the node's number to the next one."""
+    """Nodes and edges of the units seen so far, as flat arrays: by edge the cumulative probability within its node, the
+    node it leads to (-1: the unit's end), the piece, its log probability and its node; by node its first edge. A node's
+    edges are one range, longer pieces first, as these are mostly the likelier ones."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -116,8 +140,8 @@ class Lattices:
     def clear(self):
         self.base: dict[str, int] = {}
         self.nodes = 0
-        self.new: tuple[list, ...] = ([], [], [], [], [])
-        self.arrays = [np.empty(0, t) for t in (np.float64, np.int64, np.int32, np.float64, np.int64)]
+        self.new: tuple[list, ...] = ([], [], [], [], [], [])
+        self.arrays = [np.empty(0, t) for t in (np.float64, np.int32, np.int32, np.float64, np.int32, np.int32)]
 
     def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
         """(end, id, log weight) from every position. Byte chains go through positions beyond the unit's length, in order."""
@@ -162,21 +186,22 @@ class Lattices:
                 top = max(ws)
                 beta[i] = top + math.log(sum([math.exp(w - top) for w in ws]))
         first = self.nodes
-        cdf, target, ids, logps, node = self.new
+        cdf, target, ids, logps, node, begin = self.new
         for i, own in enumerate(out):
             if i == n:
                 continue
             start = first + i - (i > n)
             total = 0.0
-            for j, piece, w in own:
+            begin.append(len(self.arrays[0]) + len(cdf))
+            for j, piece, w in reversed(own):
                 logp = min(w + beta[j] - beta[i], 0.0)
                 total += math.exp(logp)
-                cdf.append(start + min(round(total / GRID) * GRID, 1.0))
+                cdf.append(min(round(total / GRID) * GRID, 1.0))
                 target.append(-1 if j == n else first + j - (j > n))
                 ids.append(piece)
                 logps.append(logp)
                 node.append(start)
-            cdf[-1] = start + 1.0
+            cdf[-1] = 1.0
         self.base[unit] = first
         self.nodes += len(out) - 1
         return first
@@ -208,30 +233,34 @@ class Lattices:
             found.append((at[hit], at[hit] + depth, piece[hit], p.end_weight[state[hit]]))
             on = at + depth < end_of[at]
             at, state = at[on], state[on]
-        a, b, ids, w = (np.concatenate(x) for x in zip(*found))
-        left = end_of[a] - a
-        order = np.lexsort((b, a, left))
-        a, b, ids, w, left = a[order], b[order], ids[order], w[order], left[order]
+        # by node, longer pieces first; then the nodes by what is left of their unit, so that ends come before starts
+        a, b, ids, w = (np.concatenate(x[::-1]) for x in zip(*found))
+        order = np.argsort(a, kind="stable")
+        a, b, ids, w = a[order], b[order], ids[order], w[order]
         last = b == end_of[a]
+        left = (end_of[a] - a).astype(np.int8)
+        order = np.argsort(left, kind="stable")
         beta = np.zeros(n + 1)
-        cuts = np.searchsorted(left, np.arange(1, int(left[-1]) + 2))
+        cuts = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
         for x, y in zip(cuts[:-1], cuts[1:]):
             if y > x:
-                v = w[x:y] + np.where(last[x:y], 0.0, beta[b[x:y]])
-                new = np.flatnonzero(np.append(True, a[x + 1 : y] != a[x : y - 1]))
+                at = order[x:y]
+                own = a[at]
+                v = w[at] + np.where(last[at], 0.0, beta[b[at]])
+                new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 top = np.maximum.reduceat(v, new)
-                beta[a[x:y][new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(new, y - x)))), new))
+                beta[own[new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(new, y - x)))), new))
         logp = np.minimum(w + np.where(last, 0.0, beta[b]) - beta[a], 0.0)
-        order = np.lexsort((b, a))
-        a, b, ids, logp, last = a[order], b[order], ids[order], logp[order], last[order]
-        total = np.cumsum(np.exp(logp))
+        likely = np.exp(logp)
+        total = np.cumsum(likely)
         new = np.append(True, a[1:] != a[:-1])
-        before = (total - np.exp(logp))[new][np.cumsum(new) - 1]
+        begin = np.flatnonzero(new)
+        before = np.repeat((total - likely)[begin], np.diff(np.append(begin, len(a))))
         cdf = np.minimum(np.rint((total - before) / GRID) * GRID, 1.0)
         cdf[np.append(new[1:], True)] = 1.0
         self.ready()
         first = self.nodes
-        more = (cdf + a + first, np.where(last, -1, b + first), ids, logp, a + first)
+        more = (cdf, np.where(last, -1, b + first), ids, logp, a + first, begin + len(self.arrays[0]))
         self.arrays = [np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(self.arrays, more)]
         self.nodes += n
         self.base.update(zip(itertools.compress(us, simple.tolist()), (first + np.cumsum(sizes) - sizes).tolist()))
@@ -247,7 +276,7 @@ class Lattices:
         """The arrays, with all units added so far."""
         if self.new[0]:
             self.arrays = [np.concatenate([a, np.array(x, a.dtype)]) for a, x in zip(self.arrays, self.new)]
-            self.new = ([], [], [], [], [])
+            self.new = ([], [], [], [], [], [])
         return self.arrays
 
 
@@ -259,10 +288,14 @@ def uniform(keys: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
 
 def walk(arrays, nodes: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Draw a path through each unit from the given nodes; (edges in order, edges of each unit). at, keys: what the draws depend on."""
-    cdf, target = arrays[0], arrays[1]
+    cdf, target, begin = arrays[0], arrays[1], arrays[5]
     who, step, seen = np.arange(len(nodes)), 0, []
     while len(who):
-        e = np.searchsorted(cdf, nodes + uniform(keys, at, step), "right")
+        e, u = begin[nodes], uniform(keys, at, step)
+        on = np.flatnonzero(cdf[e] <= u)
+        while len(on):
+            e[on] += 1
+            on = on[cdf[e[on]] <= u[on]]
         seen.append((who, e))
         nodes = target[e]
         more = nodes >= 0
@@ -331,7 +364,7 @@ def sample_many(arrays, texts: list[tuple[np.ndarray, int]], k: int) -> list[lis
     Values are kept as log arrival times, the negated Gumbel values: a set with log rate r that is open from log time t on
     has its next arrival at log(exp(t) + E / exp(r)), E exponential.
     """
-    cdf, target, ids, logp, node = arrays
+    _, _, ids, logp, _, _ = arrays
     searches = [Search() for _ in texts]
     key_of = np.array([key for _, key in texts], U64)
     tails: list[tuple] = []  # text, time, edges before, their units, first unit and nodes of what is to be drawn
@@ -386,12 +419,12 @@ def sample_many(arrays, texts: list[tuple[np.ndarray, int]], k: int) -> list[lis
 
 def _turn(arrays, s: Search, d: int, text: tuple, turn: int) -> tuple:
     """Pop the next set of a text: the path so far with the new step, and what remains to be drawn after it."""
-    _, target, _, logp, node = arrays
+    _, target, _, logp, node, begin = arrays
     starts, key = text
     t, path, step, used = s.pop()
     edges, owner, before, _ = s.paths[path]
     at = int(node[edges[step]])
-    a, b = np.searchsorted(node, (at, at + 1))
+    a, b = int(begin[at]), int(begin[at + 1]) if at + 1 < len(begin) else len(target)
     left = [e for e in range(a, b) if e not in used]
     weights = [math.exp(logp[e]) for e in left]
     u, v = uniform(np.full(2, key, U64) ^ U64(0x5C5C5C5C), np.arange(2), turn + 2).tolist()
@@ -421,10 +454,7 @@ def sample_segmentations(df: DataFrame, key: str = "doc_id", text: str = "text",
     """A row for each document and sample: the other columns of `df`, then sample (from 1), ids, log_prob, gumbel, inclusion."""
     import pyarrow as pa
 
-    sc = df.sparkSession.sparkContext
-    name = os.path.basename(model)
-    if name not in {os.path.basename(f) for f in sc.listFiles}:
-        sc.addFile(model)
+    name = _with_model(df, model)
     new = StructType.fromDDL("sample int, ids array<int>, log_prob double, gumbel double, inclusion double")
     keep = [f for f in df.schema.fields if f.name not in new.names]
 
@@ -437,18 +467,17 @@ def sample_segmentations(df: DataFrame, key: str = "doc_id", text: str = "text",
                 rows, got, size, these = [], [], 0, []
                 if len(lattices.arrays[0]) > MAX_EDGES:
                     lattices.clear()
-                while start < len(texts) and size < CHARS:
-                    t = texts[start].as_py() or ""
-                    size += len(t)
-                    these.append((start, units(t), row_key(keys[start].as_py(), seed)))
-                    start += 1
-                starts = lattices.starts([u for x in these for u in x[1]])
-                cuts = np.cumsum([0] + [len(x[1]) for x in these])
-                drawn = sample_many(lattices.ready(), [(starts[a:b], x[2]) for x, a, b in zip(these, cuts, cuts[1:])], k)
-                for x, found in zip(these, drawn):
+                while start + len(these) < len(texts) and size < CHARS:
+                    these.append(texts[start + len(these)].as_py() or "")
+                    size += len(these[-1])
+                own, counts = lattices.pieces.units(these)
+                first = np.split(lattices.starts(own), np.cumsum(counts)[:-1])
+                drawn = sample_many(lattices.ready(), [(f, row_key(keys[start + i].as_py(), seed)) for i, f in enumerate(first)], k)
+                for row, found in enumerate(drawn, start):
                     for s in enumerate(found, 1):
-                        rows.append(x[0])
+                        rows.append(row)
                         got.append(s)
+                start += len(these)
                 sizes = np.cumsum([0] + [len(s[1][0]) for s in got]).astype(np.int32)
                 flat = np.concatenate([s[1][0] for s in got]).astype(np.int32)
                 part = batch.take(pa.array(rows))
@@ -458,3 +487,35 @@ def sample_segmentations(df: DataFrame, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in keep] + new.names)
 
     return small_batches(df).mapInArrow(run, StructType(keep + new.fields))
+
+
+def _with_model(df: DataFrame, model: str) -> str:
+    sc, name = df.sparkSession.sparkContext, os.path.basename(model)
+    if name not in {os.path.basename(f) for f in sc.listFiles}:
+        sc.addFile(model)
+    return name
+
+
+def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+    """Append ids: the model's own segmentation, the one encoding without sampling (null and empty texts: no ids). The
+    model itself turns U+2581 into a space and may merge white space; samples keep both."""
+    name = _with_model(df, model)
+
+    def make():
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(name))
+        return lambda batch: {"ids": [sp.encode(t) if t else [] for t in batch.column(text).to_pylist()]}
+
+    return append_columns(df, "ids array<int>", make)
+
+
+def decode(df: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
+    """Append text: what the ids stand for (null or no ids: the empty text). Ids outside the vocabulary are an error."""
+    name = _with_model(df, model)
+
+    def make():
+        pieces = Pieces(SparkFiles.get(name))
+        return lambda batch: {"text": [pieces.decode(x or ()) for x in batch.column(ids).to_pylist()]}
+
+    return append_columns(df, "text string", make)
