@@ -2,9 +2,9 @@
 
 Texts are lower-cased (A-Z) and cut into words; the search runs over the words joined by single spaces, so spans are
 words and line breaks or punctuation play no part. A notice with up to k edits is cut into k + 1 exact seeds: by the
-pigeonhole principle one of them is unharmed in any place with at most k edits. Every seed hit opens a candidate
-region, on which the regex library's bounded-error matching confirms the edits and gives the span; what is left of the
-region on both sides is searched again. License codes and version numbers must stand in a span without edits (a final
+pigeonhole principle one of them is unharmed in any place with at most k edits. Every seed hit gives a candidate region, just large
+enough for the notice around it, on which the regex library's bounded-error matching confirms the edits and gives the
+best span; regions are judged one by one, even where they overlap, so no notice hides its neighbour. License codes and version numbers must stand in a span without edits (a final
 "0" may be missing), so a notice of another license or version is no place. Of overlapping spans the one with the fewest edits stays. Base phrases are found exactly, at every place.
 
 Defined results: null and empty texts have no words, labels or places and score 0; repeated rows are scanned each;
@@ -13,6 +13,9 @@ long texts are scanned whole. Output columns replace columns of equal name.
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -58,37 +61,36 @@ class Notice:
 
     def places(self, text: bytes):
         """(start, end, edits) in bytes, found from seeds and confirmed."""
-        found, regions = set(), []
+        begins = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                start = max(0, at - offset - self.edits)
-                regions.append((start, at - offset + self.size + self.edits))
+                begins.add(at - offset)
                 at = text.find(seed, at + 1)
-        for a, b in _merged(regions):
-            left = [(a, b)]
-            while left:
-                a, b = left.pop()
-                m = self.pattern.search(text, a, b) if b - a >= self.size - self.edits else None
-                if m:
-                    found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    left += [(a, m.start()), (m.end(), b)]
+        found = set()
+        for begin in begins:
+            m = self.pattern.search(text, max(0, begin - self.edits), begin + self.size + self.edits)
+            if m:
+                found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
         return found
 
     def keeps_codes(self, line: bytes, a: int, b: int) -> bool:
         """Whether the codes and numbers stand unedited among the words of a span."""
         first, last = line.rfind(b" ", 0, a + 1), line.find(b" ", b - 1)
-        return all((m := p.search(line, first)) and m.start() < last for p in self.fixed)
+        return all((m := p.search(line, first, last + 2)) and m.start() < last for p in self.fixed)
 
 
-def _merged(regions):
-    out: list[list[int]] = []
-    for a, b in sorted(regions):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def apart(hits: list[tuple], begin: int = 2, end: int = 3) -> list[tuple]:
+    """Of hits in order of preference those that overlap no earlier one, by their places."""
+    begins, ends, out = [], [], []
+    for hit in hits:
+        a, b = hit[begin], hit[end]
+        k = bisect.bisect_left(ends, a + 1)  # the first kept one that ends after a
+        if k == len(begins) or b <= begins[k]:
+            begins.insert(k, a)
+            ends.insert(k, b)
+            out.append(hit)
+    return sorted(out, key=lambda h: h[begin])
 
 
 def scan(text: bytes | None, notices: list[Notice], base=BASE):
@@ -101,24 +103,22 @@ def scan(text: bytes | None, notices: list[Notice], base=BASE):
         key = b" " + phrase.encode() + b" "
         at = line.find(key)
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            starts.append(at)
             labels.add(label)
             score = 1.0
             at = line.find(key, at + 1)
     hits = [(e, -(b - a), a, b, n.label, n.size) for n in notices for a, b, e in n.places(line) if n.keeps_codes(line, a, b)]
-    spans, taken = [], []
-    for e, _, a, b, label, size in sorted(hits):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            first = line.count(b" ", 0, a + 1) - (line[a : a + 1] != b" ")
-            last = line.count(b" ", 0, b) - 1
-            spans.append((label, first, last, e, line[a:b].decode("utf-8", "replace").strip()))
-            score = max(score, 1.0 - e / size)
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if starts or hits else ()
+    word = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  (words that start at or before a space)
+    spans = []
+    for e, _, a, b, label, size in apart(sorted(hits)):
+        spans.append((label, word(a) - (line[a] != 32), word(b) - 1, e, line[a:b].decode("utf-8", "replace").strip()))
+        score = max(score, 1.0 - e / size)
     every = sorted(labels | {s[0] for s in spans})
     return (
-        len(words), len(starts), min(starts, default=None), max(starts, default=None),
-        ",".join(sorted(labels)), ",".join(every), score, sorted(spans, key=lambda s: s[1]),
-    )
+        len(words), len(starts), word(min(starts)) if starts else None, word(max(starts)) if starts else None,
+        ",".join(sorted(labels)), ",".join(every), score, spans,
+    )
 
 
 def scan_licenses(df: DataFrame, text: str = "text", notices=NOTICES, base=BASE, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
