@@ -72,3 +72,7 @@ def exponential(z):
 
 def logarithm(z):
     return make(F.log(magnitude(z)), phase(z))
+
+
+def from_polar(magnitude_: Column, angle: Column) -> Column:
+    return make(magnitude_ * F.cos(angle), magnitude_ * F.sin(angle))

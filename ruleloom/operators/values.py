@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -163,3 +164,52 @@ def power_of(base, exponent: int, times_, one):
 
 def total(columns):
     return reduce(lambda a, b: a + b, columns)
+
+
+def units_equal(a: dict | None, b: dict | None) -> bool:
+    return tidy(a) == tidy(b)
+
+
+def divided(a: dict, b: dict) -> dict:
+    return times(a, b, -1)
+
+
+def number_text(x: float) -> str:
+    """A double as JSON and scripts write it: the shortest digits that read back, exponents from 1e21 on and below 1e-6."""
+    if x != x:
+        return "NaN"
+    if x in (float("inf"), float("-inf")):
+        return "Infinity" if x > 0 else "-Infinity"
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(float(x))).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = exponent + len(digits)  # the place of the decimal point from the first digit
+    n = len(text)
+    if n <= point <= 21:
+        out = text + "0" * (point - n)
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        e = point - 1
+        out = text[0] + ("." + text[1:] if n > 1 else "") + f"e{'+' if e > 0 else '-'}{abs(e)}"
+    return "-" + out if sign else out
+
+
+def text_of_number(col: Column) -> Column:
+    """number_text over a column; NULL stays. Doubles whose plain text Java writes alike stay in generated code."""
+    plain = (F.abs(col) >= F.lit(1e-3)) & (F.abs(col) < F.lit(1e7))
+    java = F.regexp_replace(col.cast("string"), r"\.0$", "")
+    return F.when(plain, java).when(col.isNotNull(), _number_text_udf()(F.when(~plain, col)))
+
+
+def _number_text_udf():
+    @F.pandas_udf("string")
+    def text(xs):
+        import pandas as pd
+
+        return pd.Series([None if x is None else number_text(x) for x in xs.astype(object).where(xs.notna() | (xs != xs), None)], dtype=object)
+
+    return text

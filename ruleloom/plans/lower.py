@@ -12,6 +12,8 @@ of a parent in order, in an array.
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -31,6 +33,8 @@ from ruleloom.sources.bindings import ArrayBinding, BindingError, ChildTable, Co
 MAX_REFERENCES, MAX_NODES = 100, 10_000
 #: From so many nodes on, an operand that a formula names twice is bound first.
 BIND_FROM = 6
+#: Up to so many nodes of its operands an operation names them directly, which keeps it in generated code.
+INLINE_UP_TO = 12
 
 REASON = "struct<code:string,message:string>"
 TYPES = {"number": "double", "text": "string", "boolean": "boolean", "instant": "bigint", "duration": "double", "complex": "struct<re:double,im:double>", None: "boolean"}
@@ -100,6 +104,7 @@ class Lowering:
     accumulator: Ev | None = None
     tables: dict = field(default_factory=dict)
     names: list = field(default_factory=lambda: [0])
+    visits: list = field(default_factory=lambda: [0])
 
     # -- composition -------------------------------------------------------------------------------------------------
 
@@ -107,8 +112,17 @@ class Lowering:
         self.names[0] += 1
         return f"__rl{self.names[0]}"
 
+    def inlined(self, evs: list[Ev]) -> bool:
+        return sum(e.size for e in evs) <= INLINE_UP_TO
+
+    def grown(self, evs: list[Ev], times: int = 3) -> int:
+        """The size of an operation that names its operands several times, unless they are bound."""
+        return 1 + sum(e.size for e in evs) * (times if self.inlined(evs) else 1)
+
     def bound(self, evs: list[Ev], body) -> Column:
-        """body(columns) with every child evaluated once."""
+        """body(columns) with every child evaluated once, or named directly where they are small."""
+        if self.inlined(evs):
+            return body([e.s for e in evs])
         row = F.struct(*[e.s.alias(f"c{i}") for i, e in enumerate(evs)])
         return F.element_at(F.transform(F.array(row), lambda x: body([x[f"c{i}"] for i in range(len(evs))])), 1)
 
@@ -128,7 +142,7 @@ class Lowering:
             r = F.when(v.isNull(), F.coalesce(reasons([x["r"] for x in structs]), *own) if structs else own[0])
             return F.struct(v.alias("v"), r.alias("r"))
 
-        return Ev(kind, self.bound(evs, body), unit, finite, size)
+        return Ev(kind, self.bound(evs, body), unit, finite, self.grown(evs))
 
     def known(self, kind, v: Column, unit=None, literal=None, finite=True) -> Ev:
         s = F.struct(v.alias("v"), no_reason().alias("r")) if self.explain else v
@@ -144,11 +158,19 @@ class Lowering:
     # -- expressions -------------------------------------------------------------------------------------------------
 
     def expression(self, node: dict) -> Ev:
+        self.visit()
         return getattr(self, "e_" + node["kind"])(node)
 
     def predicate(self, node: dict) -> Ev:
+        self.visit()
         return getattr(self, "p_" + node["kind"])(node)
 
+    def visit(self):
+        """Count a node, those of referenced trees each time they are inlined."""
+        self.visits[0] += 1
+        if self.visits[0] > self.limits["nodes"]:
+            raise nodes.InvalidTree([("", f"the tree has more than {self.limits['nodes']} nodes, with the trees that it refers to")])
+
     def e_numberLiteral(self, n):
         return self.known("number", F.lit(float(n["value"])), val.tidy(n.get("unit")), n["value"], finite=n["value"] == n["value"])
 
@@ -230,12 +252,14 @@ class Lowering:
             return self.op([a], "complex", lambda c: cx.make(-c[0]["re"], -c[0]["im"]), unit=a.unit, finite=a.finite, twice=True)
         return self.wrong([a], f"cannot negate {article(a.kind)} value")
 
-    def checked(self, evs, kind, value, why=None, unit=None) -> Ev:
+    def checked(self, evs, kind, value, why=None, unit=None, inline=True) -> Ev:
         """An operation whose result must be finite."""
         inf = "result is not a finite number"
         ok = cx.is_finite if kind == "complex" else val.finite
         if not self.explain:
             raw = self.op(evs, kind, value, unit=unit, twice=True)
+            if inline and self.inlined([raw]):
+                return Ev(kind, F.when(ok(raw.s), raw.s), unit, True, 2 * raw.size)
             kept = F.filter(F.array(raw.s), lambda x: ok(x))
             return Ev(kind, F.get(kept, F.lit(0)), unit, True, raw.size + 1)
 
@@ -243,6 +267,10 @@ class Lowering:
             vs = [x["v"] for x in structs]
             own = why(vs) if why else no_reason()
             r = F.coalesce(first_reason([x["r"] for x in structs]), own)
+            if inline and self.inlined(evs):
+                v = value(vs)
+                sound = F.coalesce(ok(v), F.lit(False))
+                return F.struct(F.when(r.isNull() & sound, v).alias("v"), F.when(r.isNotNull(), r).when(~sound, reason("domain-error", inf)).alias("r"))
             raw = F.struct(value(vs).alias("v"), r.alias("r"))
             return F.element_at(
                 F.transform(
@@ -255,7 +283,7 @@ class Lowering:
                 1,
             )
 
-        return Ev(kind, self.bound(evs, body), unit, True, 1 + sum(e.size for e in evs))
+        return Ev(kind, self.bound(evs, body), unit, True, self.grown(evs, 4))
 
     def e_arithmetic(self, n):
         op = n["op"]
@@ -321,13 +349,17 @@ class Lowering:
         if op == "modulo":
             return self.wrong(ab, "'modulo' is undefined for complex values", "complex", "domain-error")
         if op == "power":
-            exponent = b.literal if b.kind == "number" else None
-            if exponent is None and n["right"]["kind"] == "negate" and n["right"]["operand"]["kind"] == "numberLiteral":
-                exponent = -n["right"]["operand"]["value"]
-            if b.kind != "number" or exponent is None or exponent != int(exponent):
+            if b.kind != "number":
                 return self.wrong(ab, "'power' with a complex operand requires a real integer exponent")
             if ua or ub:
                 return self.wrong(ab, "'power' requires dimensionless operands")
+            exponent = b.literal
+            if exponent is None and n["right"]["kind"] == "negate" and n["right"]["operand"]["kind"] == "numberLiteral":
+                exponent = -n["right"]["operand"]["value"]
+            if exponent is None:
+                return self.computed_power(a, b)
+            if not math.isfinite(exponent) or exponent != int(exponent):
+                return self.wrong(ab, "'power' with a complex operand requires a real integer exponent")
             k = abs(int(exponent))
             raised = self.chain_power(a, k)
             if exponent >= 0:
@@ -347,6 +379,25 @@ class Lowering:
             ab, "complex", lambda c: F.when(~zero(c), both(cx.divide)(c)), lambda c: F.when(zero(c), reason("domain-error", "division by zero")), val.times(ua, ub, -1)
         )
 
+    def computed_power(self, a: Ev, b: Ev) -> Ev:
+        """a ** b by squaring, b being a column: one step of the aggregate for each bit of the exponent."""
+        fits = lambda c: (c[1] == F.floor(c[1])) & val.finite(c[1])
+        one = cx.make(F.lit(1.0), F.lit(0.0))
+        zero = lambda c: (c[1] < 0) & cx.is_zero(c[0])
+
+        def raised(c):
+            bits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.abs(c[1]), F.lit(1.0)))).cast("int"))
+            start = F.struct(one.alias("out"), cx.make(c[0]["re"], c[0]["im"]).alias("square"), F.abs(c[1]).alias("left"))
+            step = lambda s, _: F.struct(
+                F.when(s["left"] % 2 == 1, cx.multiply(s["out"], s["square"])).otherwise(s["out"]).alias("out"),
+                cx.multiply(s["square"], s["square"]).alias("square"), F.floor(s["left"] / 2).cast("double").alias("left"),
+            )
+            out = F.aggregate(bits, start, step, lambda s: F.when(c[1] >= 0, s["out"]).otherwise(cx.divide(one, s["out"])))
+            return F.when(c[0].isNotNull() & fits(c) & ~zero(c), out)
+
+        fraction = reason("wrong-type", "'power' with a complex operand requires a real integer exponent")
+        return self.checked([a, b], "complex", raised, lambda c: F.when(~fits(c), fraction).when(zero(c), reason("domain-error", "division by zero")), {}, inline=False)
+
     def chain_power(self, a: Ev, k: int) -> Ev:
         """a ** k by squaring; every square is bound once."""
         square = lambda e: self.checked([e], "complex", lambda c: F.when(c[0].isNotNull(), cx.multiply(c[0], c[0])), unit={})
@@ -570,18 +621,21 @@ class Lowering:
             same = lambda c: F.when(c[0].isNotNull() & c[1].isNotNull(), cx.equal(c[0], c[1]))
             return (same if op == "eq" else lambda c: ~same(c)), True
         if a.kind == "duration" and a.unit != b.unit:
-            return lambda c: F.when(F.isnan(c[0]) | F.isnan(c[1]), F.lit(op == "neq")).otherwise(plain(val.duration_order(c[0], a.unit, c[1], b.unit), F.lit(0))), True
+            return lambda c: F.when(F.isnan(c[0]) & c[1].isNotNull() | F.isnan(c[1]) & c[0].isNotNull(), F.lit(op == "neq")).otherwise(
+                F.when(c[0].isNotNull() & c[1].isNotNull(), plain(val.duration_order(c[0], a.unit, c[1], b.unit), F.lit(0)))
+            ), True
         loose = [i for i, e in enumerate((a, b)) if e.kind in ("number", "duration") and not e.finite]
         if not loose:
             return lambda c: plain(c[0], c[1]), False
-        nan = lambda c: reduce(lambda x, y: x | y, [F.isnan(c[i]) for i in loose])
+        def nan(c):
+            """Whether one operand is NaN and the other is there."""
+            return reduce(lambda x, y: x | y, [F.isnan(c[i]) & c[1 - i].isNotNull() for i in loose])
+
         # NaN differs from everything, itself included; the plain comparison stays a conjunct of its own, for pushdown
         if op in ("gt", "gte", "lt", "lte", "eq"):
-            upper = {"gt": [1], "gte": [1, 0], "lt": [0], "lte": [0, 1], "eq": [0, 1]}[op]
             literal = {i for i, e in enumerate((a, b)) if e.literal is not None and e.literal == e.literal}
             if op in ("lt", "lte", "eq") and 1 in literal or op in ("gt", "gte", "eq") and 0 in literal or op == "eq" and literal:
                 return lambda c: plain(c[0], c[1]), False  # NaN ranks above every number, so it can't pass
-            del upper
             return lambda c: plain(c[0], c[1]) & ~nan(c), True
         return lambda c: plain(c[0], c[1]) | nan(c), True
 
@@ -600,7 +654,9 @@ class Lowering:
         negated = op in ("notMatches", "portableNotMatches")
         if b.literal is None:
             found = self.attached(_match_udf(portable, negated), ab)
-            return self.op(ab, "boolean", lambda c: F.when(c[0].isNotNull() & c[1].isNotNull(), found), lambda c: reason("wrong-type", F.concat(F.lit("'"), c[1], F.lit("' is not a valid regular expression pattern"))))
+            invalid = lambda c: reason("wrong-type", F.concat(F.lit("'"), c[1], F.lit("' is not a valid regular expression pattern")))
+            beyond = lambda c: reason("domain-error", F.concat(F.lit("the text cannot be tested against '"), c[1], F.lit("'")))
+            return self.op(ab, "boolean", lambda c: F.when(c[0].isNotNull() & c[1].isNotNull() & (found < 2), found == 1), lambda c: F.when(found == 2, beyond(c)).otherwise(invalid(c)))
         try:
             tree = rx.parse(b.literal) if portable else rx.parse_ecma(b.literal)
             machine = rx.Automaton(tree)
@@ -747,7 +803,7 @@ class Lowering:
     def child(self, binding: ChildTable) -> Lowering:
         scope = binding.scope or Scope()
         scope = replace(scope, functions=scope.functions or self.place.scope.functions, trees=scope.trees or self.place.scope.trees)
-        return Lowering(Place(scope, binding.df.schema, F.col), limits=self.limits, chain=self.chain, names=self.names)
+        return Lowering(Place(scope, binding.df.schema, F.col), limits=self.limits, chain=self.chain, names=self.names, visits=self.visits)
 
     def aggregated(self, key, binding: ChildTable, low: Lowering, aggregate: Column, empty: Column | None) -> Column:
         """A column with an aggregate over the child rows of each parent; `empty` stands where there are none."""
@@ -821,8 +877,11 @@ class Lowering:
                 pick = F.max if mode == "max" else F.min
                 if e.finite:
                     best = pick(F.when(f, e.s))
-                else:  # NaN never replaces another value, and stays if it comes first
-                    best = F.when(F.max(F.when(f, F.isnan(e.s))), F.lit(None)).otherwise(pick(F.when(f, e.s)))
+                else:  # NaN never replaces another value, and stays if it comes first; without an order it comes last
+                    best = F.coalesce(pick(F.when(f & ~F.isnan(e.s), e.s)), pick(F.when(f, e.s)))
+                    if binding.order:
+                        first = F.min_by(F.when(f, e.s), F.when(f, F.struct(*binding.order)))
+                        best = F.when(F.isnan(first), first).otherwise(best)
                 return Ev(e.kind, self.aggregated(n["collection"], binding, low, F.when(~F.coalesce(bad, F.lit(False)), best), None), e.unit, e.finite)
         array, schema, scope = self.items(n["collection"])
         kind: dict = {}
@@ -959,20 +1018,27 @@ def _nfa_udf(tree):
 
 
 def _match_udf(portable: bool, negated: bool):
-    """Patterns that come from data."""
+    """Patterns that come from data: 1 or 0, 2 for a text beyond the matcher's limits, NULL for no pattern."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("int")
     def test(texts, patterns):
         import pandas as pd
 
+        @functools.lru_cache(1000)
+        def machine(p):
+            try:
+                return rx.Automaton(rx.parse(p) if portable else rx.parse_ecma(p))
+            except rx.PatternError:
+                return None
+
         def one(t, p):
-            if t is None or p is None:
+            if t is None or p is None or machine(p) is None:
                 return None
             try:
-                return rx.Automaton(rx.parse(p) if portable else rx.parse_ecma(p)).test(t) != negated
-            except (rx.PatternError, rx.InputTooLarge):
-                return None
+                return int(machine(p).test(t) != negated)
+            except rx.InputTooLarge:
+                return 2
 
-        return pd.Series([one(t, p) for t, p in zip(texts, patterns)], dtype=object)
+        return pd.Series([one(t, p) for t, p in zip(texts, patterns)], dtype="Int32")
 
     return test

@@ -10,6 +10,8 @@ import json
 import math
 import sys
 
+from ruleloom.operators.values import number_text
+
 MAX_DEPTH, MAX_ITEMS, MAX_VALUES, MAX_STRING, MAX_TEXT = 500, 65_536, 1_000_000, 1_048_576, 4_194_304
 
 # trees may nest MAX_DEPTH deep, and reading takes some calls a level
@@ -205,8 +207,17 @@ def tree_kinds(value) -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON text with sorted keys and no white space."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """RFC 8785 text: keys sorted by their UTF-16 units, no white space, numbers in their shortest form."""
+    if isinstance(value, bool) or value is None:
+        return json.dumps(value)
+    if isinstance(value, (int, float)):
+        return number_text(float(value))
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, (list, tuple)):
+        return f"[{','.join(map(canonical, value))}]"
+    units = lambda k: k.encode("utf-16-be", "surrogatepass")
+    return f"{{{','.join(f'{canonical(k)}:{canonical(value[k])}' for k in sorted(value, key=units))}}}"
 
 
 def children(node: dict):

@@ -66,6 +66,7 @@ def with_values(df: DataFrame, trees: dict[str, dict], scope: Scope | None = Non
     for tree in trees.values():
         tree = read(tree)
         _check_size(low, tree)
+        low.visits[0] = 0  # each tree has the whole limit
         columns.append((low.predicate if of == "predicate" else low.expression)(tree).s)
     return _apply(df, low, list(trees), columns)
 

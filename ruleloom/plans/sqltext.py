@@ -1,4 +1,5 @@
-"""Predicate trees as Spark SQL text with positional parameters: a WHERE fragment for spark.sql(text, args=[...]).
+"""Predicate trees as Spark SQL text with named parameters: a WHERE fragment for spark.sql(text, args={...}). A fragment that
+stands in the text twice names its parameters twice.
 
 What SQL text can't say exactly is refused with the node's kind, path and reason; `unpushable` tells beforehand. The
 Column form (plans.rules) covers everything.
@@ -6,6 +7,7 @@ Column form (plans.rules) covers everything.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from ruleloom.functions import regex as rx
@@ -21,7 +23,18 @@ class UnsupportedNode(ValueError):
 
 
 class InvalidColumn(ValueError):
-    pass
+    """A column name that can't be written as one to three quoted segments."""
+
+
+class InvalidTable(ValueError):
+    """A collection's table name that can't be written as one or two quoted segments."""
+
+
+class UnknownDialect(ValueError):
+    """A dialect other than those that compile_sql writes."""
+
+
+DIALECTS = ("spark",)
 
 
 @dataclass
@@ -46,17 +59,23 @@ OPS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "neq": "<>"}
 TYPES = {"number": "DOUBLE", "text": "STRING", "boolean": "BOOLEAN", "instant": "BIGINT"}
 
 
-def quoted(name: str, most: int) -> str:
+def quoted(name: str, most: int, error=InvalidColumn) -> str:
     """Backquoted dotted segments."""
-    parts = name.split(".")
-    if not 1 <= len(parts) <= most or any(not p or "\0" in p for p in parts):
-        raise InvalidColumn(f"'{name}' is no name of 1 to {most} segments")
+    parts = name.split(".") if isinstance(name, str) else []
+    if not 1 <= len(parts) <= most or any(not p or "\0" in p or not carried(p) for p in parts):
+        raise error(f"{name!r} is no name of 1 to {most} segments")
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
 
 
+def carried(text: str) -> bool:
+    """Whether Spark strings, which are UTF-8, can carry a text: unpaired surrogates they can't."""
+    return not any("\ud800" <= c <= "\udfff" for c in text)
+
+
 class _Writer:
-    def __init__(self, columns: dict, collections: dict):
-        self.columns, self.collections, self.params = columns, collections, []
+    def __init__(self, columns: dict, collections: dict, params: dict | None = None):
+        self.columns, self.collections, self.params = columns, collections, {} if params is None else params
+        self.seen: dict = {}
 
     def refuse(self, node, path, reason):
         raise UnsupportedNode(node["kind"], path, reason)
@@ -64,8 +83,9 @@ class _Writer:
     # -- values: (text, kind) ----------------------------------------------------------------------------------------
 
     def literal(self, value, kind):
-        self.params.append(value)
-        return f"CAST(? AS {TYPES[kind]})", kind
+        name = f"p{len(self.params)}"
+        self.params[name] = value
+        return f"CAST(:{name} AS {TYPES[kind]})", kind
 
     def value(self, n, path):
         kind = n["kind"]
@@ -75,6 +95,8 @@ class _Writer:
             if n["value"] != n["value"]:
                 self.refuse(n, path, "NaN is no literal of a comparison")
             return self.literal(n["value"], "number")
+        if kind == "textLiteral" and not carried(n["value"]):
+            self.refuse(n, path, "a text with unpaired surrogates can't be carried")
         if kind in ("textLiteral", "booleanLiteral"):
             return self.literal(n["value"], "text" if kind == "textLiteral" else "boolean")
         if kind == "instantLiteral":
@@ -85,8 +107,7 @@ class _Writer:
                 self.refuse(n, path, "units have no SQL form")
             if not isinstance(n["key"], str):
                 self.refuse(n, path, "a column's key is a string")
-            bound = self.columns.get(n["key"])
-            bound = bound if isinstance(bound, SqlColumn) else SqlColumn(bound or n["key"])
+            bound = self.column(n["key"])
             name = quoted(bound.column, 3)
             if bound.kind == "timestamp":
                 return f"unix_millis({name})", "instant"
@@ -95,6 +116,13 @@ class _Writer:
             return self.extreme(n, path)
         return self.refuse(n, path, "only references, literals and folds by max or min have a SQL form")
 
+    def column(self, key: str) -> SqlColumn:
+        """The binding of a key, looked up once; a callable in place of the mapping is asked once a key, too."""
+        if key not in self.seen:
+            bound = self.columns(key) if callable(self.columns) else self.columns.get(key)
+            self.seen[key] = bound if isinstance(bound, SqlColumn) else SqlColumn(bound or key)
+        return self.seen[key]
+
     # -- predicates --------------------------------------------------------------------------------------------------
 
     def truth(self, n, path):
@@ -116,24 +144,18 @@ class _Writer:
     t_anyOf = t_allOf
 
     def t_compare(self, n, path):
-        mark = len(self.params)
         (a, ka), (b, kb) = self.value(n["left"], _at(path, "left")), self.value(n["right"], _at(path, "right"))
         if ka == "text" or kb == "text" or ka and kb and ka != kb or "boolean" in (ka, kb) and n["op"] not in ("eq", "neq"):
-            del self.params[mark:]
             return "CAST(NULL AS BOOLEAN)"
         if "number" in (ka, kb):
-            params = self.params[mark:]
-            self.params += params
-            unlike = f"(isnan({a}) OR isnan({b}))"
+            unlike = f"(isnan({a}) AND {b} IS NOT NULL OR isnan({b}) AND {a} IS NOT NULL)"
             plain = f"{a} {OPS[n['op']]} {b}"
             return f"({plain} OR {unlike})" if n["op"] == "neq" else f"({plain} AND NOT {unlike})"
         return f"({a} {OPS[n['op']]} {b})"
 
     def t_textCompare(self, n, path):
-        mark = len(self.params)
         (a, ka), (b, kb) = self.value(n["left"], _at(path, "left")), self.value(n["right"], _at(path, "right"))
         if ka not in (None, "text") or kb not in (None, "text"):
-            del self.params[mark:]
             return "CAST(NULL AS BOOLEAN)"
         op = n["op"]
         if op in ("equals", "notEquals"):
@@ -145,9 +167,9 @@ class _Writer:
             tree = (rx.parse if portable else rx.parse_ecma)(n["right"]["value"])
         except rx.PatternError as e:
             self.refuse(n, path, str(e))
-        if rx.java.may_explode(tree) or rx.java.splits_astral(tree) and not portable:
+        if rx.java.may_explode(tree) or rx.java.splits_astral(tree):
             self.refuse(n, path, "the pattern needs the bounded matcher")
-        self.params[-1] = rx.render(tree)
+        self.params[f"p{len(self.params) - 1}"] = rx.render(tree)
         return f"({'NOT ' if 'ot' in op else ''}({a} RLIKE {b}))"
 
     def t_memberOf(self, n, path):
@@ -157,13 +179,15 @@ class _Writer:
             return f"({operand} IS NULL AND CAST(NULL AS BOOLEAN))" if inside else f"({operand} IS NOT NULL OR CAST(NULL AS BOOLEAN))"
         parts = []
         for i, x in enumerate(n["candidates"]):
-            mark = len(self.params)
             text, own = self.value(x, f"{_at(path, 'candidates')}[{i}]")
             if kind and own and kind != own:
-                del self.params[mark:]
-                text = "NULL"
-            parts.append(text)
-        return f"({operand} {'' if inside else 'NOT '}IN ({', '.join(parts)}))"
+                parts.append("CAST(NULL AS BOOLEAN)")
+            elif "number" in (kind, own):  # NaN is in no list, itself included
+                parts.append(f"({operand} = {text} AND NOT (isnan({operand}) AND {text} IS NOT NULL))")
+            else:
+                parts.append(f"({operand} = {text})")
+        found = f"(({' OR '.join(parts)}) AND ({operand} IS NOT NULL OR CAST(NULL AS BOOLEAN)))"
+        return found if inside else f"(NOT {found})"
 
     def t_exists(self, n, path):
         if n["operand"]["kind"] not in ("reference",) and not n["operand"]["kind"].endswith("Literal"):
@@ -173,20 +197,14 @@ class _Writer:
     def t_some(self, n, path):
         every = n["kind"] == "every"
         inner, bound = self.inside(n, path)
-        start = len(self.params)
         f = inner.truth(n["filter"], _at(path, "filter")) if n.get("filter") else "TRUE"
-        a = self.params[start:]
         p = inner.truth(n["item"], _at(path, "item"))
-        b = self.params[start + len(a) :]
         vote = f"(CASE WHEN {f} THEN {p} WHEN NOT {f} THEN {str(every).upper()} END)"
-        vote_params = a + b + a
-        del self.params[start:]
-        self.params += vote_params + vote_params
         hit, settled = ("NOT ", "FALSE") if every else ("", "TRUE")
         other = str(every).upper()
         return (
             f"(SELECT CASE WHEN count_if({hit}{vote}) > 0 THEN {settled} WHEN count_if({vote} IS NULL) > 0 THEN CAST(NULL AS BOOLEAN) ELSE {other} END"
-            f" FROM {quoted(bound.table, 2)} WHERE {bound.join})"
+            f" FROM {quoted(bound.table, 2, InvalidTable)} WHERE {bound.join})"
         )
 
     t_every = t_some
@@ -198,24 +216,17 @@ class _Writer:
         bound = self.collections.get(n["collection"] if isinstance(n["collection"], str) else canonical(n["collection"]))
         if bound is None:
             self.refuse(n, path, f"no table is bound to collection {canonical(n['collection'])}")
-        inner = _Writer(bound.columns, bound.collections)
-        inner.params = self.params
-        return inner, bound
+        return _Writer(bound.columns, bound.collections, self.params), bound
 
     def extreme(self, n, path):
         inner, bound = self.inside(n, path)
-        start = len(self.params)
         f = inner.truth(n["filter"], _at(path, "filter")) if n.get("filter") else "TRUE"
-        a = self.params[start:]
         v, kind = inner.value(n["combiner"]["item"], _at(path, "combiner.item"))
-        b = self.params[start + len(a) :]
         if kind in ("text", "boolean"):
             self.refuse(n, path, f"{kind} values have no order")
-        del self.params[start:]
-        self.params += a + a + b + a + b
         return (
             f"(SELECT CASE WHEN count_if({f} IS NULL) + count_if({f} AND {v} IS NULL) > 0 THEN NULL ELSE {n['combiner']['mode']}(CASE WHEN {f} THEN {v} END) END"
-            f" FROM {quoted(bound.table, 2)} WHERE {bound.join})"
+            f" FROM {quoted(bound.table, 2, InvalidTable)} WHERE {bound.join})"
         ), kind
 
 
@@ -223,10 +234,14 @@ def _at(path: str, name: str) -> str:
     return f"{path}.{name}" if path else name
 
 
-def compile_sql(predicate: dict, columns: dict | None = None, collections: dict | None = None) -> tuple[str, list]:
-    """(text, parameters) of a WHERE fragment; columns and collections map keys to SqlColumn and SqlCollection."""
+def compile_sql(predicate: dict, columns: dict | None = None, collections: dict | None = None, dialect: str = "spark") -> tuple[str, dict]:
+    """(text, parameters by name) of a WHERE fragment; columns and collections map keys to SqlColumn and SqlCollection."""
+    if dialect not in DIALECTS:
+        raise UnknownDialect(f"'{dialect}' is none of the dialects {', '.join(DIALECTS)}")
     writer = _Writer(columns or {}, collections or {})
-    return writer.truth(nodes.read_predicate(predicate), ""), writer.params
+    text = writer.truth(nodes.read_predicate(predicate), "")
+    used = set(re.findall(r":(p\d+)\b", text))
+    return text, {k: v for k, v in writer.params.items() if k in used}
 
 
 def unpushable(predicate: dict, columns: dict | None = None, collections: dict | None = None) -> tuple[str, str, str] | None:

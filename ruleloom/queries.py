@@ -335,7 +335,7 @@ def complex_numbers(spark, d):
 
 
 @query("""SELECT o_orderkey, CAST(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01') AS DOUBLE) AS since, epoch_ms(o_orderdate) + 129600000 AS later,
- CAST(NULL AS BIGINT) AS no_minus, epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01') > 86400000 * 1000 AS long FROM orders""")
+ CAST(NULL AS BIGINT) AS no_minus, epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1995-01-01') > 86400000::BIGINT * 1000 AS long FROM orders""")
 def instants(spark, d):
     at = B.ref("o_orderdate")
     since = B.arith("subtract", at, B.instant("1995-01-01T00:00:00Z"))
@@ -344,7 +344,7 @@ def instants(spark, d):
     return R.with_truth(out, "long", B.compare("gt", since, B.duration(1000, "d")), Scope()).select("o_orderkey", "since", "later", F.col("no_minus").cast("long").alias("no_minus"), "long")
 
 
-@query("""SELECT event_id, epoch_ms(ts) AS ms, CASE WHEN event_id % 3 <> 0 THEN epoch_ms(date_trunc('second', ts)) END AS parsed FROM events""")
+@query("""SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 3 <> 0 THEN epoch_us(date_trunc('second', ts)) // 1000 END AS parsed FROM events""")
 def instant_texts(spark, d):
     """Instants in text columns: offsets, cut fractions, and texts that are none."""
     e = t(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 3 == 0, F.lit("now")).otherwise(F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 90 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".0009+01:30"))))
@@ -418,4 +418,147 @@ def compiled_sql(spark, d):
     return spark.sql(f"SELECT o_orderkey FROM (SELECT * EXCEPT (o_orderdate), CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM rl_orders) o WHERE {text}", args=params)
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_quantity * 60000 + l_linenumber * 1000 AS added, l_quantity * 60000 - l_linenumber * 1000 AS less, CAST(NULL AS DOUBLE) AS product, CAST(NULL AS DOUBLE) AS scaled,
+ CAST(NULL AS DOUBLE) AS mixed, epoch_us(l_shipdate) // 1000 + CAST(l_quantity AS BIGINT) * 60000 AS shifted, epoch_us(l_shipdate) // 1000 + CAST(l_quantity AS BIGINT) * 60000 AS turned,
+ 'wrong-type' AS code FROM lineitem""")
+def temporal_arithmetic(spark, d):
+    """Durations with durations, numbers and instants; multiplying and scaling are wrong types."""
+    scope = Scope({"q": ColumnBinding("l_quantity", "duration", "min"), "n": ColumnBinding("l_linenumber", "duration", "s")})
+    q, n, at = B.ref("q"), B.ref("n"), B.ref("l_shipdate")
+    trees = {
+        "added": B.arith("add", q, n), "less": B.arith("subtract", q, n), "product": B.arith("multiply", q, n), "scaled": B.arith("multiply", q, B.lit(2)), "mixed": B.arith("add", B.lit(1j), n),
+        "shifted": B.arith("add", at, q), "turned": B.arith("add", q, at),
+    }
+    out = R.with_verdict(R.with_values(t(spark, d, "lineitem"), trees, scope, "expression"), "v", trees["scaled"], "expression", scope)
+    nothing = {c: F.col(c).cast("double").alias(c) for c in ("product", "scaled", "mixed")}
+    return out.select("l_orderkey", "l_linenumber", "added", "less", *nothing.values(), "shifted", "turned", F.col("v.code").alias("code"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS sum_re, l_linenumber + l_discount AS sum_im, l_quantity - 2 AS less_re, CAST(l_linenumber AS DOUBLE) AS less_im, 'domain-error' AS modulo,
+ CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN l_quantity ELSE l_quantity * l_quantity - l_linenumber * l_linenumber END AS power_re,
+ CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN CAST(l_linenumber AS DOUBLE) ELSE 2 * l_quantity * l_linenumber END AS power_im, 'wrong-type' AS fraction FROM lineitem""")
+def complex_arithmetic(spark, d):
+    """Sums, differences with reals, the refused modulo, and powers by a computed exponent."""
+    z = F.struct(F.col("l_quantity").alias("re"), F.col("l_linenumber").cast("double").alias("im"))
+    df = t(spark, d, "lineitem").withColumns({"z": z, "w": F.struct(F.col("l_tax").alias("re"), F.col("l_discount").alias("im"))})
+    z, w = B.ref("z"), B.ref("w")
+    trees = {"s": B.arith("add", z, w), "m": B.arith("subtract", z, B.lit(2)), "p": B.arith("power", z, B.arith("modulo", B.ref("l_linenumber"), B.lit(3)))}
+    out = R.with_verdict(R.with_values(df, trees, of="expression"), "a", B.arith("modulo", z, w), "expression")
+    out = R.with_verdict(out, "b", B.arith("power", z, B.arith("add", B.ref("l_linenumber"), B.lit(0.5))), "expression")
+    f = lambda c, name: F.col(c).alias(name)
+    return out.select("l_orderkey", "l_linenumber", f("s.re", "sum_re"), f("s.im", "sum_im"), f("m.re", "less_re"), f("m.im", "less_im"), f("a.code", "modulo"), f("p.re", "power_re"), f("p.im", "power_im"), f("b.code", "fraction"))
+
+
+@query("""SELECT o_orderkey, o_totalprice * 2 + 1 AS value, CAST(NULL AS DOUBLE) AS looped, CAST(NULL AS DOUBLE) AS missing, 'not-found' AS code FROM orders""")
+def expression_references(spark, d):
+    """Expressions that refer to other trees, through two references, to themselves, and to none."""
+    trees = {"twice": B.arith("multiply", B.ref("o_totalprice"), B.lit(2)), "more": B.arith("add", B.tree("twice"), B.lit(1)), "self": B.negate(B.tree("self"))}
+    scope = Scope(trees=trees)
+    out = R.with_values(t(spark, d, "orders"), {"value": B.tree("more"), "looped": B.tree("self"), "missing": B.tree("nowhere")}, scope, "expression")
+    out = R.with_verdict(out, "v", B.tree("nowhere"), "expression", scope)
+    return out.select("o_orderkey", "value", F.col("looped").cast("double").alias("looped"), F.col("missing").cast("double").alias("missing"), F.col("v.code").alias("code"))
+
+
+@query("""SELECT c_custkey, CASE WHEN count(o_orderkey) = 1 THEN max(o_orderstatus) END AS status, CASE count(o_orderkey) WHEN 0 THEN 'domain-error' WHEN 1 THEN NULL ELSE 'wrong-type' END AS code,
+ max(o_totalprice) AS longest, max(epoch_us(o_orderdate) // 1000) AS latest, min(epoch_us(o_orderdate) // 1000) AS first FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 5 = 0 GROUP BY c_custkey""")
+def fold_kinds(spark, d):
+    """Extremes of texts (one item or a wrong type), durations and instants."""
+    o = t(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    scope = Scope(collections={"orders": ChildTable(o, ["c_custkey"], ["o_custkey"], ["o_orderkey"], Scope({"p": ColumnBinding("o_totalprice", "duration", "min")}))})
+    trees = {"longest": B.fold("orders", "max", B.ref("p")), "latest": B.fold("orders", "max", B.ref("o_orderdate")), "first": B.fold("orders", "min", B.ref("o_orderdate"))}
+    out = R.with_verdict(R.with_values(t(spark, d, "customer").select("c_custkey"), trees, scope, "expression"), "v", B.fold("orders", "max", B.ref("o_orderstatus")), "expression", scope)
+    return out.select("c_custkey", F.col("v.value").alias("status"), F.col("v.code").alias("code"), *trees)
+
+
+@query("""WITH k AS (SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 4 <> 1 THEN o_totalprice END AS x FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 4 <> 1)
+SELECT c_custkey, CASE WHEN isnan(arg_min(x, o_orderkey)) THEN 'NaN'::DOUBLE ELSE max(CASE WHEN NOT isnan(x) THEN x END) END AS most,
+ CASE WHEN isnan(arg_min(x, o_orderkey)) THEN 'NaN'::DOUBLE ELSE min(CASE WHEN NOT isnan(x) THEN x END) END AS least FROM k GROUP BY c_custkey""")
+def fold_nan(spark, d):
+    """NaN takes no other value's place, and stays if it comes first."""
+    o = t(spark, d, "orders").where("o_orderkey % 4 <> 1").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("x"))
+    scope = Scope(collections={"orders": ChildTable(o, ["c_custkey"], ["o_custkey"], ["o_orderkey"])})
+    trees = {"most": B.fold("orders", "max", B.ref("x")), "least": B.fold("orders", "min", B.ref("x"))}
+    return R.with_values(t(spark, d, "customer"), trees, scope, "expression").select("c_custkey", *trees)
+
+
+@query(f"""WITH {_HIDDEN} SELECT o_orderkey, CASE WHEN price IS NULL THEN 0.0 ELSE 1.0 END AS known, CASE WHEN price IS NULL THEN 'not-found' END AS code FROM h""")
+def presence(spark, d):
+    """1 where a value is known; an absent one is indeterminate inside the probe, so its reason stays with the verdict."""
+    df = hidden(spark, d)
+    out = R.with_value(df, "known", B.coalesce(B.presence_of(B.ref("price")), B.lit(0)))
+    return R.with_verdict(out, "v", B.presence_of(B.ref("price")), "expression").select("o_orderkey", "known", F.col("v.code").alias("code"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < l_discount THEN 'domain-error' END AS root, 'wrong-type' AS count, 'wrong-type' AS kind, CASE WHEN l_quantity > 1 THEN 'domain-error' END AS arc,
+ 'domain-error' AS huge, 'wrong-type' AS unit FROM lineitem""")
+def function_failures(spark, d):
+    """Bad counts, kinds and units are wrong types; values outside a domain, and results that aren't finite, domain errors."""
+    diff = B.arith("subtract", B.ref("l_tax"), B.ref("l_discount"))
+    calls = {
+        "root": B.call("squareRoot", diff), "count": B.call("squareRoot", diff, diff), "kind": B.call("sine", B.ref("l_returnflag")), "arc": B.call("arcSine", B.ref("l_quantity")),
+        "huge": B.call("exponential", B.arith("add", B.ref("l_quantity"), B.lit(1000))), "unit": B.call("sine", B.lit(1, {"m": 1})),
+    }
+    out = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount", "l_returnflag", "l_quantity")
+    for name, tree in calls.items():
+        out = R.with_verdict(out, f"v_{name}", tree, "expression")
+    return out.select("l_orderkey", "l_linenumber", *[F.col(f"v_{n}.code").alias(n) for n in calls])
+
+
+#: Patterns that the portable grammar refuses.
+_REFUSED = {"capture": "(a)", "back": "a\\1", "ahead": "(?=a)", "lazy": "a+?", "possessive": "a++", "flag": "(?i)a"}
+
+
+@query("SELECT p_partkey, " + ", ".join(f"'wrong-type' AS {n}" for n in _REFUSED) + ", regexp_matches(p_name, '^[a-z ]*[0-9]+$') AS nested FROM part")
+def refused_patterns(spark, d):
+    """Captures, back references, lookaround, lazy and possessive repetition and flags; and a pattern that would backtrack without end."""
+    out = t(spark, d, "part").select("p_partkey", "p_name")
+    for name, pattern in _REFUSED.items():
+        out = R.with_verdict(out, f"v_{name}", B.text_compare("portableMatches", B.ref("p_name"), B.lit(pattern)))
+    out = R.with_truth(out, "nested", B.text_compare("portableMatches", B.ref("p_name"), B.lit("^(?:[a-z ]+)*\\d+$")))
+    return out.select("p_partkey", *[F.col(f"v_{n}.code").alias(n) for n in _REFUSED], "nested")
+
+
+_WIDE = "(?:ab?){4000}"
+
+
+def _longest() -> int:
+    from ruleloom.functions import regex as rx
+
+    return min(rx.nfa.MAX_INPUT, rx.nfa.MAX_WORK // len(rx.Automaton(rx.parse(_WIDE)).code) - 1)
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) > {_longest()} THEN 'domain-error' END AS code, CASE WHEN length(text) <= {_longest()} THEN FALSE END AS found FROM documents")
+def pattern_limits(spark, d):
+    """States times text length are bounded: longer texts are outside the domain."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    return R.with_verdict(docs, "v", B.text_compare("portableMatches", B.ref("text"), B.lit(_WIDE))).select("doc_id", F.col("v.code").alias("code"), F.col("v.value").alias("found"))
+
+
+@query("""SELECT event_id, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS plain, CAST(event_id AS VARCHAR) AS whole, CASE WHEN event_id = 0 THEN '0' ELSE CAST(event_id AS VARCHAR) || 'e+21' END AS large FROM events WHERE event_id % 10 <> 0 AND event_id < 10""")
+def number_texts(spark, d):
+    """Numbers as JSON writes them."""
+    from ruleloom.operators.values import text_of_number
+
+    e = t(spark, d, "events").where("event_id % 10 <> 0 and event_id < 10")
+    large = F.concat(F.col("event_id").cast("string"), F.lit("e21")).cast("double")
+    return e.select("event_id", text_of_number(F.col("value")).alias("plain"), text_of_number(F.col("event_id").cast("double")).alias("whole"), text_of_number(large).alias("large"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal IS NOT NULL AND (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) > 400000
+ OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') AND c_acctbal > 5000""")
+def compiled_sql_folds(spark, d):
+    """exists, notIn and max over a child table as SQL text, with seven parameters."""
+    t(spark, d, "customer").createOrReplaceTempView("rl_customers")
+    t(spark, d, "orders").createOrReplaceTempView("rl_customer_orders")
+    best = B.fold("orders", "max", B.ref("o_totalprice"), B.compare("gte", B.ref("o_totalprice"), B.lit(0)))
+    tree = B.or_(
+        B.and_(B.exists(B.ref("c_acctbal")), B.compare("gt", best, B.lit(400000))),
+        B.and_(B.member_of("notIn", B.ref("c_mktsegment"), [B.lit(x) for x in ("BUILDING", "MACHINERY", "FURNITURE")]), B.compare("gt", B.ref("c_acctbal"), B.lit(5000))),
+    )
+    columns = {"c_acctbal": SqlColumn("c.c_acctbal", "number"), "c_mktsegment": SqlColumn("c.c_mktsegment", "text")}
+    orders = SqlCollection("rl_customer_orders", "o_custkey = c.c_custkey", {"o_totalprice": SqlColumn("o_totalprice", "number")})
+    text, params = compile_sql(tree, columns, {"orders": orders})
+    return spark.sql(f"SELECT c_custkey FROM rl_customers c WHERE {text}", args=params)
+
+
 ENTRY = quantifiers

@@ -1,6 +1,7 @@
 """Units, instants, durations, complex numbers, patterns, SQL text, documents."""
 
 import json
+import random
 import re
 from fractions import Fraction
 
@@ -13,9 +14,11 @@ from ruleloom.functions import regex as rx
 from ruleloom.operators import complexnum as cx
 from ruleloom.operators import values as val
 from ruleloom.plans import build as B
+from ruleloom.plans import nodes
 from ruleloom.plans import rules as R
 from ruleloom.plans import sqltext
 from ruleloom.sources import cli
+from ruleloom.sources.bindings import ColumnBinding, Scope
 from ruleloom.sources.document import evaluate_document
 
 INSTANTS = [
@@ -118,7 +121,94 @@ def test_sql_text_agrees_with_columns(spark):
             assert got == sorted(r.id for r in R.filter_rows(df, t, scope).select("id").collect()), (t, text)
 
 
+def test_sql_text_with_many_parameters(spark):
+    """Random trees of more than twenty literals, against the column form; NaN and NULL among the values."""
+    rng = random.Random(4)
+    nan = float("nan")
+    data = [(i, rng.choice([None, nan, 0.0, 1.0, 2.5, -3.0]), rng.choice([None, nan, 1.0, 2.5]), rng.choice([None, "", "a", "ab", "b"])) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, x double, y double, s string")
+    df.createOrReplaceTempView("sql_random")
+    columns = {"x": sqltext.SqlColumn("x", "number"), "y": sqltext.SqlColumn("y", "number"), "s": sqltext.SqlColumn("s", "text")}
+
+    def leaf():
+        number = lambda: rng.choice([B.ref("x"), B.ref("y"), B.lit(rng.choice([0, 1, 2.5, -3]))])
+        kind = rng.randrange(5)
+        if kind == 0:
+            return B.compare(rng.choice(["gt", "gte", "lt", "lte", "eq", "neq"]), number(), number())
+        if kind == 1:
+            return B.member_of(rng.choice(["in", "notIn"]), number(), [number() for _ in range(3)] + [B.lit("a")] * rng.randrange(2))
+        if kind == 2:
+            return B.member_of(rng.choice(["in", "notIn"]), B.ref("s"), [B.lit(c) for c in rng.sample(["", "a", "b", "q"], 3)])
+        if kind == 3:
+            return B.text_compare(rng.choice(["equals", "notEquals", "portableMatches", "portableNotMatches"]), B.ref("s"), B.lit(rng.choice(["a", "b", "q"])))
+        return B.exists(B.ref(rng.choice("xys")))
+
+    trees = {}
+    for k in range(25):
+        parts = [leaf() for _ in range(14)]
+        while len(parts) > 1:
+            a, b = parts.pop(), parts.pop()
+            parts.insert(0, rng.choice([B.and_, B.or_])(a, B.not_(b) if rng.random() < 0.3 else b))
+        trees[f"t{k}"] = parts[0]
+    want = R.with_values(df, trees).collect()
+    most = 0
+    for name, tree in trees.items():
+        text, params = sqltext.compile_sql(tree, columns)
+        most = max(most, len(params))
+        got = {r.id: r.v for r in spark.sql(f"SELECT id, {text} AS v FROM sql_random", args=params).collect()}
+        assert got == {r.id: r[name] for r in want}, text
+    assert most > 20
+
+
+def test_numbers_against_nothing_are_unknown(spark):
+    df = spark.createDataFrame([(float("nan"), None), (float("nan"), 1.0)], "x double, y double")
+    trees = {op: B.compare(op, B.ref("x"), B.ref("y")) for op in ("gt", "eq", "neq")}
+    scope = Scope({"x": ColumnBinding("x", "duration", "s"), "y": ColumnBinding("y", "duration", "min")})
+    for s in (None, scope):
+        got = R.with_values(df, trees, s).select(*trees).collect()
+        assert [tuple(r) for r in got] == [(None, None, None), (False, False, True)]
+
+
+def test_number_texts_and_canonical_json(spark):
+    cases = {1.0: "1", -0.0: "0", 0.1: "0.1", 1e21: "1e+21", 123456789012345680000.0: "123456789012345680000", 1e-6: "0.000001", 1.5e-7: "1.5e-7", 5e-324: "5e-324", -1234.5: "-1234.5", float("inf"): "Infinity"}
+    assert {x: val.number_text(x) for x in cases} == cases and val.number_text(float("nan")) == "NaN"
+    df = spark.createDataFrame([(x,) for x in [*cases, None]], "x double")
+    assert [r.t for r in df.select(val.text_of_number(F.col("x")).alias("t")).collect()] == [*cases.values(), None]
+    assert nodes.canonical({"b": 1.0, "a": [1e30, True, None, "é\n"]}) == '{"a":[1e+30,true,null,"é\\n"],"b":1}' == nodes.canonical({"a": [10**30, True, None, "é\n"], "b": 1})
+    assert nodes.canonical({"\ufb33": 1, "\U0001f600": 2}) == '{"\U0001f600":2,"\ufb33":1}'
+    assert val.units_equal({"m": 1, "s": 0}, {"m": 1.0}) and val.divided({"m": 1}, {"m": 1, "s": 1}) == {"s": -1}
+
+
+def test_limits_count_referenced_trees(spark):
+    trees = {"t0": B.compare("gt", B.ref("id"), B.lit(0))} | {f"t{k}": B.and_(B.tree(f"t{k - 1}"), B.tree(f"t{k - 1}")) for k in range(1, 30)}
+    with pytest.raises(nodes.InvalidTree):
+        R.with_truth(spark.range(1), "v", B.tree("t29"), Scope(trees=trees))
+    assert R.with_truth(spark.range(3), "v", B.tree("t3"), Scope(trees=trees)).where("v").count() == 2
+
+
+def test_powers_by_columns_and_long_texts(spark):
+    df = spark.createDataFrame([(3.0, "a" * 3000), (-2.0, "b"), (0.5, "a"), (0.0, None)], "n double, s string").withColumn("p", F.lit("^(?:a?){200}(?:b{300}){200}$"))
+    rows = R.with_verdict(df, "v", B.arith("power", B.lit(1 + 2j), B.ref("n")), "expression").collect()
+    for r in rows:
+        if r.n == int(r.n):
+            assert abs(complex(r.v.value.re, r.v.value.im) - (1 + 2j) ** int(r.n)) < 1e-12
+        else:
+            assert r.v.code == "wrong-type"
+    assert R.with_verdict(df, "v", B.arith("power", B.lit(1j), B.lit(float("inf"))), "expression").first().v.code == "wrong-type"
+    codes = [r.v.code for r in R.with_verdict(df, "v", B.text_compare("matches", B.ref("s"), B.ref("p"))).collect()]
+    assert codes == ["domain-error", None, None, "not-found"]
+
+
 def test_sql_refusals():
+    assert sqltext.unpushable(B.text_compare("portableMatches", B.ref("a"), B.lit("^.$")))[0] == "textCompare"
+    assert sqltext.unpushable(B.compare("eq", B.ref("a"), B.lit("\ud800"))) is not None
+    with pytest.raises(sqltext.InvalidTable):
+        sqltext.compile_sql(B.some("k", B.all_of()), {}, {"k": sqltext.SqlCollection("a.b.c", "TRUE")})
+    with pytest.raises(sqltext.UnknownDialect):
+        sqltext.compile_sql(B.all_of(), dialect="other")
+    asked = []
+    sqltext.compile_sql(B.and_(B.exists(B.ref("a")), B.exists(B.ref("a"))), lambda key: asked.append(key))
+    assert asked == ["a"]
     assert sqltext.unpushable(B.compare("gt", B.arith("add", B.ref("a"), B.lit(1)), B.lit(1)))[:2] == ("arithmetic", "left")
     assert sqltext.unpushable(B.compare("gt", B.ref("a"), B.lit(1, {"m": 1})))[1] == "right"
     assert sqltext.unpushable(B.compare("gt", B.ref("a"), B.lit(1))) is None
