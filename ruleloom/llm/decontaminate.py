@@ -1,11 +1,11 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Each batch of documents is a shard. Its words become vocabulary numbers and the shard's suffix array is built over
-them: the start positions, sorted by the words that follow. Every suffix of the test items is then binary-searched in
-every shard; the range of equal prefixes gives all verbatim occurrences and their places, and runs of them the longest
-matches. Positions whose first words (up to three) open no test suffix can match nothing and are left out of the
-array. Test items are shipped in blocks of bounded size; a batch meets the blocks one after the other, so neither a
-task nor a message grows with the test set. No shuffle takes place.
+Each batch of documents is a shard. Its words become numbers (those of words that no test item has are all alike) and
+the shard's suffix array is built over them: the start positions of all words that some test item has, sorted by the words
+that follow, to the depth of a window. Every suffix of the test items is then binary-searched in every shard; the range of
+equal prefixes gives all verbatim occurrences and their places, and runs of them the longest matches, of any length, with
+their places. Test items are shipped in blocks of bounded size; a batch meets the blocks one after the other, and a
+worker holds at most `HELD` of them, so neither a task nor a message grows with the test set. No shuffle takes place.
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items have no windows; an item
 id that is null counts as "null"; repeated items count once an id; an empty test set marks nothing. Output columns
@@ -23,7 +23,8 @@ from ruleloom.llm.common import alnum_words, append_columns, blobs, sha256_hex
 WINDOW = 13
 #: A document is contaminated if its hit words are at least one in so many.
 ONE_IN = 20
-BLOCK_BYTES = 16 << 20
+#: Bytes of test texts in a block (a block takes about thirty times as much), and blocks that a worker keeps.
+BLOCK_BYTES, HELD = 2 << 20, 2
 
 SCHEMA = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, matches array<struct<item: string, item_word: int, word: int, size: int>>"
 
@@ -46,35 +47,20 @@ class Block:
                 sizes.append(size)
                 item.append(order[name])
                 start.append(j)
-        self.rows = np.array(rows, np.int64).reshape(-1, width)
-        self.sizes, self.item, self.start = (np.array(x, np.int64) for x in (sizes, item, start))
-        self.depth = int(min(3, self.sizes.min())) if len(sizes) else 1
-        self.radix = len(seen) + 1
-        self.heads = np.unique(self.head(self.rows[:, : self.depth]))
-        last = self.rows.copy()
-        last[np.arange(width) >= self.sizes[:, None]] = 2**32 - 1
-        self.low, self.high = keys(self.rows), keys(last)
-
-    def head(self, rows: np.ndarray) -> np.ndarray:
-        code = np.zeros(len(rows), np.int64)
-        for d in range(self.depth):
-            code = code * self.radix + rows[:, d]
-        return code
+        rows = np.array(rows, np.uint32).reshape(-1, width)
+        self.sizes, self.item, self.start = (np.array(x, np.int32) for x in (sizes, item, start))
+        self.low = keys(rows)
+        rows[np.arange(width) >= self.sizes[:, None]] = 2**32 - 1
+        self.high = keys(rows)
 
     def search(self, numbers: np.ndarray):
         """(window, position) of every occurrence in a shard; `numbers` ends with `width` zeros."""
         n = len(numbers) - self.width
-        if n <= 0 or not len(self.rows):
+        if n <= 0 or not len(self.low):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.flatnonzero(numbers[:n])
-        for d in range(1, self.depth):
-            at = at[numbers[at + d] > 0]
-        code = self.head(numbers[at[:, None] + np.arange(self.depth)])
-        k = np.minimum(np.searchsorted(self.heads, code), len(self.heads) - 1)
-        at = at[self.heads[k] == code]
-        suffixes = keys(numbers[at[:, None] + np.arange(self.width)])
-        order = np.argsort(suffixes, kind="stable")
-        suffixes, at = suffixes[order], at[order]
+        order, suffixes = suffix_array(numbers, at, self.width)
+        at = at[order]
         left, right = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
         count = right - left
         window = np.repeat(np.arange(len(count)), count)
@@ -88,6 +74,34 @@ def keys(rows: np.ndarray) -> np.ndarray:
     return rows.view(f"S{4 * rows.shape[1]}").ravel() if len(rows) else np.empty(0, f"S{4 * rows.shape[1]}")
 
 
+def suffix_array(numbers: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at the given places by their first `width` numbers, and these as sorted keys.
+
+    Most suffixes differ in their first words: they are sorted by two numbers at a time, and only those that are equal so
+    far by the next two."""
+    first = numbers[at] << 32 | numbers[at + 1]
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    places = np.arange(len(at))
+    new = np.append(True, first[1:] != first[:-1])[: len(at)]
+    group = np.maximum.accumulate(np.where(new, places, 0)) if len(at) else places  # the place where a suffix's equals begin
+    for depth in range(2, width, 2):
+        same = group[1:] == group[:-1]
+        k = np.flatnonzero((np.append(same, False) | np.append(False, same))[: len(at)])
+        if not len(k):
+            break
+        own = at[order[k]]
+        more = numbers[own + depth] << 32
+        if depth + 1 < width:
+            more |= numbers[own + depth + 1]
+        by = np.lexsort((more, group[k]))
+        order[k] = order[k][by]
+        more, held = more[by], group[k]
+        new = np.append(True, (held[1:] != held[:-1]) | (more[1:] != more[:-1]))
+        group[k] = k[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    return order, keys(numbers[at[order][:, None] + np.arange(width)])
+
+
 def longest(window: np.ndarray, at: np.ndarray, block: Block) -> list[tuple[int, int, int, int]]:
     """Join occurrences that continue each other: (item, item word, position, words)."""
     out: dict[tuple[int, int], list[int]] = {}
@@ -98,6 +112,12 @@ def longest(window: np.ndarray, at: np.ndarray, block: Block) -> list[tuple[int,
     return [tuple(x) for x in out.values()]
 
 
+def forget(block) -> None:
+    """Let a worker drop a broadcast value; it is read again when it is used again."""
+    if hasattr(block, "_value") and hasattr(block, "_path"):
+        del block._value
+
+
 def blocks_of(benchmark: DataFrame, width: int, bound: int) -> list:
     """Broadcast blocks of test items, each at most `bound` bytes of text."""
     sc = benchmark.sparkSession.sparkContext
@@ -116,7 +136,7 @@ def blocks_of(benchmark: DataFrame, width: int, bound: int) -> list:
     return out
 
 
-def search_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, with_matches: bool = True, bound: int = BLOCK_BYTES) -> DataFrame:
+def search_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, bound: int = BLOCK_BYTES) -> DataFrame:
     """Append the word count, hit words, items and the longest matches (item, word in the item, word in the document, words)."""
     blocks = blocks_of(benchmark, width, bound)
 
@@ -146,10 +166,11 @@ def search_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 doc = np.searchsorted(first, at, "right") - 1
                 for d, i in np.unique(np.stack([doc, b.item[window]]), axis=1).T.tolist():
                     items[d].add(b.ids[i])
-                if with_matches:
-                    for i, j, p, size in longest(window, at, b):
-                        d = int(np.searchsorted(first, p, "right")) - 1
-                        matches[d].append({"item": b.ids[i], "item_word": j, "word": int(p - first[d]), "size": size})
+                for i, j, p, size in longest(window, at, b):
+                    d = int(np.searchsorted(first, p, "right")) - 1
+                    matches[d].append({"item": b.ids[i], "item_word": j, "word": int(p - first[d]), "size": size})
+                if len(blocks) > HELD:
+                    forget(block)
             if sizes is None:
                 return {"n_words": [len(alnum_words(t)) for t in texts], "n_hit": [0] * len(texts), "n_items": [0] * len(texts), "items": [[]] * len(texts), "matches": [[]] * len(texts)}
             hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
@@ -173,9 +194,15 @@ def contaminated(width_words: str = "n_words", hit: str = "n_hit", one_in: int =
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
     plain = docs.select(*[F.col(c).alias(f"_d_{c}") for c in docs.columns])
-    found = search_documents(plain, benchmark, text="_d_text", with_matches=False)
+    found = search_documents(plain, benchmark, text="_d_text")
     return found.where(~contaminated()).select(*[F.col(f"_d_{c}").alias(c) for c in docs.columns])
 
 
 def items_digest():
     return F.sha2(F.array_join("items", ",").cast("binary"), 256)
+
+
+def matches_digest():
+    """Of the longest matches as item:word in the item:word:words, sorted as strings and joined by commas."""
+    one = F.transform("matches", lambda m: F.concat_ws(":", m["item"], m["item_word"], m["word"], m["size"]))
+    return F.sha2(F.array_join(F.array_sort(one), ",").cast("binary"), 256)

@@ -44,10 +44,11 @@ def op4_license_scans(spark, sf_dir):
 
 def op8_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.search_documents(docs, table(spark, sf_dir, "benchmark"), with_matches=False)
+    found = decontaminate.search_documents(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), decontaminate.contaminated().alias("contaminated")
-    )
+        "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"), F.coalesce(F.array_max(F.col("matches.size")), F.lit(0)).cast("long").alias("longest"), decontaminate.matches_digest().alias("matches_sha256"),
+    )
 
 
 def op9_substring_dedup(spark, sf_dir):
@@ -119,10 +120,19 @@ dw AS (
   FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size),
 hit AS (SELECT doc_id, item_id, pos, size FROM dw JOIN bw USING (size, k)),
 n_hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS i FROM hit GROUP BY doc_id)
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS i FROM hit GROUP BY doc_id),
+starts AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS j, unnest(list_transform(generate_series(1, greatest(len(w) - 12, 1)), lambda i: array_to_string(w[i:i + 12], ' '))) AS k
+  FROM b WHERE len(w) > 0),
+island AS (
+  SELECT doc_id, item_id, size, j, pos, pos - row_number() OVER (PARTITION BY doc_id, item_id, pos - j ORDER BY pos) AS run
+  FROM (SELECT DISTINCT doc_id, item_id, size, j, pos FROM dw JOIN starts USING (size, k))),
+found AS (SELECT doc_id, item_id, min(j) - 1 AS j, min(pos) - 1 AS pos, max(pos) - min(pos) + max(size) AS words FROM island GROUP BY doc_id, item_id, pos - j, run),
+matches AS (SELECT doc_id, count(*) AS n, max(words) AS longest, list_sort(list(concat_ws(':', item_id, j, pos, words))) AS m FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit.n, 0) AS n_hit, CAST(coalesce(len(items.i), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(items.i, ','), '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AND 20 * coalesce(n_hit.n, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       sha256(coalesce(array_to_string(items.i, ','), '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AND 20 * coalesce(n_hit.n, 0) >= len(d.w) AS contaminated,
+       CAST(coalesce(matches.n, 0) AS BIGINT) AS n_matches, CAST(coalesce(matches.longest, 0) AS BIGINT) AS longest, sha256(coalesce(array_to_string(matches.m, ','), '')) AS matches_sha256
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN matches USING (doc_id)""",
     "op9_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 win AS (
