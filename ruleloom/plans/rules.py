@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.plans import nodes
-from ruleloom.plans.lower import Ev, Lowering, Place
+from ruleloom.plans.lower import TYPES, Ev, Lowering, Place
 from ruleloom.sources.bindings import Scope
 
 
+#: Reason codes (fixed values).
+CODES = ("not-found", "not-yet-known", "wrong-type", "domain-error")
+
+
 def _start(df: DataFrame, scope: Scope | None, explain: bool) -> Lowering:
     return Lowering(Place(scope or Scope(), df.schema, F.col), explain)
 
@@ -80,6 +84,24 @@ def with_verdict(df: DataFrame, name: str, tree: dict, of: str = "predicate", sc
     return out.withColumn(name, F.struct(x["v"].alias("value"), x["r"]["code"].alias("code"), x["r"]["message"].alias("message"))).drop(held)
 
 
+def definite(value: Column) -> Column:
+    """The verdict of a known value, as with_verdict writes it."""
+    nothing = F.lit(None).cast("string")
+    return F.struct(value.alias("value"), nothing.alias("code"), nothing.alias("message"))
+
+
+def indeterminate(code: str, message: str, kind: str = "boolean") -> Column:
+    """The verdict of an unknown value of a kind, with its reason."""
+    if code not in CODES:
+        raise ValueError(f"'{code}' is none of the codes {', '.join(CODES)}")
+    return F.struct(F.lit(None).cast(TYPES[kind]).alias("value"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+
+
+def first_indeterminate(*verdicts: Column) -> Column:
+    """The reason (struct<code, message>) of the first verdict that has one; NULL if all are definite."""
+    return F.coalesce(*[F.when(v["code"].isNotNull(), F.struct(v["code"].alias("code"), v["message"].alias("message"))) for v in verdicts])
+
+
 def rules_batch(df: DataFrame, key: list[str], rules: dict[str, dict], scope: Scope | None = None) -> DataFrame:
     """Long form: key columns, rule, verdict (NULL: indeterminate); all rules in one pass over the rows."""
     wide = with_values(df, {f"__{r}": t for r, t in rules.items()}, scope)
@@ -98,4 +120,4 @@ def instant_text(ms: Column) -> Column:
     )
 
 
-__all__ = ["filter_rows", "instant_text", "lower", "rules_batch", "with_truth", "with_value", "with_values", "with_verdict"]
+__all__ = ["definite", "filter_rows", "first_indeterminate", "indeterminate", "instant_text", "lower", "rules_batch", "with_truth", "with_value", "with_values", "with_verdict"]

@@ -179,6 +179,16 @@ def test_number_texts_and_canonical_json(spark):
     assert val.units_equal({"m": 1, "s": 0}, {"m": 1.0}) and val.divided({"m": 1}, {"m": 1, "s": 1}) == {"s": -1}
 
 
+def test_verdict_helpers(spark):
+    df = spark.range(2).select(R.definite(F.lit(1.5)).alias("a"), R.indeterminate("domain-error", "no", "number").alias("b"), R.definite(F.col("id")).alias("c"))
+    r = df.select("a", "b", R.first_indeterminate(F.col("a"), F.col("b"), F.col("b")).alias("f"), R.first_indeterminate(F.col("a"), F.col("c")).alias("none")).first()
+    assert (r.a.value, r.a.code, r.b.value, tuple(r.f), r.none) == (1.5, None, None, ("domain-error", "no"), None)
+    with pytest.raises(ValueError):
+        R.indeterminate("other", "")
+    z = spark.range(1).select(cx.from_polar(F.lit(2.0), F.lit(0.5)).alias("z")).select(cx.magnitude(F.col("z")).alias("m"), cx.phase(F.col("z")).alias("p")).first()
+    assert (z.m, z.p) == (pytest.approx(2.0), pytest.approx(0.5))
+
+
 def test_limits_count_referenced_trees(spark):
     trees = {"t0": B.compare("gt", B.ref("id"), B.lit(0))} | {f"t{k}": B.and_(B.tree(f"t{k - 1}"), B.tree(f"t{k - 1}")) for k in range(1, 30)}
     with pytest.raises(nodes.InvalidTree):
