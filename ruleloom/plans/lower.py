@@ -756,7 +756,9 @@ class Lowering:
         return self.quantifier(n, True)
 
     def items(self, key):
-        """(array column, item place, join steps made) of a nested collection, gathering a child table into one."""
+        """(array column, item schema, item scope, columns used) of a nested collection, gathering a child table into one.
+
+        The columns that items use are noted in a set, as only these are gathered; a nested array notes none."""
         binding = self.place.scope.collection(key)
         schema = self.place.schema
         if binding is None and isinstance(key, str) and key in schema.names and isinstance(schema[key].dataType, T.ArrayType):
@@ -765,29 +767,39 @@ class Lowering:
             raise BindingError(f"no collection found for key {canonical(key)}")
         if isinstance(binding, ArrayBinding):
             t = schema[binding.column].dataType.elementType
-            return self.place.get(binding.column), t, Scope(binding.fields, functions=self.place.scope.functions, trees=self.place.scope.trees, lookups={}, delegates=self.place.scope.delegates)
+            return self.place.get(binding.column), t, Scope(binding.fields, functions=self.place.scope.functions, trees=self.place.scope.trees, lookups={}, delegates=self.place.scope.delegates), set()
         if self.place.item:
             raise BindingError(f"collection {canonical(key)} in another table can't be reached from a nested array")
-        name = self.gathered(key, binding)
+        name, used = self.gathered(key, binding)
         scope = binding.scope or Scope()
-        return F.col(name), binding.df.schema, replace(scope, functions=scope.functions or self.place.scope.functions, trees=scope.trees or self.place.scope.trees)
+        return F.col(name), binding.df.schema, replace(scope, functions=scope.functions or self.place.scope.functions, trees=scope.trees or self.place.scope.trees), used
 
-    def gathered(self, key, binding: ChildTable) -> str:
-        """The child rows of a parent as an ordered array; one grouped pass for all uses of the collection."""
+    def gathered(self, key, binding: ChildTable) -> tuple[str, set]:
+        """The child rows of a parent as an ordered array of the columns that are used; one grouped pass for all uses of the
+        collection."""
         held = self.tables.setdefault(canonical(key), {})
         if "array" not in held:
-            name = held["array"] = self.fresh()
-            df, fields = binding.df, binding.df.columns
-            rows = F.struct(*[F.col(c) for c in [*binding.order, *(c for c in fields if c not in binding.order)]])
-            ordered = F.sort_array(F.collect_list(rows)) if binding.order else F.collect_list(rows)
-            grouped = df.groupBy(*[F.col(c).alias(f"{name}_{i}") for i, c in enumerate(binding.child_key)]).agg(ordered.alias(name))
-            self.steps.append(_joiner(grouped, binding.parent_key, name, {name: None}))
-            empty = F.array().cast(T.ArrayType(grouped.schema[name].dataType.elementType))
-            self.steps.append(lambda d: d.withColumn(name, F.coalesce(F.col(name), empty)))
+            name = self.fresh()
+            used: set = set()
+            held["array"] = name, used
+
+            def attach(df: DataFrame) -> DataFrame:
+                fields = [*binding.order, *(c for c in binding.df.columns if c in used and c not in binding.order)]
+                rows = F.struct(*[F.col(c) for c in fields or binding.df.columns[:1]])
+                ordered = F.sort_array(F.collect_list(rows)) if binding.order else F.collect_list(rows)
+                grouped = binding.df.groupBy(*[F.col(c).alias(f"{name}_{i}") for i, c in enumerate(binding.child_key)]).agg(ordered.alias(name))
+                empty = F.array().cast(T.ArrayType(grouped.schema[name].dataType.elementType))
+                return _joiner(grouped, binding.parent_key, name, {name: None})(df).withColumn(name, F.coalesce(F.col(name), empty))
+
+            self.steps.append(attach)
         return held["array"]
 
-    def item_lowering(self, schema, scope, x, accumulator=None) -> Lowering:
-        return replace(self, place=Place(scope, schema, lambda c: x[c], item=True), accumulator=accumulator, tables={})
+    def item_lowering(self, schema, scope, x, used: set, accumulator=None) -> Lowering:
+        def get(column):
+            used.add(column)
+            return x[column]
+
+        return replace(self, place=Place(scope, schema, get, item=True), accumulator=accumulator, tables={})
 
     def item_struct(self, low: Lowering, tree, filter_, of: str):
         """struct<f, x>: the filter's and the item's verdicts or values."""
@@ -835,16 +847,16 @@ class Lowering:
             settled = (vote == F.lit(not every))
             out = F.when(F.max(F.coalesce(settled, F.lit(False))), F.lit(not every)).when(F.max(vote.isNull()), F.lit(None)).otherwise(F.lit(every))
             return Ev("boolean", self.aggregated(n["collection"], binding, low, out, F.lit(every)))
-        array, schema, scope = self.items(n["collection"])
+        array, schema, scope, used = self.items(n["collection"])
         if not self.explain:
             def vote(x):
-                low = self.item_lowering(schema, scope, x)
+                low = self.item_lowering(schema, scope, x, used)
                 p = low.predicate(n["item"]).s
                 f = low.predicate(n["filter"]).s if n.get("filter") else None
                 return p if f is None else F.when(f, p).when(~f, F.lit(every))
 
             return Ev("boolean", F.forall(array, vote) if every else F.exists(array, vote), size=BIND_FROM)
-        low = lambda x: self.item_struct(self.item_lowering(schema, scope, x), n["item"], n.get("filter"), "predicate")[1]
+        low = lambda x: self.item_struct(self.item_lowering(schema, scope, x, used), n["item"], n.get("filter"), "predicate")[1]
         votes = F.transform(array, lambda x: F.element_at(F.transform(F.array(low(x)), lambda s: F.when(s["f"]["v"].isNull(), s["f"]).when(s["f"]["v"], s["x"]).otherwise(
             F.struct(F.lit(every).alias("v"), no_reason().alias("r")))), 1))
 
@@ -883,11 +895,11 @@ class Lowering:
                         first = F.min_by(F.when(f, e.s), F.when(f, F.struct(*binding.order)))
                         best = F.when(F.isnan(first), first).otherwise(best)
                 return Ev(e.kind, self.aggregated(n["collection"], binding, low, F.when(~F.coalesce(bad, F.lit(False)), best), None), e.unit, e.finite)
-        array, schema, scope = self.items(n["collection"])
+        array, schema, scope, used = self.items(n["collection"])
         kind: dict = {}
 
         def each(x):
-            low = self.item_lowering(schema, scope, x).with_explain()
+            low = self.item_lowering(schema, scope, x, used).with_explain()
             e, s = self.item_struct(low, item, n.get("filter"), "expression")
             kind.update(kind=e.kind, unit=e.unit, finite=e.finite)
             return s
@@ -948,7 +960,7 @@ class Lowering:
         binding = self.place.scope.collection(n["collection"])
         if isinstance(binding, ChildTable) and not binding.order:
             raise BindingError("a reduce over a child table needs an order")
-        array, schema, scope = self.items(n["collection"])
+        array, schema, scope, used = self.items(n["collection"])
         start = self.with_explain().expression(c["initial"])
         k = start.kind
         if k is None:
@@ -957,13 +969,13 @@ class Lowering:
         members = array
 
         def verdict_of(x):
-            low = self.item_lowering(schema, scope, x).with_explain()
+            low = self.item_lowering(schema, scope, x, used).with_explain()
             return low.predicate(filter_).s
 
         result: dict = {}
 
         def merge(acc, x):
-            low = self.item_lowering(schema, scope, x, Ev(k, acc, start.unit, start.finite, BIND_FROM)).with_explain()
+            low = self.item_lowering(schema, scope, x, used, Ev(k, acc, start.unit, start.finite, BIND_FROM)).with_explain()
             e = low.expression(c["combine"])
             result.update(kind=e.kind, unit=e.unit, finite=e.finite)
             if e.kind is None:
