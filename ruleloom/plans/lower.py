@@ -812,20 +812,24 @@ class Lowering:
         binding = self.place.scope.collection(key)
         return binding if isinstance(binding, ChildTable) and not self.explain and not self.place.item else None
 
-    def child(self, binding: ChildTable) -> Lowering:
-        scope = binding.scope or Scope()
-        scope = replace(scope, functions=scope.functions or self.place.scope.functions, trees=scope.trees or self.place.scope.trees)
-        return Lowering(Place(scope, binding.df.schema, F.col), limits=self.limits, chain=self.chain, names=self.names, visits=self.visits)
+    def child(self, key, binding: ChildTable) -> Lowering:
+        """What lowers trees over the child rows; one for all uses of a collection, so that they share its passes."""
+        held = self.tables.setdefault(canonical(key), {})
+        if "child" not in held:
+            scope = binding.scope or Scope()
+            scope = replace(scope, functions=scope.functions or self.place.scope.functions, trees=scope.trees or self.place.scope.trees)
+            held["child"] = Lowering(Place(scope, binding.df.schema, F.col), limits=self.limits, names=self.names, visits=self.visits)
+        return replace(held["child"], chain=self.chain)
 
     def aggregated(self, key, binding: ChildTable, low: Lowering, aggregate: Column, empty: Column | None) -> Column:
         """A column with an aggregate over the child rows of each parent; `empty` stands where there are none."""
         held = self.tables.setdefault(canonical(key), {})
         if "pass" not in held:
-            held["pass"] = {"aggregates": [], "children": []}
+            held["pass"] = {"aggregates": []}
 
-            def attach(df: DataFrame, held=held["pass"]) -> DataFrame:
+            def attach(df: DataFrame, held=held["pass"], steps=low.steps) -> DataFrame:
                 rows = binding.df
-                for step in held["children"]:
+                for step in steps:
                     rows = step(rows)
                 name = held["aggregates"][0][0]
                 grouped = rows.groupBy(*[F.col(c).alias(f"{name}_{i}") for i, c in enumerate(binding.child_key)]).agg(*[a.alias(c) for c, a, _ in held["aggregates"]])
@@ -834,13 +838,12 @@ class Lowering:
             self.steps.append(attach)
         name = self.fresh()
         held["pass"]["aggregates"].append((name, aggregate, empty))
-        held["pass"]["children"].extend(low.steps)
         return F.col(name)
 
     def quantifier(self, n, every: bool):
         binding = self.aggregates(n["collection"])
         if binding is not None:
-            low = self.child(binding)
+            low = self.child(n["collection"], binding)
             p = low.predicate(n["item"]).s
             f = low.predicate(n["filter"]).s if n.get("filter") else None
             vote = p if f is None else F.when(f, p).when(~f, F.lit(every))
@@ -881,7 +884,7 @@ class Lowering:
         empty = f"'{mode}' has no participating items to seed a running result from"
         binding = self.aggregates(n["collection"])
         if binding is not None:
-            low = self.child(binding)
+            low = self.child(n["collection"], binding)
             e = low.expression(item)
             if e.kind in ("number", "instant") or e.kind == "duration":
                 f = low.predicate(n["filter"]).s if n.get("filter") else F.lit(True)
@@ -944,7 +947,7 @@ class Lowering:
             return None
         if _mentions(shape["right"], "accumulator"):
             return None
-        low = self.child(binding)
+        low = self.child(n["collection"], binding)
         e = low.expression(shape["right"])
         if e.kind != "number" or e.unit:
             return None

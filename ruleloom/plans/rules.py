@@ -62,16 +62,16 @@ def with_value(df: DataFrame, name: str, expression: dict, scope: Scope | None =
     return with_values(df, {name: expression}, scope, "expression")
 
 
-def with_values(df: DataFrame, trees: dict[str, dict], scope: Scope | None = None, of: str = "predicate") -> DataFrame:
-    """Append several trees of one kind; they share the passes over child tables."""
+def with_values(df: DataFrame, trees: dict[str, dict], scope: Scope | None = None, of: str | dict[str, str] = "predicate") -> DataFrame:
+    """Append several trees; they share the passes over child tables. of: predicate or expression, for all or by name."""
     low = _start(df, scope, False)
-    read = nodes.read_predicate if of == "predicate" else nodes.read_expression
     columns = []
-    for tree in trees.values():
-        tree = read(tree)
+    for name, tree in trees.items():
+        predicate = (of if isinstance(of, str) else of[name]) == "predicate"
+        tree = (nodes.read_predicate if predicate else nodes.read_expression)(tree)
         _check_size(low, tree)
         low.visits[0] = 0  # each tree has the whole limit
-        columns.append((low.predicate if of == "predicate" else low.expression)(tree).s)
+        columns.append((low.predicate if predicate else low.expression)(tree).s)
     return _apply(df, low, list(trees), columns)
 
 

@@ -287,8 +287,8 @@ def nested_collections(spark, d):
     inner = Scope(collections={"lines": ChildTable(t(spark, d, "lineitem").select("l_orderkey", "l_quantity"), ["o_orderkey"], ["l_orderkey"])})
     scope = Scope(collections={"orders": ChildTable(t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["c_custkey"], ["o_custkey"], scope=inner)})
     whole = B.every("lines", B.compare("gt", B.ref("l_quantity"), B.lit(5)))
-    out = R.with_truth(t(spark, d, "customer"), "any_order", B.some("orders", whole), scope)
-    return R.with_value(out, "n", B.count("orders", whole), scope).select("c_custkey", "any_order", "n")
+    trees = {"any_order": B.some("orders", whole), "n": B.count("orders", whole)}
+    return R.with_values(t(spark, d, "customer"), trees, scope, {"any_order": "predicate", "n": "expression"}).select("c_custkey", "any_order", "n")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS one, round(l_extendedprice, -2) AS hundreds, CASE WHEN l_tax < l_discount THEN NULL ELSE round(sqrt(l_tax - l_discount), 10) END AS root,
