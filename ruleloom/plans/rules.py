@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from ruleloom.plans import nodes
 from ruleloom.plans.lower import TYPES, Ev, Lowering, Place
+from ruleloom.plans.schemas import CODES
 from ruleloom.sources.bindings import Scope
 
 
-#: Reason codes (fixed values).
-CODES = ("not-found", "not-yet-known", "wrong-type", "domain-error")
-
-
 def _start(df: DataFrame, scope: Scope | None, explain: bool) -> Lowering:
     return Lowering(Place(scope or Scope(), df.schema, F.col), explain)
 

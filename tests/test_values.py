@@ -16,6 +16,7 @@ from ruleloom.operators import values as val
 from ruleloom.plans import build as B
 from ruleloom.plans import nodes
 from ruleloom.plans import rules as R
+from ruleloom.plans import schemas
 from ruleloom.plans import sqltext
 from ruleloom.sources import cli
 from ruleloom.sources.bindings import ColumnBinding, Scope
@@ -189,6 +190,27 @@ def test_verdict_helpers(spark):
     assert (z.m, z.p) == (pytest.approx(2.0), pytest.approx(0.5))
 
 
+def test_named_schemas():
+    assert len(schemas.NAMES) == 43
+    eq = B.compare("eq", B.ref("a"), B.lit(1))
+    good = {
+        "CompareNodeSchema": eq, "NotNodeSchema": B.not_(eq), "PredicateNodeSchema": eq, "ExpressionNodeSchema": B.lit(2), "TreeReferenceNodeSchema": B.tree("k"), "UnitSchema": {"m": 2, "s": 0},
+        "ComputedValueSchema": {"kind": "duration", "value": 2, "unit": "h", "more": 1}, "IndeterminateReasonSchema": {"code": "not-found", "message": ""}, "HitPolicySchema": "unique",
+        "ComplexPolarLiteralNodeSchema": {"kind": "complexLiteral", "magnitude": 1, "phase": 2}, "ComplexRectangularLiteralNodeSchema": {"kind": "complexLiteral", "re": 1, "im": 2},
+        "ConditionalCaseSchema": {"when": eq, "then": B.lit(1)}, "FoldCombinerSchema": {"mode": "max", "item": B.ref("x")}, "JsonValueSchema": [None, {"a": 1}], "ArithmeticOperatorSchema": "add",
+    }
+    for name, value in good.items():
+        assert schemas.validate(name, value)["ok"], name
+        assert not schemas.validate(name, {"kind": "zzz"} if name != "JsonValueSchema" else float("nan"))["ok"], name
+    assert schemas.read("UnitSchema", {"m": 2, "s": 0}) == {"m": 2.0} and "more" not in schemas.read("ComputedValueSchema", good["ComputedValueSchema"])
+    bad = schemas.validate("CompareNodeSchema", {"kind": "compare", "op": "gt", "left": B.lit(1), "right": {"kind": "reference"}})
+    assert bad["issues"] == [("right.key", "is missing")]
+    for name in schemas.NAMES:
+        assert {"PredicateNode", "ExpressionNode"} <= set(schemas.json_schema(name)["$defs"])
+    with pytest.raises(KeyError):
+        schemas.read("OtherSchema", 1)
+
+
 def test_limits_count_referenced_trees(spark):
     trees = {"t0": B.compare("gt", B.ref("id"), B.lit(0))} | {f"t{k}": B.and_(B.tree(f"t{k - 1}"), B.tree(f"t{k - 1}")) for k in range(1, 30)}
     with pytest.raises(nodes.InvalidTree):
