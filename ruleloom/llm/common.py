@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import hashlib
 import tempfile
 
@@ -35,10 +39,13 @@ def ascii_lower(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary folder serves in
+    local mode (tests); on a cluster that is an error, as executors couldn't see it."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ruleloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -157,14 +164,60 @@ def small_batches(df: DataFrame) -> DataFrame:
 SLICE_BYTES = 1 << 20
 
 
+@functools.cache
+def _libc(kept: int = 4 << 20):
+    """The C library, told to keep freed arrays of up to `kept` bytes in the process, so that numpy's temporary arrays aren't
+    given back to the system and faulted in anew at each step; None where it lacks the setting."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for setting in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(setting, kept)
+        libc.malloc_trim(0)
+        return libc
+
+
+def start_lean() -> None:
+    """Give back what earlier tasks of a reused worker left, and keep small arrays from now on."""
+    if libc := _libc():
+        gc.collect()
+        libc.malloc_trim(0)
+
+
 def sliced(batches, limit: int = SLICE_BYTES):
     """The batches in slices of about `limit` bytes, so that a task's memory doesn't follow the length of the texts."""
+    start_lean()
     for batch in batches:
         step = max(1, batch.num_rows // max(1, -(-batch.nbytes // limit)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
 
+def grouped(batches, passing=lambda key: False):
+    """(value of the first column, rows of the other columns) of neighbouring rows with the same first column, which sorted
+    partitions have together; a group is held, the partition isn't. Rows with a passing key come one by one."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if rows and k != key:
+                yield key, rows
+                rows = []
+            if passing(k):
+                yield k, [row]
+            else:
+                key = k
+                rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def joined_steadily(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int, order: list[str]) -> DataFrame:
+    """A join whose rows come in the same order whenever a task runs again: of a broadcast, in the order of the left side's
+    files, otherwise sorted. Needed where what a task makes is numbered by the order of its rows."""
+    small = right.count() * row_bytes <= BROADCAST_BYTES
+    out = left.join(F.broadcast(right) if small else right, on, how)
+    return out if small else out.sortWithinPartitions(*order)
+
+
 def blobs(batch, name: str) -> list:
     """A text column of an Arrow batch as bytes objects (None stays)."""
     import pyarrow as pa

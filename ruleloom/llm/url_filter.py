@@ -1,20 +1,23 @@
 """URL filters by a sorted digest array.
 
-Entries (host, path, verdict) become 64-bit xxhash keys of `host + path`, sorted in one file beside their full
-strings. The file goes to every executor once (SparkContext.addFile) and is memory-mapped, so all Python workers of
-an executor share its pages and a replacement executor fetches it again. A URL is probed with every host suffix
-times every path length that occurs among the entries, by one vectorised binary search a batch; equal keys are
-confirmed on the stored strings, so collisions change nothing. Lists beyond `max_bytes` are joined by shuffle instead.
+Entries (host, path, verdict) become 64-bit xxhash keys of `host + path`, sorted by Spark and written to one file in the
+shared folder, beside their full strings. The file goes to every executor once (SparkContext.addFile) and is
+memory-mapped, so all Python workers of an executor share its pages and a replacement executor fetches it again. A URL is
+probed with every host suffix times every path length that occurs among the entries, by one vectorised binary search a
+batch; equal keys are confirmed on the stored strings, so collisions change nothing. A list is a DataFrame or a Python
+list; its size is measured, and lists beyond `max_bytes` are joined by shuffle instead.
 
 Defined results: null URLs and URLs without `://` have an empty host and path, fit no entry and are allowed; repeated
-rows are judged each; an empty list allows everything. Of several rules that fit, the longest string wins, of equally
+rows are judged each; an empty list allows everything; list rows with a null host, path or verdict fit nothing, and of rows that give one
+string two verdicts block wins. Of several rules that fit, the longest string wins, of equally
 long ones that with the longer host. Rules come before listed entries. Output columns replace columns of equal name.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
+from array import array
 
 import numpy as np
 import xxhash
@@ -22,14 +25,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import U64, append_columns, ascii_lower
+from ruleloom.llm.common import U64, append_columns, ascii_lower, shared_dir
 
-MAX_BYTES = 2 << 30
+#: Bytes of entries, 32 each beside their strings, that are shipped as a file.
+MAX_BYTES = 256 << 20
+#: xxhash64 of a column has this seed.
+SEED = 42
 
 #: Rules of the standing policy: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Hosts that the method itself blocks where no rule fits.
+#: Hosts that the method itself blocks where no rule fits: an example list. Give your own as a DataFrame of host, path, verdict.
 LISTED_HOSTS = ("adult-x", "casino-win", "free-bets", "spam-farm")
 LISTED_ZONES = ("example.com", "example.net", "example.org")
 LISTED = [(f"{host}.{zone}", "", "block") for host in LISTED_HOSTS for zone in LISTED_ZONES]
@@ -43,28 +49,52 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def write_index(rules, listed, folder: str) -> str:
-    """Write the digest array; the file is named by its content, so equal lists share one file."""
-    entries = {}
+def packed(rows) -> bytes:
+    """The digest array of (string, host length, is rule, is block) rows sorted by unsigned key."""
+    keys, ends, flags, text, lengths = array("Q"), array("Q", [0]), bytearray(), bytearray(), set()
+    for s, host, rule, block in rows:
+        raw = s.encode()
+        keys.append(xxhash.xxh64_intdigest(raw, SEED))
+        text += raw
+        ends.append(len(text))
+        flags.append(rule | block << 1)
+        lengths.add(len(s) - host)
+    head = array("Q", [len(keys), len(text)])
+    return b"".join([head.tobytes(), keys.tobytes(), ends.tobytes(), bytes(flags), bytes(text), array("Q", sorted(lengths)).tobytes()])
+
+
+def entries_of(spark: SparkSession, rules, listed) -> DataFrame:
+    """(s, h, is_rule, v): one row a string and kind of list. rules, listed: DataFrames of host, path, verdict, or lists of such rows."""
+    out = None
     for is_rule, group in ((0, listed), (1, rules)):
-        for host, path, verdict in group:
-            entries[(host + path, is_rule)] = (len(host), verdict == "block")
-    rows = sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), r, h, b) for (s, r), (h, b) in entries.items())
-    text = b"".join(x[1] for x in rows)
-    head = np.array([len(rows), len(text)], U64)
-    parts = [
-        head,
-        np.array([x[0] for x in rows], U64),
-        np.cumsum([0] + [len(x[1]) for x in rows]).astype(U64),
-        np.array([x[2] | x[4] << 1 for x in rows], np.uint8),
-        np.frombuffer(text, np.uint8),
-    ]
-    lengths = np.array(sorted({len(s) - h for (s, _), (h, _) in entries.items()}), U64)
-    data = b"".join(p.tobytes() for p in [*parts, lengths])
-    path = os.path.join(folder, f"urls-{xxhash.xxh3_128_hexdigest(data)}.bin")
-    with open(path, "wb") as out:
-        out.write(data)
-    return path
+        df = group if isinstance(group, DataFrame) else spark.createDataFrame(list(group), "host string, path string, verdict string")
+        one = df.where("host is not null and path is not null and verdict in ('allow', 'block')").select(
+            F.concat("host", "path").alias("s"), F.length("host").alias("h"), F.lit(is_rule).alias("is_rule"), F.col("verdict").alias("v")
+        )
+        out = one if out is None else out.union(one)
+    return out.groupBy("s", "is_rule").agg(F.max(F.struct("v", "h")).alias("x")).select("s", F.col("x.h").alias("h"), "is_rule", F.col("x.v").alias("v"))
+
+
+def write_index(entries: DataFrame) -> str:
+    """Write the digest array to the shared folder; the file is named by its content, so equal lists share one file."""
+    spark = entries.sparkSession
+    key = F.xxhash64("s")
+    rows = entries.orderBy(key < 0, key, "s", "is_rule").toLocalIterator()
+    data = packed((r.s, r.h, r.is_rule, r.v == "block") for r in rows)
+    name = f"urls-{xxhash.xxh3_128_hexdigest(data)}.bin"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/url-lists/{x}")
+    fs = path(name).getFileSystem(conf)
+    if not fs.exists(path(name)):
+        part = f"{name}.{uuid.uuid4().hex}"
+        out = fs.create(path(part))
+        try:
+            for a in range(0, len(data), 1 << 20):
+                out.write(bytearray(data[a : a + (1 << 20)]))
+        finally:
+            out.close()
+        fs.rename(path(part), path(name))
+    return fs.makeQualified(path(name)).toString()
 
 
 class DigestArray:
@@ -90,7 +120,7 @@ class DigestArray:
         """(position in strings, entry) for every confirmed string."""
         if not strings or not len(self.keys):
             return []
-        keys = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), U64, len(strings))
+        keys = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in strings), U64, len(strings))
         at = np.searchsorted(self.keys, keys)
         there = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys)
         found = []
@@ -135,10 +165,11 @@ def judge_batch(index: DigestArray, hosts: list[str], paths: list[str]) -> tuple
 def filter_urls(df: DataFrame, rules=RULES, listed=LISTED, url: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Append host, path, rule (null where none fits) and verdict to every row of `df`."""
     df = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    if sum(len(h) + len(p) + 32 for h, p, _ in [*rules, *listed]) > max_bytes:
-        return _joined(df, rules, listed)
+    entries = entries_of(df.sparkSession, rules, listed)
+    if (entries.agg(F.sum(F.octet_length("s") + 32)).first()[0] or 0) > max_bytes:
+        return _joined(df, entries)
     sc = df.sparkSession.sparkContext
-    path = write_index(rules, listed, tempfile.mkdtemp(prefix="urls-"))
+    path = write_index(entries)
     name = os.path.basename(path)
     if name not in {os.path.basename(f) for f in sc.listFiles}:
         sc.addFile(path)
@@ -155,14 +186,10 @@ def filter_urls(df: DataFrame, rules=RULES, listed=LISTED, url: str = "url", max
     return append_columns(df, "rule string, verdict string", make)
 
 
-def _joined(df: DataFrame, rules, listed) -> DataFrame:
+def _joined(df: DataFrame, entries: DataFrame) -> DataFrame:
     """The same judgement for lists too large to ship: candidates and entries meet by string in a shuffle."""
-    spark: SparkSession = df.sparkSession
-    entries = spark.createDataFrame(
-        [(h + p, len(h), len(p), k, v) for k, group in ((0, listed), (1, rules)) for h, p, v in group],
-        "s string, h int, n int, is_rule int, v string",
-    )
-    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in [*rules, *listed]})])
+    found = entries.select((F.length("s") - F.col("h")).alias("n")).distinct().collect()  # no more than the longest path has characters
+    lengths = F.array(*[F.lit(r.n) for r in found]).cast("array<int>")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
     keyed = df.withColumn("_row", F.monotonically_increasing_id())
