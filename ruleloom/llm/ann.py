@@ -11,7 +11,7 @@ A bucket is cut into blocks of about `BLOCK` vectors and its queries visit every
 vector nor a large bucket loads one task. No candidate is dropped: a block returns each query's best, which cannot lose
 any of the best overall (repeated ids are merged to their best score first). Queries that find fewer than k candidates are compared with all vectors, in the same blocks.
 
-Recall at 5 of the defaults (8 tables, 64 probes) by the operator itself, against brute force over all queries, is in
+Recall at 5 of the defaults (8 tables, 8 to 64 probes) by the operator itself, against brute force over all queries, is in
 the README; tests/llm hold it to 0.9 on 600 and on 9,000 vectors.
 
 Defined results: vectors that are null, zero or hold null or non-finite numbers take no part, neither do rows with a null
@@ -26,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import cut, partitions, small_batches
+from ruleloom.llm.common import broadcast_if_small, cut, partitions, small_batches
 
-TABLES, PROBES = 8, 64
+TABLES = 8
+#: A query probes one cell in so many, and at least and at most so many in a table.
+ONE_IN, FEWEST, MOST = 16, 8, 64
 #: Vectors in the table for each cell that an axis is split into.
 PER_CELL = 4000
 BLOCK = 4000
@@ -63,6 +65,12 @@ def cells_for(count: int) -> tuple:
     return tuple(out)
 
 
+def probes_for(cells: tuple, length: int) -> int:
+    """How many cells a query probes in each table, for vectors of a length."""
+    size = 1 << max(0, (length - 1).bit_length())
+    return min(MOST, max(FEWEST, int(np.prod([2.0 * min(most or size, size) for most in cells])) // ONE_IN))
+
+
 def _axes(x: np.ndarray, table: int, cells: tuple, seed: int):
     for part, most in enumerate(cells):
         yield rotated(x, table, part, seed)[:, :most]
@@ -125,7 +133,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _ROW = "t int, size int, bucket long, block int, side int, vec_id long, vec binary"
 
 
-def _hashed(df: DataFrame, vector: str, side: int, tables: int, cells: tuple, probes: int, seed: int, with_vector: bool = True) -> DataFrame:
+def _hashed(df: DataFrame, vector: str, side: int, tables: int, cells: tuple, probes: int | None, seed: int, with_vector: bool = True) -> DataFrame:
     """A row for each table (side 0) or each probe (side 1) of every usable vector; block is 0."""
 
     single = df.schema[vector].dataType.simpleString() == "array<float>"
@@ -139,7 +147,7 @@ def _hashed(df: DataFrame, vector: str, side: int, tables: int, cells: tuple, pr
                 u, own = unit(x), ids[rows]
                 raw = np.array([v.tobytes() for v in (x.astype(np.float32) if single else x)] if with_vector else [b""] * len(x), object)
                 for t in range(tables):
-                    codes = probed(u, t, cells, probes, seed) if side else buckets(u, t, cells, seed)[:, None]
+                    codes = probed(u, t, cells, probes or probes_for(cells, x.shape[1]), seed) if side else buckets(u, t, cells, seed)[:, None]
                     n, m = codes.shape
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -227,7 +235,7 @@ def _matrix(index, size: int):
 
 def _blocked(vectors: DataFrame, queries: DataFrame, counts: DataFrame, block: int) -> DataFrame:
     """Deal the vectors of a bucket to blocks and its queries to all of them. counts: a row for each bucket (tables x axes)."""
-    sized = counts.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
+    sized = broadcast_if_small(counts.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), 32)
     key = ["t", "size", "bucket"]
     dealt = vectors.join(sized, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     visits = queries.join(sized, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -241,7 +249,7 @@ def _top(met: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, is_query, vector: str = "embedding", k: int = 5, tables: int = TABLES, probes: int = PROBES, cells: tuple | None = None, seed: int = 11, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, is_query, vector: str = "embedding", k: int = 5, tables: int = TABLES, probes: int | None = None, cells: tuple | None = None, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query its k nearest other rows by cosine, as found."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id is not null")
     sound = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
