@@ -8,7 +8,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of documents.
 Nulls, empty texts, repeated rows and extra columns follow the operators' docstrings. Stage 1 fits on labels of the
-documents that reach it.
+documents that reach it. A stage's table is deleted when the next one's is written; the last one's stays for the result.
 """
 
 from __future__ import annotations
@@ -62,3 +62,6 @@ def run(spark, sf_dir):
             return out
         out.write.parquet(f"{folder}/{number}-{name}")
         docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        if number:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
