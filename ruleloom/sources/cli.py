@@ -33,17 +33,11 @@ def main(argv=None, spark=None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from ruleloom.plans import nodes
+    from ruleloom.plans.lower import MAX_NODES
     from ruleloom.sources.document import evaluate_document
 
-    kinds = nodes.tree_kinds(tree)
-    if args.max_nodes is not None and kinds:
-        read = nodes.read_predicate if kinds[0] == "predicate" else nodes.read_expression
-        if nodes.size(read(tree)) > args.max_nodes:
-            print(json.dumps({"outcome": "evaluated", "status": "indeterminate", "reason": {"code": "domain-error", "message": f"evaluation exceeded the maximum of {args.max_nodes} nodes"}}))
-            return 1
     spark = spark or SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
-    out = evaluate_document(spark, tree, inputs, args.of)
+    out = evaluate_document(spark, tree, inputs, args.of, MAX_NODES if args.max_nodes is None else args.max_nodes)
     print(json.dumps(out))
     if out["outcome"] != "evaluated":
         return 2

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from ruleloom.operators import values as val
 from ruleloom.plans import nodes
+from ruleloom.plans.lower import MAX_NODES
+from ruleloom.plans.nodes import canonical
 from ruleloom.sources.bindings import ArrayBinding, BindingError, ColumnBinding, Scope
 
 
@@ -95,8 +97,31 @@ def input_frame(spark: SparkSession, inputs):
     return spark.createDataFrame([tuple(row)], T.StructType(fields)), Scope(columns, collections)
 
 
-def evaluate_document(spark: SparkSession, tree, inputs, of: str | None = None) -> dict:
-    """{"outcome": "evaluated", ...} with a value or a reason, or {"outcome": "rejected", "reason": ..., "issues": ...}."""
+def visits(node: dict, sizes: dict[str, int]) -> int:
+    """The nodes that an evaluation visits, those of a collection's trees once for each of its items."""
+    times = sizes.get(canonical(node["collection"]), 0) if "collection" in node else 1
+    out = 1
+    for name, one in _below(node):
+        out += visits(one, sizes) * (times if name in ("item", "filter", "combine") else 1)
+    return out
+
+
+def _below(node: dict):
+    """(field, tree) for the trees directly below a node; a fold's combiner counts as the fold."""
+    held = {**node, **node.get("combiner", {})}
+    for name in ("operand", "left", "right", "item", "filter", "initial", "combine", "fallback"):
+        if isinstance(held.get(name), dict):
+            yield name, held[name]
+    for name in ("operands", "candidates", "args", "keys"):
+        yield from ((name, x) for x in held.get(name, ()))
+    for case in held.get("cases", ()):
+        yield from case.items()
+
+
+def evaluate_document(spark: SparkSession, tree, inputs, of: str | None = None, max_nodes: int = MAX_NODES) -> dict:
+    """{"outcome": "evaluated", ...} with a value or a reason, or {"outcome": "rejected", "reason": ..., "issues": ...}.
+
+    An evaluation that would visit more than max_nodes nodes is indeterminate."""
     from ruleloom.plans.rules import lower, with_verdict
 
     kinds = nodes.tree_kinds(tree)
@@ -112,6 +137,9 @@ def evaluate_document(spark: SparkSession, tree, inputs, of: str | None = None)
         df, scope = input_frame(spark, inputs)
     except InvalidInputs as e:
         return {"outcome": "rejected", "reason": "invalid", "issues": e.issues}
+    read = (nodes.read_predicate if of == "predicate" else nodes.read_expression)(tree)
+    if visits(read, {canonical(k): len(v) for k, v in inputs.items() if isinstance(v, list)}) > max_nodes:
+        return {"outcome": "evaluated", "as": of, "status": "indeterminate", "reason": {"code": "domain-error", "message": f"evaluation exceeded the maximum of {max_nodes} nodes"}}
     _, e = lower(df, tree, of, scope)
     got = with_verdict(df, "verdict", tree, of, scope).first().verdict
     if got.code is not None:

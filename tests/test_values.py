@@ -263,5 +263,8 @@ def test_documents_and_command_line(spark, tmp_path, capsys):
     args = ["evaluate", str(tmp_path / "t.json"), "--inputs", str(tmp_path / "i.json")]
     assert cli.main(args, spark) == 0 and json.loads(capsys.readouterr().out)["value"] is False
     assert cli.main([*args, "--max-nodes", "2"], spark) == 1
+    # 5 nodes beside the items, 3 for each of them
+    assert evaluate_document(spark, tree, {"x": 2, "items": [{"amount": 5}] * 4}, max_nodes=16)["reason"]["code"] == "domain-error"
+    assert evaluate_document(spark, tree, {"x": 2, "items": [{"amount": 5}] * 4}, max_nodes=17)["value"] is False
     assert cli.main(["evaluate", str(tmp_path / "none.json")], spark) == 2
     assert cli.main(["evaluate", "-", "--inputs", "-"], spark) == 2
