@@ -850,6 +850,9 @@ class Lowering:
             settled = (vote == F.lit(not every))
             out = F.when(F.max(F.coalesce(settled, F.lit(False))), F.lit(not every)).when(F.max(vote.isNull()), F.lit(None)).otherwise(F.lit(every))
             return Ev("boolean", self.aggregated(n["collection"], binding, low, out, F.lit(every)))
+        binding = self.place.scope.collection(n["collection"])
+        if self.explain and not self.place.item and isinstance(binding, ChildTable) and binding.order:
+            return self.explained_quantifier(n, every, binding)
         array, schema, scope, used = self.items(n["collection"])
         if not self.explain:
             def vote(x):
@@ -872,6 +875,26 @@ class Lowering:
 
         return Ev("boolean", self.bound([Ev("boolean", votes)], body), size=BIND_FROM)
 
+    def explained_quantifier(self, n, every: bool, binding: ChildTable) -> Ev:
+        """A quantifier's verdict over a child table by hash aggregates: whether a vote settles it, whether one is unknown, and
+        of the unknown ones the reason that comes first in the order, those of values not yet known before the others."""
+        low = self.child(n["collection"], binding)
+        judge = low.with_explain()
+        p = judge.predicate(n["item"]).s
+        f = judge.predicate(n["filter"]).s if n.get("filter") else None
+        vote = p["v"] if f is None else F.when(f["v"], p["v"]).when(~f["v"], F.lit(every))
+        why = p["r"] if f is None else F.when(f["v"].isNull(), f["r"]).when(f["v"], p["r"])
+        held = self.fresh()
+        low.steps.append(lambda df: df.withColumn(held, F.struct(vote.alias("v"), why.alias("r"))))
+        v, r = F.col(held)["v"], F.col(held)["r"]
+        order = F.struct(*binding.order)
+        urgent = v.isNull() & (r["code"] == "not-yet-known")
+        first = lambda which: F.min_by(F.when(which, r), F.when(which, order))
+        truth = F.when(F.max(F.coalesce(v == F.lit(not every), F.lit(False))), F.lit(not every)).when(F.max(v.isNull()), F.lit(None)).otherwise(F.lit(every))
+        found = self.aggregated(n["collection"], binding, low, truth, F.lit(every))
+        cause = self.aggregated(n["collection"], binding, low, F.coalesce(first(urgent), first(v.isNull())), None)
+        return Ev("boolean", F.struct(found.alias("v"), F.when(found.isNull(), cause).alias("r")))
+
     def e_fold(self, n):
         c = n["combiner"]
         if c["mode"] == "reduce":
