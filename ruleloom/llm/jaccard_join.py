@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import SLICE_BYTES, U64, WordHash, append_columns, blobs, broadcast_if_small, cut, partitions, sliced, small_batches, space_words, window_hashes
+from ruleloom.llm.common import SLICE_BYTES, U64, WordHash, append_columns, blobs, broadcast_if_small, cut, grouped, joined_steadily, partitions, sliced, small_batches, space_words, window_hashes
 from ruleloom.llm.components import Forest, components
 
 WIDTH = 5
@@ -106,15 +106,10 @@ def active(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _batch(names, kinds, rows)
 
     def reply(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if b < 0:
-                    yield _batch(names[1:], kinds[1:], [tuple(row)])
-                else:
-                    held.setdefault(b, []).append(row)
-        for b in list(held):
-            rows = held.pop(b)
+        for b, rows in grouped(batches, lambda b: b < 0):
+            if b < 0:
+                yield _batch(names[1:], kinds[1:], [tuple(rows[0])])
+                continue
             ones = [np.frombuffer(r[1], np.uint32) for r in rows]
             many = [np.frombuffer(r[3], np.uint32) for r in rows]
             every = np.concatenate([*ones, *many, *many])
@@ -129,22 +124,17 @@ def active(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _batch(names[1:], kinds[1:], out)
 
     def decide(batches):
-        total: dict[int, np.ndarray] = {}
-        heads: dict[int, tuple] = {}
-        for batch in batches:
-            for number, one, per, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if one:
-                    heads[number] = (np.frombuffer(one, np.int64), np.frombuffer(per, np.uint32).astype(np.int64))
-                    found = np.frombuffer(many, np.uint32)
-                else:
-                    found = np.frombuffer(per, np.uint32)
-                total[number] = total.get(number, 0) + found.astype(np.int64)
-        for number, (ids, sizes) in heads.items():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[(100 * total[number] >= percent * sizes) & (sizes > 0)])], names=["doc_id"])
+        for _, rows in grouped(batches):
+            head = next(r for r in rows if r[0])
+            ids, sizes = np.frombuffer(head[0], np.int64), np.frombuffer(head[1], np.uint32).astype(np.int64)
+            total = np.zeros(len(ids), np.int64)
+            for one, per, many in rows:
+                total += np.frombuffer(many if one else per, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[(100 * total >= percent * sizes) & (sizes > 0)])], names=["doc_id"])
 
     ddl = "batch long, one binary, per binary, many binary"
-    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b")
-    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").mapInArrow(decide, "doc_id long").distinct()
+    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b").sortWithinPartitions("b")
+    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").sortWithinPartitions("batch").mapInArrow(decide, "doc_id long").distinct()
 
 
 def ordered_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -163,15 +153,10 @@ def ordered_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _batch(names, kinds, rows)
 
     def reply(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if b < 0:
-                    yield _batch(names[1:], kinds[1:], [tuple(row)])
-                else:
-                    held.setdefault(b, []).append(row)
-        for b in list(held):
-            rows = held.pop(b)
+        for b, rows in grouped(batches, lambda b: b < 0):
+            if b < 0:
+                yield _batch(names[1:], kinds[1:], [tuple(rows[0])])
+                continue
             parts = [np.frombuffer(r[2], U64) for r in rows]
             _, at = np.unique(np.concatenate(parts), return_inverse=True)
             total = np.bincount(at, np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])).astype(np.int64)[at]
@@ -183,19 +168,10 @@ def ordered_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _batch(names[1:], kinds[1:], out)
 
     def arrange(batches):
-        heads: dict[int, tuple] = {}
-        known: dict[int, list] = {}
-        for batch in batches:
-            for number, ids, h, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if ids:
-                    heads[number] = (ids, h, times)
-                else:
-                    known.setdefault(number, []).append((h, times))
-        for number in list(heads):
-            ids, every, sizes = heads.pop(number)
-            parts = known.pop(number, [])
-            h = np.frombuffer(b"".join(x[0] for x in parts), U64)
-            times = np.frombuffer(b"".join(x[1] for x in parts), np.uint32)
+        for _, parts in grouped(batches):
+            ids, every, sizes = next(r for r in parts if r[0])
+            h = np.frombuffer(b"".join(r[1] for r in parts if not r[0]), U64)
+            times = np.frombuffer(b"".join(r[2] for r in parts if not r[0]), np.uint32)
             order = np.argsort(h)
             h, times = h[order], times[order]
             rows, start = [], 0
@@ -215,8 +191,8 @@ def ordered_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _batch(["doc", "wanted", "h", "head"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     ddl = "batch long, ids binary, h binary, n binary"
-    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b")
-    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").mapInArrow(arrange, "doc long, wanted int, h binary, head binary")
+    posted = docs.select("doc_id", "text").mapInArrow(post, "b int, " + ddl).repartition(partitions(spark), "b").sortWithinPartitions("b")
+    return posted.mapInArrow(reply, ddl).repartition(partitions(spark), "batch").sortWithinPartitions("batch").mapInArrow(arrange, "doc long, wanted int, h binary, head binary")
 
 
 def star_links(sets: DataFrame) -> DataFrame:
@@ -365,12 +341,13 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group: in
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     classes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
-    copies = cut(worded.drop("text").join(classes, ["k1", "k2"]).where("doc_id <> rep").distinct())
-    single = worded.join(broadcast_if_small(copies.drop("rep"), 32), ["doc_id", "k1", "k2"], "left_anti").drop("k1", "k2")
+    copies = cut(worded.drop("text").join(broadcast_if_small(cut(classes), 32), ["k1", "k2"]).where("doc_id <> rep").distinct())
+    keys = ["doc_id", "k1", "k2"]
+    single = joined_steadily(worded, copies.drop("rep"), keys, "left_anti", 32, keys).drop("k1", "k2")
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     some = cut(active(single, width, percent))
-    few = single.join(broadcast_if_small(some, 16), "doc_id", "left_semi")
+    few = joined_steadily(single, some, ["doc_id"], "left_semi", 16, ["doc_id", "text"])
     sets = cut(ordered_sets(few, width, percent))
     family = broadcast_if_small(cut(components(star_links(sets))), 24)
     sets = sets.join(family, F.col("doc") == F.col("node")).select(F.col("component").alias("g"), "doc", "wanted", "h")
@@ -433,13 +410,20 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; rows with a null doc_id stay."""
+    """Of each component the rows with the smallest doc_id; rows with a null doc_id, and texts without words, stay.
+
+    Of rows that repeat a doc_id all texts stay that are unlike, and one row of each text that they share: of equal texts
+    the row that is smallest by its columns in their order."""
     part = cut(components(links(docs, width, percent)))
-    gone = broadcast_if_small(part.where("node <> component").select("node"), 16)
-    kept = docs.join(gone, F.col("doc_id") == F.col("node"), "left_anti")
-    again = cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node")))
+    gone = broadcast_if_small(part.where("node <> component").select(F.col("node").alias("_gone")), 16)
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    digest = F.xxhash64(F.col("text").cast("string"), F.lit(1))
+    again = cut(kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again"), digest.alias("_digest")).count().where("count > 1").drop("count"))
     if again.isEmpty():
         return kept
-    again = broadcast_if_small(again, 16)
-    on = F.col("doc_id") == F.col("node")
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    again = broadcast_if_small(again, 24)
+    on = (F.col("doc_id") == F.col("_again")) & (digest == F.col("_digest"))
+    order = [F.col(f.name).cast("string") for f in docs.schema.fields]
+    twice = kept.join(again, on, "left_semi")
+    first = twice.groupBy("doc_id", digest.alias("_digest")).agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("_row"))
+    return kept.join(again, on, "left_anti").unionByName(first.select("_row.*"))
