@@ -5,10 +5,12 @@ A window is 50 consecutive words; a word goes if a window that covers it also st
 1. Every document posts anchors: of its 6-word phrases the smallest by hash in any stretch of 50 words, so equal windows
    share one. An anchor is confirmed as recurring if two documents post it; a batch posts each once, with its smallest
    and largest doc_id.
-2. The recurring anchors are shipped as sorted hashes, in blocks of bounded size (one pass over the documents a block).
-   Each batch compiles the recurring phrases that it holds into its shard of the Aho-Corasick automata (over word
-   numbers) and streams its documents through it, which locates every occurrence of every such phrase. The windows
-   around the occurrences are judged inside the batch first; per window the smallest document is posted on.
+2. The recurring anchors go back to the documents that post them: as a table of anchors by document, broadcast if it is
+   measured to be small and joined by shuffle otherwise, so there is one pass over the documents whatever their number,
+   and nothing is gathered on the driver. Each batch is a shard: it compiles the recurring phrases of its documents into an
+   Aho-Corasick automaton (over word numbers) and streams its documents through it, which locates every occurrence of
+   every such phrase. The windows around the occurrences are judged inside the batch first; per window the smallest
+   document is posted on.
 3. Posts meet by window: each that isn't of the smallest document sends its place back. Places of a document are merged
    and its covered words removed.
 
@@ -25,12 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import BROADCAST_BYTES, U64, WordHash, append_columns, blobs, cut, mix, partitions, sha256_hex, sliced, small_batches, space_words, window_hashes
+from ruleloom.llm.common import BROADCAST_BYTES, U64, WordHash, append_columns, blobs, cut, grouped, mix, partitions, sha256_hex, sliced, small_batches, space_words, window_hashes
 
 WINDOW = 50
 PHRASE = 6
-#: Recurring anchors a pass, 8 bytes each.
-BLOCK = 6_000_000
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -53,7 +53,7 @@ def anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.nda
 
 
 def recurring(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(anchor) hashes that two documents or more post."""
+    """(anchor) hashes that two documents or more post. docs: doc_id, text."""
 
     def post(batches):
         import pyarrow as pa
@@ -80,6 +80,30 @@ def recurring(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return posted.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor")
 
 
+def recurring_by_document(docs: DataFrame, known: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(doc_id, mark, known): the recurring anchors of each document. docs: doc_id, text, mark."""
+
+    def post(batches):
+        import pyarrow as pa
+
+        words = WordHash()
+        for batch in sliced(batches):
+            found, rows = [], []
+            for i, t in enumerate(blobs(batch, "text")):
+                w = space_words(t)
+                if len(w) >= window:
+                    p, at = anchors(words.of(w), window, phrase)
+                    found.append(np.unique(p[at]))
+                    rows.append(np.full(len(found[-1]), i))
+            if found:
+                rows = np.concatenate(rows)
+                keys = [pa.array(batch.column(c).to_numpy()[rows]) for c in ("doc_id", "mark")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "mark", "anchor"])
+
+    posted = docs.mapInArrow(post, "doc_id long, mark long, anchor long")
+    return posted.join(known, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("known"))
+
+
 def automaton(phrases):
     """Aho-Corasick over sequences of word numbers; every phrase gives its length."""
     import ahocorasick
@@ -91,15 +115,14 @@ def automaton(phrases):
     return out
 
 
-def located(batch_words: list, known: np.ndarray, window: int, phrase: int) -> list[np.ndarray]:
+def located(batch_words: list, known: list[np.ndarray], window: int, phrase: int) -> list[np.ndarray]:
     """Starts of the windows of each document (word hashes) that hold a recurring phrase, found by the batch's automaton."""
     phrases, streams = set(), []
-    for h in batch_words:
+    for h, own in zip(batch_words, known):
         stream = None
-        if len(h) >= window:
+        if len(h) >= window and len(own):
             p, at = anchors(h, window, phrase)
-            k = np.minimum(np.searchsorted(known, p[at]), len(known) - 1)
-            at = at[known[k] == p[at]]
+            at = at[np.isin(p[at], own)]
             if len(at):
                 stream = tuple((h & U64(0x7FFFFFFF)).tolist())
                 phrases.update(stream[i : i + phrase] for i in at.tolist())
@@ -144,43 +167,34 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.stack([s[new], s[np.append(new[1:], True)]], 1)
 
 
-def repeated_places(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
+def repeated_places(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bound: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, mark, starts): runs of windows of a document (mark: hash of its text) that a smaller doc_id has too."""
     spark = docs.sparkSession
     docs = small_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = cut(recurring(docs, window, phrase))
-    rounds = max(1, -(-known.count() // block))
     n = 4 * partitions(spark)
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    posted = None
-    for r in range(rounds):
-        hashes = np.sort(known.where(F.pmod("anchor", F.lit(rounds)) == r).toPandas().anchor.to_numpy(np.int64).view(U64))
-        shipped = spark.sparkContext.broadcast(hashes)
-        one = marked.mapInArrow(_poster(shipped, window, phrase, n), "b int, h binary, doc_id binary, mark binary, starts binary")
-        posted = one if posted is None else posted.union(one)
+    known = cut(recurring(docs, window, phrase))
+    known = cut(recurring_by_document(marked, known, window, phrase))
+    size = known.agg(F.sum(F.size("known") * 8 + 48)).first()[0] or 0
+    # what a batch decides for itself must not change when a task runs again, so rows have a fixed order
+    held = marked.join(F.broadcast(known), ["doc_id", "mark"]) if size <= bound else marked.join(known, ["doc_id", "mark"]).sortWithinPartitions("doc_id", "mark")
+    posted = held.mapInArrow(_poster(window, phrase, n), "b int, h binary, doc_id binary, mark binary, starts binary")
 
     def judge(batches):
-        held: dict[int, list] = {}
-        late: list[tuple] = []
-        for batch in batches:
-            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if b < 0:
-                    late.append(tuple(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, np.int32))))
-                else:
-                    held.setdefault(b, []).append(row)
-        for b in list(held):
-            rows = held.pop(b)
-            h, d, m, s = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((U64, np.int64, np.int64, np.int32)))
-            order = np.lexsort((d, h))
-            h, d, m, s = h[order], d[order], m[order], s[order]
-            first = np.append(True, h[1:] != h[:-1])
-            later = d > d[first][np.cumsum(first) - 1]
-            late.append((d[later], m[later], s[later]))
-        if late:
-            d, m, s = (np.concatenate(x) for x in zip(*late))
-            yield _table(_rows([d, m], s))
+        for b, rows in grouped(batches, lambda b: b < 0):
+            if b < 0:
+                d, m, s = (np.frombuffer(x, t) for x, t in zip(rows[0][1:], (np.int64, np.int64, np.int32)))
+            else:
+                h, d, m, s = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((U64, np.int64, np.int64, np.int32)))
+                order = np.lexsort((d, h))
+                h, d, m, s = h[order], d[order], m[order], s[order]
+                first = np.append(True, h[1:] != h[:-1])
+                later = d > d[first][np.cumsum(first) - 1]
+                d, m, s = d[later], m[later], s[later]
+            if len(d):
+                yield _table(_rows([d, m], s))
 
-    places = posted.repartition(partitions(spark), "b").mapInArrow(judge, _PLACES)
+    places = posted.repartition(partitions(spark), "b").sortWithinPartitions("b").mapInArrow(judge, _PLACES)
     return places.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
 
 
@@ -197,14 +211,13 @@ def route(h: np.ndarray, starts: np.ndarray, window: int, phrase: int) -> np.nda
     return mix(sliding(window_hashes(h, phrase), window - phrase + 1, np.minimum)[starts])
 
 
-def _poster(shipped, window: int, phrase: int, n: int):
+def _poster(window: int, phrase: int, n: int):
     def post(batches):
         import pyarrow as pa
 
-        words, known = WordHash(), shipped.value
+        words = WordHash()
         for batch in sliced(batches):
-            if not len(known):
-                continue
+            known = [np.array(x, np.int64).view(U64) for x in batch.column("known").to_pylist()]
             hashes = [words.of(space_words(t)) for t in blobs(batch, "text")]
             starts = located(hashes, known, window, phrase)
             parts = [(window_hashes(h, window)[s], s, i, route(h, s, window, phrase)) for i, (h, s) in enumerate(zip(hashes, starts)) if len(s)]
@@ -241,13 +254,13 @@ def kept_mask(n: int, starts: list[bytes], window: int) -> np.ndarray:
     return np.cumsum(cover[:n]) == 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Replace text by what is kept of it and append n_words, n_removed and kept_sha256 (of the kept words joined by a space)."""
-    places = cut(repeated_places(docs, window, phrase, block))
+    places = cut(repeated_places(docs, window, phrase, bound))
     size = places.agg(F.sum(F.expr("aggregate(starts, 48L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
     plain = docs.select(*[F.col(c).alias(f"_d_{c}") for c in names])
-    places = F.broadcast(places) if size <= BROADCAST_BYTES else places
+    places = F.broadcast(places) if size <= bound else places
     joined = plain.withColumn("_m", F.xxhash64(F.col("_d_text").cast("string"))).join(
         places, (F.col("_d_doc_id") == F.col("doc_id")) & (F.col("_m") == F.col("mark")), "left"
     )
