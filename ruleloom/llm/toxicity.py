@@ -97,36 +97,45 @@ def first_of_run(ids: np.ndarray) -> np.ndarray:
 def passage_starts(sizes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, words) of every passage of texts that lie one after another."""
     count = np.where(sizes > 0, np.maximum(sizes - passage + 1, 1), 0)
-    text = np.repeat(np.arange(len(sizes)), count)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return text, (np.cumsum(sizes) - sizes)[text] + inside, np.minimum(sizes, passage)[text]
+    return text, ((np.cumsum(sizes) - sizes)[text] + inside).astype(np.int32), np.minimum(sizes, passage).astype(np.int32)[text]
 
 
-def train(texts: list[bytes], labels: list[int], bits: int = BITS, dim: int = DIM, steps: int = STEPS, passage: int = PASSAGE, seed: int = 7) -> Model:
+#: Words whose n-grams, and texts whose passages, are worked on at a time, so that training needs little beside its tables.
+WORDS_AT_A_TIME, TEXTS_AT_A_TIME = 40_000, 250
+
+
+def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
+    """(word numbers of all texts, sizes, n-grams): the n-grams as (first word, buckets, how many each word has)."""
+    index: dict[bytes, int] = {}
+    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in (t or b"").split()), np.int32) for t in texts]
+    words = list(index)
+    del index
+    grams = [(a, *features(words[a : a + WORDS_AT_A_TIME])) for a in range(0, len(words), WORDS_AT_A_TIME)]
+    return np.concatenate(tokens), np.array([len(t) for t in tokens]), grams
+
+
+def train(texts: list[bytes], labels: list[int], dim: int = DIM, steps: int = STEPS, passage: int = PASSAGE, seed: int = 7) -> Model:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
-    index: dict[bytes, int] = {}
-    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in (t or b"").split()), np.int32) for t in texts]
-    sizes = np.array([len(t) for t in tokens])
+    tokens, sizes, grams = tokenised(texts)
     has = sizes > 0
     share = float(y[has].mean()) if has.any() else 0.0
     if not 0 < share < 1:
         return constant(float(y.mean()))
-    tokens = np.concatenate(tokens)
-    grams, per_word = features(list(index), bits)
-    del index
-    starts = np.cumsum(per_word) - per_word
-    # the words of every bucket, for gradients
-    word_of = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)[np.argsort(grams, kind="stable")]
-    held, first = np.unique(np.sort(grams), return_index=True)
-    fresh = first_of_run(tokens)
-    doc, begin, length = passage_starts(sizes, passage)
-    doc_first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    texts_with = doc[doc_first]
+    per_word = np.concatenate([n for _, _, n in grams])
+    blocks = []  # (texts, their words, passages)
+    ends = np.cumsum(sizes)
+    for x in range(0, len(sizes), TEXTS_AT_A_TIME):
+        own = slice(x, min(x + TEXTS_AT_A_TIME, len(sizes)))
+        if has[own].any():
+            words = slice(int(ends[x] - sizes[x]), int(ends[own.stop - 1]))
+            blocks.append((own, words, first_of_run(tokens[words]), *passage_starts(sizes[own], passage)))
 
     rng = np.random.default_rng(seed)
-    buckets = 1 << bits
+    buckets = 1 << BITS
     E = (rng.normal(0, 0.02 / np.sqrt(dim), (buckets, dim))).astype(np.float32)
     W = rng.normal(0, 1 / np.sqrt(dim), (dim, 2)).astype(np.float32)
     b = np.zeros(2)
@@ -135,22 +144,30 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, dim: int = DI
     for step in range(steps):
         direction = W[:, 1] - W[:, 0]
         keep = (rng.random(buckets, np.float32) >= DROPOUT).astype(np.float32) / np.float32(1 - DROPOUT)
-        word = np.add.reduceat(((E @ direction) * keep)[grams], starts) / per_word
-        sums = np.append(0.0, np.cumsum(word[tokens] * fresh, dtype=np.float64))
-        z = (sums[begin + length] - sums[begin]) / length
-        # passages count by softmax over the text's passages, ever more sharply
+        scores = (E @ direction) * keep
+        word = np.concatenate([np.add.reduceat(scores[own], np.cumsum(n) - n) for _, own, n in grams]) / per_word
         sharp = SHARPNESS * min(1.0, 0.125 + 2 * step / steps)
-        a = np.exp(sharp * (z - np.repeat(np.maximum.reduceat(z, doc_first), np.diff(np.append(doc_first, len(z))))))
-        a /= np.bincount(doc, a, len(sizes))[doc]
-        logit = np.bincount(doc, a * z, len(sizes)) + b[1] - b[0]
-        g = np.zeros(len(sizes))
-        g[texts_with] = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)[texts_with] * weight[texts_with]
-        each = g[doc] * a / length
-        cover = np.cumsum(np.bincount(begin, each, len(tokens) + 1) - np.bincount(begin + length, each, len(tokens) + 1))[:-1]
-        by_word = (np.bincount(tokens, cover * fresh, len(per_word)) / per_word).astype(np.float32)
-        to_logit = np.zeros(buckets, np.float32)  # the loss's gradient by each bucket's log odds
-        to_logit[held] = np.add.reduceat(by_word[word_of], first)
-        to_logit *= keep
+        by_word, total = np.zeros(len(per_word)), 0.0
+        for own, words, fresh, doc, begin, length in blocks:
+            mine = tokens[words]
+            sums = np.append(0.0, np.cumsum(word[mine] * fresh, dtype=np.float64))
+            z = (sums[begin + length] - sums[begin]) / length
+            # passages count by softmax over the text's passages, ever more sharply
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            a = np.exp(sharp * (z - np.repeat(np.maximum.reduceat(z, first), np.diff(np.append(first, len(z))))))
+            n = own.stop - own.start
+            a /= np.bincount(doc, a, n)[doc]
+            logit = np.bincount(doc, a * z, n) + b[1] - b[0]
+            g = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y[own]) * weight[own] * has[own]
+            total += g.sum()
+            each = g[doc] * a / length
+            cover = np.cumsum(np.bincount(begin, each, len(mine) + 1) - np.bincount(begin + length, each, len(mine) + 1))[:-1]
+            np.add.at(by_word, mine, cover * fresh)
+        by_word /= per_word
+        to_logit = np.zeros(buckets)  # the loss's gradient by each bucket's log odds
+        for a, own, n in grams:
+            to_logit += np.bincount(own, np.repeat(by_word[a : a + len(n)], n), buckets)
+        to_logit = to_logit.astype(np.float32) * keep
         by_weights = E.T @ to_logit
         # the gradient by an embedding is its bucket's times the softmax's direction
         steepest = max(steepest, float(np.abs(to_logit).max()))
@@ -160,7 +177,7 @@ def train(texts: list[bytes], labels: list[int], bits: int = BITS, dim: int = DI
         for x in range(0, buckets, 1 << 14):
             E[x : x + (1 << 14)] -= np.outer(rate * speed[x : x + (1 << 14)], direction).astype(np.float32)
         W -= 0.05 * np.stack([-by_weights, by_weights], 1) / (np.abs(by_weights).max() + 1e-12)
-        b += 0.3 * g.sum() / has.sum() * np.array([1.0, -1.0])
+        b += 0.3 * total / has.sum() * np.array([1.0, -1.0])
     return Model(E, W, b)
 
 
