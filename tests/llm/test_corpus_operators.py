@@ -87,6 +87,16 @@ def test_jaccard_join_keeps_one_of_each_group(spark, frame, corpus):
     assert jaccard_join.join_documents(frame.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_unlike_rows(spark):
+    """Unlike texts of one doc_id stay, equal ones once; columns may be called like the operator's own."""
+    base = prose(50, random.Random(1))
+    rows = [(1, "one thing entirely", "a", 1), (1, prose(30, random.Random(2)), "b", 2), (1, "one thing entirely", "c", 3), (2, base, "d", 4), (3, base + " more", "e", 5), (4, "", "f", 6), (4, None, "g", 7), (4, "", "f", 6), (None, base, "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, component int").repartition(3)
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.node, r.component) for r in kept.collect()) == [("a", 1), ("b", 2), ("d", 4), ("f", 6), ("g", 7), ("h", 8)]
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = random.Random(2)
     for _ in range(300):
@@ -101,10 +111,10 @@ def test_prefixes_of_similar_sets_share_enough():
                 assert len(pre[0] & pre[1]) >= m
 
 
-@pytest.mark.parametrize("block", [substring_dedup.BLOCK, 3])
-def test_substring_dedup(frame, corpus, block):
+@pytest.mark.parametrize("bound", [substring_dedup.BROADCAST_BYTES, 0])
+def test_substring_dedup(frame, corpus, bound):
     want = brute.substring_dedup(corpus)
-    rows = {r.row: r for r in substring_dedup.dedup_substrings(frame, block=block).collect()}
+    rows = {r.row: r for r in substring_dedup.dedup_substrings(frame, bound=bound).collect()}
     assert len(rows) == len(corpus)
     for k, (n, kept) in enumerate(want):
         r = rows[k]
@@ -147,7 +157,18 @@ def test_decontamination(spark, bound):
     assert decontaminate.search_documents(docs.limit(0), bench).count() == 0
 
 
-def test_url_filter(spark, monkeypatch):
+def test_suffix_arrays_are_sorted():
+    rng = np.random.default_rng(2)
+    for top, n, width in ((2, 300, 13), (3, 40, 4), (50, 500, 5), (1, 30, 13), (2, 0, 3)):
+        numbers = np.concatenate([rng.integers(0, top + 1, n), np.zeros(width, np.int64)])
+        at = np.flatnonzero(numbers)
+        order, suffixes = decontaminate.suffix_array(numbers, at, width)
+        want = sorted(at.tolist(), key=lambda i: (numbers[i : i + width].tolist(), i))
+        assert [numbers[i : i + width].tolist() for i in at[order]] == [numbers[i : i + width].tolist() for i in want]
+        assert sorted(order) == list(range(len(at))) and (suffixes[1:] >= suffixes[:-1]).all()
+
+
+def test_url_filter(spark, monkeypatch, tmp_path):
     urls = [
         "http://example.net/en/x", "http://EXAMPLE.net/de", "https://a.b.example.com/de/?q", "http://example.com/fr/", "http://x.org/fr/1#y", "http://x.org", "http://casino-win.example.org/en/",
         "http://badexample.net/en/", "no scheme", None, "", "http://", "a://b://c/net/", "http://net/", "http://x.net:80/", "http://m.spam-farm.example.net/en/z", "http://ÄB.net/ü",
@@ -168,11 +189,23 @@ def test_url_filter(spark, monkeypatch):
     for bound in (url_filter.MAX_BYTES, 0):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, max_bytes=bound).collect()}
         assert got == {i: judge(u) for i, u in enumerate([*urls, urls[0]])}
+    lists = [spark.createDataFrame([*g, (None, "/", "block"), ("org", "/", "other")], "host string, path string, verdict string") for g in (url_filter.RULES, url_filter.LISTED)]
+    for bound in (url_filter.MAX_BYTES, 0):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, *lists, max_bytes=bound).collect()}
+        assert got == {i: judge(u) for i, u in enumerate([*urls, urls[0]])}
+        nothing = url_filter.filter_urls(df, [], [], max_bytes=bound).collect()
+        assert len(nothing) == len(urls) + 1 and all(r.rule is None and r.verdict == "allow" for r in nothing)
+    twice = url_filter.filter_urls(df, [], [("org", "", "allow"), ("org", "", "block")]).collect()
+    assert {r.verdict for r in twice if r.host == "x.org"} == {"block"}
     # colliding digests are told apart by the stored strings
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s) % 3)
-    index = url_filter.DigestArray(url_filter.write_index(url_filter.RULES, url_filter.LISTED, "/tmp"))
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s, seed=0: len(s) % 3)
+    entries = [(h + p, len(h), k, v == "block") for k, g in ((0, url_filter.LISTED), (1, url_filter.RULES)) for h, p, v in g]
+    path = tmp_path / "index"
+    path.write_bytes(url_filter.packed(sorted(entries, key=lambda e: (len(e[0].encode()) % 3, e[0]))))
+    index = url_filter.DigestArray(str(path))
     hosts, paths, rules, verdicts = zip(*map(judge, urls))
     assert url_filter.judge_batch(index, list(hosts), list(paths)) == (list(rules), list(verdicts))
+    monkeypatch.undo()
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
@@ -219,6 +252,29 @@ def test_license_codes_and_versions_allow_no_edits():
         assert labels(f"x {own} y") == label, own
     twice = license_scan.scan(b"mozila public license version 2 0 mozilla public license version 2 0", notices)[7]
     assert [s[1:4] for s in twice] == [(0, 5, 1), (6, 11, 0)]
+    # an edited notice beside an exact one, in both orders, for every notice
+    for text, label in license_scan.NOTICES:
+        words = text.split()
+        bent = " ".join([words[0][:-1], *words[1:]])
+        for line, edits in ((f"{bent} {text}", [1, 0]), (f"{text} {bent}", [0, 1]), (f"{bent} {bent} {bent}", [1, 1, 1])):
+            spans = license_scan.scan(line.encode(), notices)[7]
+            n = len(words)
+            assert [s[:4] for s in spans] == [(label, k * n, k * n + n - 1, e) for k, e in enumerate(edits)], line
+
+
+def test_license_scan_is_linear(spark):
+    """Ten megabytes of candidates take about ten times the time of one."""
+    import time
+
+    notices = [license_scan.Notice(t, label, license_scan.CHARS_PER_EDIT) for t, label in license_scan.NOTICES]
+    took = []
+    for n in (4_000, 40_000):
+        start = time.process_time()
+        got = license_scan.scan(b"cc by nc relased under the mit license " * n, notices)
+        took.append(time.process_time() - start)
+        assert got[0] == 8 * n and got[1] == 2 * n and len(got[7]) == n
+    assert took[1] < 25 * took[0]
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><a>Home</a></nav>
@@ -247,8 +303,106 @@ def test_style_tree_importance(spark):
     df = spark.createDataFrame(pages, "html string").withColumn("host", F.lit("h"))
     nodes, _ = html_text.parse(pages[0][0])
     style = [html_text.signed(x) for x in html_text.style_nodes(nodes)]
-    low = set(html_text.style_tree(df).first().nodes)
-    assert low == {s for s, n in zip(style, nodes) if n[2] == "a"}
+    found = html_text.style_tree(df).first()
+    assert set(found.low) == {s for s, n in zip(style, nodes) if n[2] == "a"}
+    assert set(found.high) == {s for s, n in zip(style, nodes) if n[1] in ("html", "body") or n[2] == "b"}
+
+
+def test_style_tree_against_plain_entropies(spark):
+    """low, mid and high of random pages against entropies computed by dictionaries over paths of tags and names."""
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(13)
+
+    def box(depth):
+        name = rng.choice(["", " class=a", " class=b", " id=c"])
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p{name}>{rng.choice(['one', 'two', 'three', f'new {rng.random()}'])}</p>"
+        return f"<div{name}>{''.join(box(depth - 1) for _ in range(rng.randrange(1, 4)))}</div>"
+
+    pages = {h: [f"<body>{''.join(box(2) for _ in range(3))}<article>{box(1)}</article></body>" for _ in range(n)] for h, n in (("h", 40), ("few", 4), ("g", 12))}
+    df = spark.createDataFrame([(h, p) for h, ps in pages.items() for p in [*ps, ps[0]]], "host string, html string").repartition(3)
+    got = {r.host: r for r in html_text.style_tree(df).collect()}
+    assert set(got) == {"h", "g"}
+    for host in got:
+        texts, shows, on = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+        style_of = {}
+        distinct = sorted(set(pages[host]))
+        for number, page in enumerate(distinct):
+            nodes, blocks = html_text.parse(page)
+            hashes = html_text.style_nodes(nodes)
+            paths = [()]
+            for parent, tag, names in nodes[1:]:
+                paths.append((*paths[parent], (tag, names)))
+            words, kids = defaultdict(list), defaultdict(list)
+            for block in blocks:
+                for n, t in block:
+                    while n > 0:
+                        words[n].append(t)
+                        n = nodes[n][0]
+            for i in range(1, len(nodes)):
+                style_of[paths[i]] = html_text.signed(hashes[i])
+                on[paths[i]].add(number)
+                if nodes[i][0] > 0:
+                    kids[nodes[i][0]].append(paths[i][-1])
+            for i in range(1, len(nodes)):
+                # the parts of a node's text count in the order of its tree, by node
+                shape = tuple((paths[j], tuple(t for b in blocks for n, t in b if n == j)) for j in range(i, len(nodes)) if paths[j][: len(paths[i])] == paths[i] and (j == i or _under(nodes, j, i)))
+                if words[i]:
+                    texts[paths[i]][tuple(x[1] for x in shape if x[1])].add(number)
+                if kids[i]:
+                    shows[paths[i]][tuple(k for m, k in enumerate(kids[i][::-1]) if m == 0 or kids[i][::-1][m - 1] != k)].add(number)
+        want = {"low": set(), "mid": set(), "high": set()}
+        for path, found in texts.items():
+            if len(on[path]) < html_text.MIN_PAGES:
+                continue
+            m = max(len(on[path]), 2)
+            content = 1 - sum(math.log(len(x)) for x in found.values()) / len(found) / math.log(m)
+            mixed = content
+            if shows[path]:
+                counts = [len(x) for x in shows[path].values()]
+                total = sum(counts)
+                look = sum(-c / total * math.log(c / total) for c in counts) / math.log(total) if total > 1 else 1.0
+                mixed = (1 - 0.9 ** len(counts)) * look + 0.9 ** len(counts) * content
+            limit = html_text.THRESHOLD_ARTICLE if any(t == "article" for t, _ in path) else html_text.THRESHOLD
+            value = max(mixed, content)
+            want["low" if value < limit else "mid" if value * html_text.WEAK < limit else "high"].add(style_of[path])
+        assert {k: set(getattr(got[host], k)) for k in want} == want
+
+
+def _under(nodes, j, i):
+    while j > i:
+        j = nodes[j][0]
+    return j == i
+
+
+def test_style_tree_decides_without_names(spark):
+    """Boxes, menus and inline adverts that recur on a host go by their entropy, with names switched off too."""
+    page = """<body><nav><a>Home</a></nav><div class="q1">Call <i>us</i> now</div><div class="legal side"><h2>Law %d</h2><p>Only %d &lt;here&gt; <span class="zz">buy this</span>
+    and <b>there</b></p><span class="y%s">kept %d</span></div><div id="q2"><p>last line</p></div></body>"""
+    rows = [(i, f"http://h.example/{i}", page % (i, i, "", i), "x", 1, 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, nodes string, _host int, _low int").repartition(3)
+    host = url_filter.host_of(F.col("url"))
+    for names in (True, False):
+        got = {r.page_id: r for r in html_text.extract_text(df, host, names=names).collect()}
+        for i in range(12):
+            assert got[i].text == f"Law {i}\nOnly {i} <here> and there\nkept {i}", names
+            assert (got[i].nodes, got[i]._host, got[i]._low) == ("x", 1, 2)
+    off = html_text.extract_text(df, host, names=False, tree=False).collect()
+    assert all("Call us now" in r.text and "buy this" in r.text and "Home" in r.text for r in off)
+
+
+def test_names_are_a_prior(spark):
+    """A name alone removes a box that no host knows, but neither an article nor what it stands in; deep pages stay linear."""
+    text = html_text.main_text
+    assert text("<nav>menu</nav><div class='legal'><article><p>body</p></article></div><div class='notice'>n</div>") == "body"
+    assert text("<div class='tags'><p>a long text that is most of the page</p></div><div class='tags'>x</div>") == "a long text that is most of the page"
+    assert text("<p>see <span class='advert'>buy</span> this</p><div class='comments'><p>me</p></div>") == "see this"
+    assert text("<div class='comments'><p>me</p></div>", names=False) == "me"
+    deep = 20_000
+    assert text("<div>" * deep + "x" + "</div>" * deep + "</i>" * deep + "<p>y</b>" * deep).startswith("x\ny")
+    html_text._features("<div class=a>" * deep + "x" + "</p>" * deep)
 
 
 def test_repeated_pages_keep_their_text(spark):
@@ -309,8 +463,24 @@ def test_pseudo_rotations_keep_lengths_and_concatenated_hashes_work():
     x = ann.unit(np.random.default_rng(0).normal(size=(50, 24)))
     r = ann.rotated(x, 1, 0, 3)
     assert r.shape == (50, 32) and np.allclose((r * r).sum(1), 1)
-    for hashes in (1, 2):
-        assert (ann.probed(x, 0, hashes, 4, 3)[:, 0] == ann.buckets(x, 0, hashes, 3)).all()
+    for cells in ((None,), (None, None), (None, 4), (None, 64, 2)):
+        assert (ann.probed(x, 0, cells, 4, 3)[:, 0] == ann.buckets(x, 0, cells, 3)).all()
+    assert [ann.cells_for(n) for n in (100, 10_000, 52_000, 10**6)] == [(None,), (None, 2), (None, 8), (None, 64)]
+
+
+def test_nearest_neighbours_in_finer_cells(spark):
+    """Recall of the operator against brute force where cells are split, at about half the comparisons of all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    u = ann.unit(x.astype(float))
+    found = {(r.query_id, r.vec_id) for r in got}
+    near = {(q, int(i)) for q in range(0, 9000, 50) for i in np.argsort(-(u @ u[q]))[1:6]}
+    assert len(found & near) >= 0.9 * len(near) and len(got) == len(near)
+    cells = ann.cells_for(9000)
+    seen = sum(np.isin(ann.buckets(u, t, cells, 11), p).sum() for t in range(ann.TABLES) for p in ann.probed(u[:5], t, cells, ann.probes_for(cells, 64), 11))
+    assert cells == (None, 2) and seen / 5 < 0.6 * 9000
 
 
 def test_toxicity(spark):
@@ -340,6 +510,62 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df, nothing).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_training_uses_the_whole_embedding():
+    """Trained embeddings have more than one direction, and misspellings that training never saw gain from shared n-grams."""
+    rng = random.Random(5)
+    bad = ["idiot", "moron", "scumbag", "worthless"]
+    texts, labels = [], []
+    for i in range(400):
+        w = [rng.choice(WORDS[:200]) for _ in range(rng.randrange(5, 80))]
+        if i % 2:
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        texts.append(" ".join(w).encode())
+        labels.append(i % 2)
+    model = toxicity.train(texts, labels)
+    singular = np.linalg.svd(model.embedding, compute_uv=False)
+    assert (singular > 0.1).sum() > 1 and model.weights.shape == (toxicity.DIM, 2)
+    scorer = toxicity.Scorer(*model.collapsed())
+    plain, *spelt = scorer.score([b"w1 w2 w3 w4 w5 w6", b"w1 w2 idiott w4 w5 w6", b"w1 w2 morron w4 w5 w6", b"w1 w2 worthlesss w4 w5 w6"])
+    assert plain < 0.5 and all(s > 0.5 for s in spelt)
+
+
+def test_toxicity_scores_against_plain_sums(spark):
+    """The score of every text from the model's embedding and softmax, one passage at a time; held_out by zlib."""
+    import zlib
+
+    rng = random.Random(7)
+    texts = [prose(rng.randrange(1, 40), rng) for _ in range(30)] + ["", None, "same same same", "a" * 50_000, prose(9000, rng), "...", "\ud7ff x"]
+    labelled = [t.encode() if t else t for t in texts[:20]]
+    model = toxicity.train(labelled, [i % 2 for i in range(20)], steps=5)
+
+    def plain(text):
+        words = [(w, toxicity.features([w])[0]) for w in (text or "").encode().split()]
+        means = [model.embedding[g].mean(0) if i == 0 or words[i - 1][0] != w else 0 * model.embedding[0] for i, (w, g) in enumerate(words)]
+        n = toxicity.PASSAGE
+        best = -np.inf
+        for a in range(max(1, len(means) - n + 1)) if means else []:
+            z = np.mean(means[a : a + n], 0) @ model.weights
+            best = max(best, z[1] - z[0])
+        z = (best if means else 0.0) + model.bias[1] - model.bias[0]
+        return 1 / (1 + np.exp(-z))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = toxicity.score_toxicity(df.withColumn("h", toxicity.held_out()), model).collect()
+    for r in rows:
+        assert r.score == pytest.approx(plain(texts[r.doc_id]), abs=1e-4), r.doc_id
+        assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+    assert toxicity.score_toxicity(df.limit(0), model).count() == 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (5000 if i == 3 else 5)) for i in range(40)] + [(1, "short"), (1, "a longer text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    one_class = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert toxicity.score_toxicity(docs, one_class).agg(F.min("score")).first()[0] > 0.999
+    assert toxicity.fit(docs, labels, sample=3).embedding.shape[0] == 1 << toxicity.BITS
+    assert toxicity.fit(docs, labels, chars=0).embedding.shape[0] == 1
+
+
 def test_segment_sampling(spark):
     texts = ["Hello world, again", "  two  spaces\n\nline", "日本語 ▁ 😀\x00é", "", None, "a", "▁", "word " * 3000, "Hello world, again", "\ud7ff\ue001"]
     df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id int, text string, ids string").repartition(3)
@@ -362,10 +588,38 @@ def test_segment_sampling(spark):
     assert segment_sampling.sample_segmentations(df.limit(0)).count() == 0
 
 
+def test_no_piece_crosses_a_cut_and_units_make_up_the_text():
+    pieces = segment_sampling.Pieces(segment_sampling.MODEL)
+    for p in pieces.weights:
+        text = p.replace(segment_sampling.SPACE, " ")
+        whole = pieces.units([text])[0]
+        assert p in "".join(whole) and any(p in u for u in whole), p
+    texts = ["a_{b} ->_ x².y", None, "", "two  spaces ▁ 日本"]
+    units, counts = pieces.units(texts)
+    assert counts.tolist()[1:3] == [0, 0] and sum(counts) == len(units)
+    assert "".join(units[: counts[0]]) == "▁a_{b}▁->_▁x².y"
+    lat = segment_sampling.Lattices(pieces)
+    starts = lat.starts(pieces.units(["_{"])[0])
+    got = segment_sampling.sample(lat.ready(), starts, 3, 200)
+    assert pieces.weights["▁_{"][0] in {i for ids, *_ in got for i in ids.tolist()}
+
+
+def test_encode_and_decode(spark):
+    texts = ["Hello world, again", "naïve Über 日本 x_{1}", "", None]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id int, text string, ids string")
+    coded = segment_sampling.encode(df)
+    back = {r.doc_id: r for r in segment_sampling.decode(coded.withColumnRenamed("text", "before")).collect()}
+    assert [back[i].text for i in range(4)] == [t or "" for t in texts] and back[2].ids == back[3].ids == []
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=segment_sampling.MODEL)
+    assert back[0].ids == library.encode(texts[0]) and segment_sampling.encode(df.limit(0)).count() == 0
+
+
 def test_segmentations_follow_their_probabilities():
     pieces = segment_sampling.Pieces(segment_sampling.MODEL)
     lat = segment_sampling.Lattices(pieces)
-    starts = lat.starts(segment_sampling.units("hello"))
+    starts = lat.starts(pieces.units(["hello"])[0])
     every = {tuple(i.tolist()): float(np.exp(lp)) for i, lp, _, _ in segment_sampling.sample(lat.ready(), starts, 1, 500)}
     assert abs(sum(every.values()) - 1) < 1e-9
     n = 3000
@@ -386,7 +640,7 @@ def test_masked_lm(spark):
     docs = [(i, " ".join(rng.choice(["the cat sat", "a dog ran", "old trees grow"]) for _ in range(rng.randrange(1, 60)))) for i in range(300)]
     docs += [(None, None), (1000, ""), (1001, "?!"), (1002, "sat the cat ran a dog grow old trees sat a ran the"), (1003, "the cat sat a dog ran old trees grow the cat sat a"), (1003, "the cat sat a dog ran old trees grow the cat sat a")]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id int, text string, pll string").repartition(3)
-    tokens, p = masked_lm.fit(df, words=20, classes=4, rounds=3)
+    tokens, p = masked_lm.fit(df, groups=4, slots=5, classes=4, rounds=3)
     rows = masked_lm.score_documents(df, (tokens, p)).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(docs) and by[1000].n_tokens == 0 and by[1000].pll == 0 and by[1001].mean_pll is None
@@ -394,13 +648,15 @@ def test_masked_lm(spark):
     ids = tokens(docs[3][1].encode())
     around = masked_lm.contexts(ids, tokens.size)
     total = 0.0
+    share = lambda z: np.exp(z) / np.exp(z).sum()
     for i, row in zip(ids, around):
-        _, _, z = masked_lm.forward(p, row[None])
-        q = np.exp(z[0].astype(float))
-        total += np.log(q[i] / q.sum())
+        h = np.tanh(p[0][row].reshape(-1).astype(float) @ p[1] + p[2])
+        k = i % 4
+        total += np.log(share(h @ p[3] + p[4])[k] * share(h @ p[5][k] + p[6][k])[i // 4])
+    assert all(i < 20 for i in ids)
     assert abs(by[3].pll - total) < 1e-3 * abs(total)
     empty = masked_lm.fit(df.limit(0))
-    assert masked_lm.score_documents(df, empty).count() == len(docs)
+    assert masked_lm.score_documents(df, empty).count() == len(docs) and masked_lm.score_documents(df.limit(0), (tokens, p)).count() == 0
 
 
 def test_masked_lm_trains_on_every_position():
@@ -414,7 +670,7 @@ def test_masked_lm_tells_the_words_of_a_class_apart(spark):
     """Rare words by their counts within the class; with these the probabilities of all words sum to one."""
     docs = [(i, "the cat " * 20 + " ".join(["often"] * 6 + ["seldom"] * 2 + [f"once{i}"])) for i in range(10)]
     df = spark.createDataFrame(docs + [(3, docs[3][1])], "doc_id long, text string").repartition(3)
-    tokens, p = masked_lm.fit(df, words=2, classes=1)
+    tokens, p = masked_lm.fit(df, groups=1, slots=2, classes=1)
     assert set(tokens.known) == {b"the", b"cat"} and tokens.totals.tolist() == [11 * 9]
     asked = ["often", "seldom", "once3", "once4", "neverseen", "the", "often seldom", "often", None, "?"]
     rows = masked_lm.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2), (tokens, p)).collect()
@@ -432,8 +688,9 @@ def test_masked_lm_tells_the_words_of_a_class_apart(spark):
 
 def test_masked_lm_gradients():
     rng = np.random.default_rng(0)
-    p = [x.astype(np.float64) for x in masked_lm.initial(7)]
-    ids, around = rng.integers(0, 7, 5), rng.integers(0, 8, (5, 4))
+    p = [x.astype(np.float64) for x in masked_lm.initial(2, 3, 2, [5, 4, 3, 2, 1], [4, 0])]
+    ids, around = rng.integers(0, 5, 9), rng.integers(0, 9, (9, 4))
+    ids[-2:] = 6, 7
     loss = lambda q: -np.mean(masked_lm.log_probabilities(q, ids, around))
     trainer = masked_lm.Trainer(p, 1.0)
     before = [x.copy() for x in trainer.square]
@@ -468,6 +725,49 @@ def test_pipeline_runs_on_edges(spark, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     ids = [r.doc_id for r in docs.collect()]
-    assert sorted(x or 0 for x in ids) == [0, 1, 3, 4, 5]
+    assert sorted(x or 0 for x in ids) == [0, 1, 3, 4, 5, 5]  # both texts of document 5 are its own
     out = C.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(ids)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept: planted toxic texts go, the others match plain re-statements."""
+    import corpus_pipeline as C
+
+    rng = random.Random(21)
+    bad = ["idiot", "moron", "scumbag", "worthless"]
+    docs, toxic = [], {}
+    for i in range(240):
+        w = prose(rng.randrange(12, 90), rng).split(" ")
+        toxic[i] = int(i % 3 == 0)
+        if toxic[i]:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        docs.append((i, " ".join(w)))
+    passage, item, base = prose(60, rng), prose(30, rng), prose(100, rng)
+    docs += [(300 + i, f"{prose(20, rng)} {passage} {prose(20, rng)}") for i in range(4)] + [(400, f"{item} {prose(9, rng)}"), (401, f"{prose(300, rng)} {item[:40]}"), (402, None), (403, ""), (404, "a" * 5000)]
+    docs += [(500 + i, edited(base, i, rng)) for i in range(6)]
+    spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, y in toxic.items()] + [(500 + i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frames, now = [], spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(C.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        frames.append(now)
+    texts = [{r.doc_id: r.text for r in f.select("doc_id", "text").collect()} for f in frames[:-1]]
+    caught = [i for i, y in toxic.items() if y and i not in texts[0]]
+    assert len(caught) >= 76 and len([d for d, _ in docs if not toxic.get(d) and d not in texts[0]]) <= 3
+    groups = brute.jaccard_components(list(texts[0].items()))
+    assert set(texts[1]) == {d for d in texts[0] if groups[d] == d} and texts[1].items() <= texts[0].items() and {501, 502}.isdisjoint(texts[1])
+    order = list(texts[1].items())
+    want = {d: t if n == len(kept) else b" ".join(kept).decode() for (d, t), (n, kept) in zip(order, brute.substring_dedup(order))}
+    assert texts[2] == want and texts[2] != texts[1]
+    order = list(texts[2].items())
+    clean = {d: t for (d, t), (n, hit, _) in zip(order, brute.decontaminate([t for _, t in order], [(1, item)])) if not (hit and 20 * hit >= n)}
+    assert texts[3] == clean and 400 not in clean
+    pieces = segment_sampling.Pieces(segment_sampling.MODEL)
+    rows = frames[4].collect()
+    assert {r.doc_id for r in rows} == set(clean) and all(pieces.decode(r.ids) == (clean[r.doc_id] or "") for r in rows)
+    again = C.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.sample, tuple(r.ids)) for r in again} == {(r.doc_id, r.sample, tuple(r.ids)) for r in rows}
