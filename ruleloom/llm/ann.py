@@ -11,7 +11,7 @@ A bucket is cut into blocks of about `BLOCK` vectors and its queries visit every
 vector nor a large bucket loads one task. No candidate is dropped: a block returns each query's best, which cannot lose
 any of the best overall (repeated ids are merged to their best score first). Queries that find fewer than k candidates are compared with all vectors, in the same blocks.
 
-Recall at 5 of the defaults (8 tables, 8 to 64 probes) by the operator itself, against brute force over all queries, is in
+Recall at 5 of the defaults (8 tables, 16 to 64 probes) by the operator itself, against brute force over all queries, is in
 the README; tests/llm hold it to 0.9 on 600 and on 9,000 vectors.
 
 Defined results: vectors that are null, zero or hold null or non-finite numbers take no part, neither do rows with a null
@@ -30,7 +30,7 @@ from ruleloom.llm.common import broadcast_if_small, cut, partitions, small_batch
 
 TABLES = 8
 #: A query probes one cell in so many, and at least and at most so many in a table.
-ONE_IN, FEWEST, MOST = 16, 8, 64
+ONE_IN, FEWEST, MOST = 12, 16, 64
 #: Vectors in the table for each cell that an axis is split into.
 PER_CELL = 4000
 BLOCK = 4000
