@@ -1,27 +1,32 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network.
 
 Every token is predicted from the tokens on both sides of it (`SIDE` each way): their embeddings, concatenated, pass one
-tanh layer and a softmax over the vocabulary. A document's score is the sum over its tokens of the log probability of
-the token given its neighbours, so the masked token is never seen by its own prediction.
-
-The vocabulary comes from the counts of all words of all documents: the most frequent words, and a bounded number of
-hash classes that share the rest. The network predicts a frequent word itself and of any other word its class; which
-word of the class it is has the probability c / (n + 1), from the counts c of the word and n of its class, and words that
-the corpus lacks share one count. These counts are a distributed table of all words, joined when documents are scored,
-so every token pays for its own word whatever the size of the vocabulary. The network is trained in numpy on the whole corpus, data-parallel: in each round
-every task trains the shared parameters on its documents, and the parameters are averaged, weighted by tokens and slice
-by slice on the executors, so the driver sees one model whatever the size of the corpus. A hash of row key and position
+tanh layer and a softmax over classes, and for a frequent word a second softmax over the words of its class. A
+document's score is the sum over its tokens of the log probability of the token given its neighbours, so the masked token
+is never seen by its own prediction.
+
+The vocabulary comes from the counts of all words of all documents. The most frequent words are dealt by rank to `GROUPS`
+classes of `SLOTS` words; all others share `CLASSES` hash classes. The network predicts the class, and the word within
+a class of frequent words; which word of a hash class it is has the probability c / (n + 1), from the counts c of the word
+and n of its class, and words that the corpus lacks share one count. These counts are a distributed table of all words,
+joined when documents are scored, so every token pays for its own word whatever the size of the vocabulary, and the
+probabilities of all words sum to one. The network starts as the model that knows counts alone and is trained in numpy on
+the whole corpus, data-parallel: in each round every task trains the shared parameters on its documents, and the
+parameters are averaged, weighted by tokens and slice by slice on the executors, so the driver sees one model whatever the
+size of the corpus (its few megabytes are averaged by as many tasks as it has slices). A hash of row key and position
 deals the positions to the rounds, so each position of each document is masked and predicted in exactly one round. The
-number of messages grows with the input, the model's size doesn't.
+number of messages grows with the input, the model's size doesn't. As tasks train apart, the parameters, and with them
+the scores' last digits, depend on how the documents are cut into partitions; with equal partitions they are equal.
 
 Defined results: null, empty and wordless texts have no tokens, a pseudo log-likelihood of 0 and no mean; at the edges of
 a document the missing neighbours are one padding token; rows with a null key mask the same positions as key 0; repeated
-rows score alike; without any token the model is uniform. Logarithms of word counts are summed as multiples of 2^-32, so
+rows score alike; without any token every class has the same probability. Logarithms of word counts are summed as multiples of 2^-32, so
 that sums don't depend on the order of rows. Output columns replace columns of equal name.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 
 import numpy as np
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.common import U64, alnum_words, append_columns, blobs, cut, mix, partitions, sliced, small_batches
 
-SIDE, DIM, HIDDEN = 2, 16, 24
-WORDS, CLASSES = 896, 128
+SIDE, DIM, HIDDEN = 2, 16, 16
+GROUPS, SLOTS, CLASSES = 16, 64, 32
 ROUNDS, RATE = 2, 0.1
-#: Tokens at a time: their logits stay in a core's cache.
-CHUNK = 256
+#: Tokens of a training step, and tokens that are scored at a time.
+STEP, CHUNK = 2048, 2048
+#: Words that a task counts before it posts them.
+HELD_WORDS = 150_000
+#: The logit of a place without a word.
+NEVER = -1e4
 
 
 #: Logarithms of word counts are integers of this many to one.
@@ -48,16 +57,22 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        seen: Counter = Counter()
         for batch in sliced(batches):
-            seen: Counter = Counter()
             for t in blobs(batch, text):
                 seen.update(alnum_words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            if len(seen) > HELD_WORDS:
+                yield flush()
+                seen.clear()
+        yield flush()
 
     return cut(small_batches(docs).select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def vocabulary(counts: DataFrame, words: int = WORDS) -> list[tuple[bytes, int]]:
+def vocabulary(counts: DataFrame, words: int = GROUPS * SLOTS) -> list[tuple[bytes, int]]:
     """The most frequent words, with their counts."""
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     return [(bytes(r.word), r.n) for r in top]
@@ -71,7 +86,7 @@ def class_totals(counts: DataFrame, tokens) -> np.ndarray:
         import pyarrow as pa
 
         token = shipped.value
-        first = len(token.known)
+        first = token.words
         sums = np.zeros(token.classes, np.int64)
         for batch in batches:
             for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
@@ -86,26 +101,28 @@ def class_totals(counts: DataFrame, tokens) -> np.ndarray:
 
 
 class Tokens(dict):
-    """Token numbers by word: frequent words first, then hash classes; the padding token comes last. Numbers of other
-    words are remembered up to a bound. totals: the summed counts of each class; counts: the table of all words, which
-    stays with the driver's plan and isn't shipped."""
+    """Token numbers by word: frequent words by rank, from groups * slots on hash classes; the padding token comes last.
+    Numbers of other words are remembered up to a bound. totals: the summed counts of each hash class; counts: the table of
+    all words, which stays with the driver's plan and isn't shipped."""
 
-    def __init__(self, words: list[bytes], classes: int, totals: np.ndarray | None = None, counts: DataFrame | None = None):
+    def __init__(self, words: list[bytes], groups: int, slots: int, classes: int, totals: np.ndarray | None = None, counts: DataFrame | None = None):
         super().__init__()
         self.totals = np.zeros(classes, np.int64) if totals is None else totals
         self.counts = counts
         self.known = {w: i for i, w in enumerate(words)}
-        self.classes, self.size = classes, len(words) + classes
+        self.groups, self.slots, self.classes = groups, slots, classes
+        self.words = groups * slots
+        self.size = self.words + classes
         self.update(self.known)
 
     def __reduce__(self):
-        return Tokens, (list(self.known), self.classes, self.totals)
+        return Tokens, (list(self.known), self.groups, self.slots, self.classes, self.totals)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
             self.update(self.known)
-        self[word] = i = len(self.known) + xxhash.xxh32_intdigest(word) % self.classes
+        self[word] = i = self.words + xxhash.xxh32_intdigest(word) % self.classes
         return i
 
     def __call__(self, text: bytes | None) -> np.ndarray:
@@ -113,13 +130,25 @@ class Tokens(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def initial(size: int, seed: int = 3) -> list[np.ndarray]:
-    """embedding, hidden weights, hidden bias, output weights, output bias."""
+def initial(groups: int, slots: int, classes: int, words=(), totals=(), seed: int = 3) -> list[np.ndarray]:
+    """embedding, hidden weights and bias, class weights and bias, word weights and bias by group. The biases are the
+    logarithms of the counts: of the frequent words by rank, and the totals of the hash classes."""
     rng = np.random.default_rng(seed)
     f = np.float32
+    count = np.zeros(groups * slots)
+    count[: len(words)] = words
+    count = count.reshape(slots, groups).T
+    mass = np.append(count.sum(1), np.asarray(totals, float) if len(totals) else np.zeros(classes))
+    if not mass.any():
+        mass[:], count[:] = 1.0, 1.0
+    with np.errstate(divide="ignore"):
+        low = np.maximum(np.log(mass / mass.sum()), NEVER)
+        inner = np.maximum(np.log(count) - np.log(np.maximum(count.sum(1, keepdims=True), 1)), NEVER)
+    low[groups:] = np.maximum(low[groups:], np.log(1 / (mass.sum() + classes)))  # a word that the corpus lacks may come
     return [
-        rng.normal(0, 0.3, (size + 1, DIM)).astype(f), rng.normal(0, 1 / np.sqrt(2 * SIDE * DIM), (2 * SIDE * DIM, HIDDEN)).astype(f),
-        np.zeros(HIDDEN, f), rng.normal(0, 0.01, (HIDDEN, size)).astype(f), np.zeros(size, f),
+        rng.normal(0, 0.3, (groups * slots + classes + 1, DIM)).astype(f), rng.normal(0, 1 / np.sqrt(2 * SIDE * DIM), (2 * SIDE * DIM, HIDDEN)).astype(f),
+        np.zeros(HIDDEN, f), rng.normal(0, 0.01, (HIDDEN, groups + classes)).astype(f), low.astype(f),
+        rng.normal(0, 0.01, (groups, HIDDEN, slots)).astype(f), inner.astype(f),
     ]
 
 
@@ -130,29 +159,59 @@ def contexts(ids: np.ndarray, pad: int) -> np.ndarray:
 
 
 def forward(p: list[np.ndarray], around: np.ndarray, bounded: bool = False):
-    """(inputs, hidden layer, logits). Unless the logits are known to be bounded, their maximum is taken off."""
+    """(inputs, hidden layer, class logits)."""
     x = p[0][around].reshape(len(around), -1)
     h = np.tanh(x @ p[1] + p[2])
-    z = h @ p[3]
-    z += p[4]
+    return x, h, logits(h, p[3], p[4], bounded)
+
+
+def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool) -> np.ndarray:
+    """Less their maximum, unless exp of them is known to stay in range."""
+    z = h @ weights
+    z += bias
     if not bounded:
         z -= z.max(1, keepdims=True)
-    return x, h, z
+    return z
 
 
 def is_bounded(p: list[np.ndarray]) -> bool:
-    """Whether no logit can leave the range of exp: the hidden layer lies within -1 and 1."""
-    return bool((np.abs(p[3]).sum(0) + np.abs(p[4])).max() < 60)
+    """Whether no logit is large and every softmax has one that isn't low: the hidden layer lies within -1 and 1."""
+    for weights, bias in ((p[3], p[4]), (p[5], p[6])):
+        reach = np.abs(weights).sum(-2)
+        if (bias + reach).max() > 60 or (bias - reach).max(-1).min() < -60:
+            return False
+    return True
+
+
+def class_of(p: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    groups, _, slots = p[5].shape
+    return np.where(ids < groups * slots, ids % groups, ids - groups * slots + groups)
+
+
+def by_group(p: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that has the words of a group together, hash classes last; and (group, from, to) of every group that occurs."""
+    groups, _, slots = p[5].shape
+    own = np.where(ids < groups * slots, ids % groups, groups).astype(np.int16)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(groups + 1)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
 
 
 def log_probabilities(p: list[np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids))
-    bounded, ones = is_bounded(p), np.ones(p[3].shape[1], p[3].dtype)
+    bounded = is_bounded(p)
+    ones, inner_ones = np.ones(p[4].shape[-1], p[4].dtype), np.ones(p[6].shape[-1], p[6].dtype)
     for a in range(0, len(ids), CHUNK):
-        own = ids[a : a + CHUNK]
-        _, _, z = forward(p, around[a : a + CHUNK], bounded)
-        own = z[np.arange(len(own)), own].astype(np.float64)
-        out[a : a + CHUNK] = own - np.log((np.exp(z, out=z) @ ones).astype(np.float64))
+        order, parts = by_group(p, ids[a : a + CHUNK])
+        own = ids[a : a + CHUNK][order]
+        _, h, z = forward(p, around[a : a + CHUNK][order], bounded)
+        lp = z[np.arange(len(own)), class_of(p, own)].astype(np.float64)
+        lp -= np.log((np.exp(z, out=z) @ ones).astype(np.float64))
+        for k, x, y in parts:
+            inner = logits(h[x:y], p[5][k], p[6][k], bounded)
+            lp[x:y] += inner[np.arange(y - x), own[x:y] // len(p[5])]
+            lp[x:y] -= np.log((np.exp(inner, out=inner) @ inner_ones).astype(np.float64))
+        out[a + order] = lp
     return out
 
 
@@ -164,26 +223,38 @@ class Trainer:
         self.rate = rate
         self.square = [np.full_like(x, 1e-3) for x in p]
         self.seen = self.steps = 0
-        self.ones = np.ones(p[3].shape[1], p[3].dtype)
         self.bounded = False
+        self.ones, self.inner_ones = np.ones(p[4].shape[-1], p[4].dtype), np.ones(p[6].shape[-1], p[6].dtype)
 
     def step(self, ids: np.ndarray, around: np.ndarray):
         p, n = self.p, len(ids)
-        if self.steps % 64 == 0:  # a step moves a weight by at most the rate, so this holds for the next ones with room to spare
+        if self.steps % 16 == 0:  # a step moves a weight by at most the rate, so this holds for the next ones with room to spare
             self.bounded = is_bounded(p)
         self.steps += 1
+        order, parts = by_group(p, ids)
+        ids, around = ids[order], around[order]
         x, h, z = forward(p, around, self.bounded)
         np.exp(z, out=z)
-        z *= 1 / (z @ self.ones)[:, None]
-        z[np.arange(n), ids] -= 1
-        z /= n
-        dh = (z @ p[3].T) * (1 - h * h)
-        dx = (dh @ p[1].T).reshape(-1, DIM)
+        z *= (np.float32(1 / n) / (z @ self.ones))[:, None]
+        z[np.arange(n), class_of(p, ids)] -= 1 / n
+        dh = z @ p[3].T
+        inner, inner_bias = np.zeros_like(p[5]), np.zeros_like(p[6])
+        for k, a, b in parts:
+            y = logits(h[a:b], p[5][k], p[6][k], self.bounded)
+            np.exp(y, out=y)
+            y *= (np.float32(1 / n) / (y @ self.inner_ones))[:, None]
+            y[np.arange(b - a), ids[a:b] // len(p[5])] -= 1 / n
+            dh[a:b] += y @ p[5][k].T
+            inner[k], inner_bias[k] = h[a:b].T @ y, y.sum(0)
+        dh *= 1 - h * h
+        dx = np.ascontiguousarray((dh @ p[1].T).reshape(-1, DIM).T)
         flat = around.ravel()
-        grad = np.stack([np.bincount(flat, dx[:, d], len(p[0])) for d in range(DIM)], 1).astype(np.float32)
-        for own, square, g in zip(p, self.square, (grad, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0))):
+        rows = np.stack([np.bincount(flat, one, len(p[0])) for one in dx], 1).astype(p[0].dtype)
+        for own, square, g in zip(p, self.square, (rows, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), inner, inner_bias)):
             square += g * g
-            own -= self.rate * g / np.sqrt(square)
+            g *= self.rate
+            g /= np.sqrt(square)
+            own -= g
         self.seen += n
 
 
@@ -212,8 +283,8 @@ def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray],
         def flush():
             if held:
                 ids, around = (np.concatenate(x) for x in zip(*held))
-                for a in range(0, len(ids), 512):
-                    trainer.step(ids[a : a + 512], around[a : a + 512])
+                for a in range(0, len(ids), STEP):
+                    trainer.step(ids[a : a + STEP], around[a : a + STEP])
                 held.clear()
 
         for batch in sliced(batches):
@@ -257,27 +328,33 @@ def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray],
     return [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes)]
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS):
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: int = GROUPS, slots: int = SLOTS, classes: int = CLASSES, rounds: int = ROUNDS):
     """(tokens, parameters) of the network trained on all documents."""
     counts = count_words(docs, text)
-    top = vocabulary(counts, words)
-    tokens = Tokens([w for w, _ in top], classes, counts=counts)
+    top = vocabulary(counts, groups * slots)
+    tokens = Tokens([w for w, _ in top], groups, slots, classes, counts=counts)
     tokens.totals = class_totals(counts, tokens)
-    p = initial(tokens.size)
-    if top:
-        # start from the frequencies of the words that are known one by one
-        n = np.array([c for _, c in top], np.float64)
-        p[4][: len(n)] = np.log(n / n.sum())
-        p[4][len(n) :] = np.log(n.min() / n.sum())
+    p = initial(groups, slots, classes, [n for _, n in top], tokens.totals)
     for turn in range(rounds):
         p = train(docs, key, text, tokens, p, turn, rounds)
     return tokens, p
 
 
+def word_digests(words) -> np.ndarray:
+    """64 bits of each word as a signed number, as xxhash64 of a column gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), U64, len(words)).view(np.int64)
+
+
+def text_digest(text: bytes | None) -> tuple[int, int]:
+    """128 bits of a text as two signed numbers."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(text or b""))
+
+
 def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
-    """(_rest, _logs): the summed log counts of the words that share classes, by digest of the text, in units of 1 / GRID.
+    """(_rest1, _rest2, _logs): the summed log counts of the words that share classes, by digest of the text, in units of 1 / GRID.
 
-    Words that occur once or never add nothing and need no row."""
+    Words that occur once or never add nothing and need no row. Words travel as 64-bit digests, which sort fast; of two
+    words with one digest the larger count would stand for both."""
     shipped = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def post(batches):
@@ -285,20 +362,25 @@ def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
 
         known = shipped.value.known
         for batch in sliced(batches):
-            rows: tuple[list, list, list] = ([], [], [])
+            firsts, seconds, words, times = [], [], [], []
             for t in set(blobs(batch, text)):
-                own = Counter(w for w in alnum_words(t) if w not in known)
+                own = Counter(alnum_words(t))
+                for w in own.keys() & known.keys():
+                    del own[w]
                 if own:
-                    rows[0].extend([xxhash.xxh3_128_digest(t)] * len(own))
-                    rows[1].extend(own)
-                    rows[2].extend(own.values())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64())], names=["_rest", "word", "times"])
-
-    posted = small_batches(docs).select(text).mapInArrow(post, "_rest binary, word binary, times long")
-    logs = tokens.counts.where("n > 1").select("word", F.round(F.log("n") * GRID).cast("long").alias("log"))
+                    a, b = text_digest(t)
+                    firsts.append(np.full(len(own), a))
+                    seconds.append(np.full(len(own), b))
+                    words.append(word_digests(own))
+                    times.extend(own.values())
+            keys = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (firsts, seconds)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(words) if words else np.empty(0, np.int64)), pa.array(times, pa.int32())], names=["_rest1", "_rest2", "word", "times"])
+
+    posted = small_batches(docs).select(text).mapInArrow(post, "_rest1 long, _rest2 long, word long, times int")
+    logs = tokens.counts.where("n > 1").groupBy(F.xxhash64("word").alias("word")).agg(F.round(F.log(F.max("n")) * GRID).cast("long").alias("log"))
     # the batches that a repeated text is in post it once each: one row a text and word counts
-    once = posted.join(logs, "word").groupBy("word", "_rest").agg(F.max(F.col("times") * F.col("log")).alias("logs"))
-    return cut(once.groupBy("_rest").agg(F.sum("logs").alias("_logs")))
+    once = posted.join(logs, "word").groupBy("word", "_rest1", "_rest2").agg(F.max(F.col("times") * F.col("log")).alias("logs"))
+    return cut(once.groupBy("_rest1", "_rest2").agg(F.sum("logs").alias("_logs")))
 
 
 def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
@@ -308,7 +390,7 @@ def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def make():
         tokens, p = shipped.value
-        shared = np.concatenate([np.zeros(len(tokens.known)), np.log(tokens.totals + 1.0)])
+        shared = np.concatenate([np.zeros(tokens.words), np.log(tokens.totals + 1.0)])
 
         def work(batch):
             raw = blobs(batch, text)
@@ -320,11 +402,12 @@ def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
                 flat = np.concatenate(ids)
                 lp = log_probabilities(p, flat, np.concatenate(around)) - shared[flat]
                 sums = np.bincount(np.repeat(np.arange(len(ids)), sizes), lp, len(ids))
-            return {"n_tokens": sizes, "pll": sums, "_rest": [xxhash.xxh3_128_digest(t or b"") for t in raw]}
+            first, second = zip(*map(text_digest, raw)) if raw else ((), ())
+            return {"n_tokens": sizes, "pll": sums, "_rest1": list(first), "_rest2": list(second)}
 
         return work
 
     rest = rest_of_documents(docs, tokens, text)
-    scored = append_columns(docs.drop("mean_pll"), "n_tokens bigint, pll double, _rest binary", make)
-    summed = scored.join(rest, "_rest", "left").withColumn("pll", F.col("pll") + F.coalesce("_logs", F.lit(0)) / F.lit(float(GRID)))
-    return summed.drop("_rest", "_logs").withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+    scored = append_columns(docs.drop("mean_pll"), "n_tokens bigint, pll double, _rest1 bigint, _rest2 bigint", make)
+    summed = scored.join(rest, ["_rest1", "_rest2"], "left").withColumn("pll", F.col("pll") + F.coalesce("_logs", F.lit(0)) / F.lit(float(GRID)))
+    return summed.drop("_rest1", "_rest2", "_logs").withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
