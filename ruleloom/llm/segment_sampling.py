@@ -43,7 +43,7 @@ STAND_IN = "\udfff"
 #: Cumulative probabilities are multiples of this, and draws lie halfway between them.
 GRID = 2.0**-28
 #: Edges that a task remembers, and characters that it takes at a time.
-MAX_EDGES, CHARS = 3_000_000, 2_000_000
+MAX_EDGES, CHARS = 2_000_000, 2_000_000
 
 
 class Pieces:
@@ -261,7 +261,8 @@ class Lattices:
         self.ready()
         first = self.nodes
         more = (cdf, np.where(last, -1, b + first), ids, logp, a + first, begin + len(self.arrays[0]))
-        self.arrays = [np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(self.arrays, more)]
+        for k, new in enumerate(more):  # one by one, so that no two copies of all are held
+            self.arrays[k] = np.concatenate([self.arrays[k], new.astype(self.arrays[k].dtype)])
         self.nodes += n
         self.base.update(zip(itertools.compress(us, simple.tolist()), (first + np.cumsum(sizes) - sizes).tolist()))
 
