@@ -10,7 +10,8 @@ classes of `SLOTS` words; all others share `CLASSES` hash classes. The network p
 a class of frequent words; which word of a hash class it is has the probability c / (n + 1), from the counts c of the word
 and n of its class, and words that the corpus lacks share one count. These counts are a distributed table of all words,
 joined when documents are scored, so every token pays for its own word whatever the size of the vocabulary, and the
-probabilities of all words sum to one. The network starts as the model that knows counts alone and is trained in numpy on
+probabilities of all words sum to one. The counts of the commonest words, at most `HEAD`, are sent to every task, which spares
+these words the join and changes no score. The network starts as the model that knows counts alone and is trained in numpy on
 the whole corpus, data-parallel: in each round every task trains the shared parameters on its documents, and the
 parameters are averaged, weighted by tokens and slice by slice on the executors, so the driver sees one model whatever the
 size of the corpus (its few megabytes are averaged by as many tasks as it has slices). A hash of row key and position
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from itertools import filterfalse
 
 import numpy as np
 import xxhash
@@ -43,6 +45,8 @@ ROUNDS, RATE = 2, 0.1
 STEP, CHUNK = 2048, 2048
 #: Words that a task counts before it posts them.
 HELD_WORDS = 150_000
+#: Words whose counts every task gets, so that they need no join. The counts of all other words are joined.
+HEAD = 100_000
 #: The logit of a place without a word.
 NEVER = -1e4
 
@@ -126,7 +130,9 @@ class Tokens(dict):
         return i
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words = alnum_words(text)
+        return self.of(alnum_words(text))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
@@ -152,15 +158,16 @@ def initial(groups: int, slots: int, classes: int, words=(), totals=(), seed: in
     ]
 
 
-def contexts(ids: np.ndarray, pad: int) -> np.ndarray:
-    """The neighbours of every token, from the far left to the far right."""
+def contexts(ids: np.ndarray, pad: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The neighbours of every token, or of those at the given places, from the far left to the far right."""
     wide = np.concatenate([np.full(SIDE, pad, np.int32), ids, np.full(SIDE, pad, np.int32)])
-    return np.stack([wide[o : o + len(ids)] for o in range(2 * SIDE + 1) if o != SIDE], 1)
+    sides = [o for o in range(2 * SIDE + 1) if o != SIDE]
+    return np.stack([wide[o : o + len(ids)] if at is None else wide[at + o] for o in sides], 1)
 
 
 def forward(p: list[np.ndarray], around: np.ndarray, bounded: bool = False):
     """(inputs, hidden layer, class logits)."""
-    x = p[0][around].reshape(len(around), -1)
+    x = p[0].take(around.ravel(), 0).reshape(len(around), -1)
     h = np.tanh(x @ p[1] + p[2])
     return x, h, logits(h, p[3], p[4], bounded)
 
@@ -292,7 +299,7 @@ def train(docs: DataFrame, key: str, text: str, tokens, start: list[np.ndarray],
                 ids = token(t)
                 if len(ids):
                     at = masked(len(ids), xxhash.xxh64_intdigest(f"{0 if d is None else d}"), turn, rounds)
-                    held.append((ids[at], contexts(ids, token.size)[at]))
+                    held.append((ids[at], contexts(ids, token.size, at)))
                     size += len(at)
             if size > 8192:
                 flush()
@@ -345,28 +352,57 @@ def word_digests(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), U64, len(words)).view(np.int64)
 
 
+def log_counts():
+    """The column of the logarithms of the counts, in units of 1 / GRID."""
+    return F.round(F.log("n") * GRID).cast("long")
+
+
+def head(counts: DataFrame) -> tuple[int, list[bytes], np.ndarray]:
+    """(least, words, logs): all words that occur at least `least` times, at most HEAD, and the logarithms of their counts.
+
+    Counts that fall to the same eighth of a doubling are taken or left together; a word that occurs once has no share."""
+    by_size = counts.where("n > 1").groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, taken = None, 0
+    for r in sorted(by_size.collect(), key=lambda r: -r["size"]):
+        taken += r.words
+        if taken > HEAD:
+            break
+        least = r.least
+    if least is None:
+        return (1 << 63) - 1, [], np.empty(0, np.int64)
+    got = counts.where(F.col("n") >= least).select("word", log_counts().alias("log")).toArrow()
+    return least, got["word"].to_pylist(), got["log"].to_numpy()
+
+
+def numbered(tokens: Tokens, words: list[bytes]) -> Tokens:
+    """The same numbers, but words of the head that share classes have their own: from tokens.size + 1 on, by place in the head."""
+    out = Tokens(list(tokens.known), tokens.groups, tokens.slots, tokens.classes, tokens.totals)
+    out.known = {w: tokens.size + 1 + i for i, w in enumerate(words)} | out.known
+    out.update(out.known)
+    return out
+
+
 def text_digest(text: bytes | None) -> tuple[int, int]:
     """128 bits of a text as two signed numbers."""
     return struct.unpack("<qq", xxhash.xxh3_128_digest(text or b""))
 
 
-def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
-    """(_rest1, _rest2, _logs): the summed log counts of the words that share classes, by digest of the text, in units of 1 / GRID.
+def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str, least: int, shipped) -> DataFrame:
+    """(_rest1, _rest2, _logs): the summed log counts of the words that share classes and aren't in the head, by digest of the
+    text, in units of 1 / GRID. least and shipped: the least count of the head's words, and the broadcast that has them second.
 
     Words that occur once or never add nothing and need no row. Words travel as 64-bit digests, which sort fast; of two
     words with one digest the larger count would stand for both."""
-    shipped = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def post(batches):
         import pyarrow as pa
 
-        known = shipped.value.known
+        (frequent, _), common, _ = shipped.value
+        known = frequent.known.keys() | set(common)
         for batch in sliced(batches):
             firsts, seconds, words, times = [], [], [], []
             for t in set(blobs(batch, text)):
-                own = Counter(alnum_words(t))
-                for w in own.keys() & known.keys():
-                    del own[w]
+                own = Counter(filterfalse(known.__contains__, alnum_words(t)))
                 if own:
                     a, b = text_digest(t)
                     firsts.append(np.full(len(own), a))
@@ -377,7 +413,8 @@ def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate(words) if words else np.empty(0, np.int64)), pa.array(times, pa.int32())], names=["_rest1", "_rest2", "word", "times"])
 
     posted = small_batches(docs).select(text).mapInArrow(post, "_rest1 long, _rest2 long, word long, times int")
-    logs = tokens.counts.where("n > 1").groupBy(F.xxhash64("word").alias("word")).agg(F.round(F.log(F.max("n")) * GRID).cast("long").alias("log"))
+    others = tokens.counts.where((F.col("n") > 1) & (F.col("n") < least))
+    logs = others.groupBy(F.xxhash64("word").alias("word")).agg(F.max("n").alias("n")).select("word", log_counts().alias("log"))
     # the batches that a repeated text is in post it once each: one row a text and word counts
     once = posted.join(logs, "word").groupBy("word", "_rest1", "_rest2").agg(F.max(F.col("times") * F.col("log")).alias("logs"))
     return cut(once.groupBy("_rest1", "_rest2").agg(F.sum("logs").alias("_logs")))
@@ -386,28 +423,36 @@ def rest_of_documents(docs: DataFrame, tokens: Tokens, text: str) -> DataFrame:
 def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """Append n_tokens, pll (summed conditional log probabilities) and mean_pll (null without tokens)."""
     tokens, _ = model
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    least, common, logs = head(tokens.counts)
+    shipped = docs.sparkSession.sparkContext.broadcast((model, common, logs))
 
     def make():
-        tokens, p = shipped.value
+        (tokens, p), common, logs = shipped.value
         shared = np.concatenate([np.zeros(tokens.words), np.log(tokens.totals + 1.0)])
+        number = numbered(tokens, common)
+        plain = np.concatenate([np.arange(tokens.size + 1, dtype=np.int32), tokens.of(common)])
+        own_logs = np.concatenate([np.zeros(tokens.size + 1, np.int64), logs])
 
         def work(batch):
             raw = blobs(batch, text)
-            ids = [tokens(t) for t in raw]
+            numbers = [number(t) for t in raw]
+            ids = [plain[x] for x in numbers]
             sizes = np.array([len(x) for x in ids], np.int64)
             around = [contexts(x, tokens.size) for x in ids if len(x)]
-            sums = np.zeros(len(ids))
+            sums, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
             if around:
                 flat = np.concatenate(ids)
+                ends = np.cumsum(sizes)
+                reached = np.append(0, np.cumsum(own_logs[np.concatenate(numbers)]))
+                known = reached[ends] - reached[ends - sizes]
                 lp = log_probabilities(p, flat, np.concatenate(around)) - shared[flat]
                 sums = np.bincount(np.repeat(np.arange(len(ids)), sizes), lp, len(ids))
             first, second = zip(*map(text_digest, raw)) if raw else ((), ())
-            return {"n_tokens": sizes, "pll": sums, "_rest1": list(first), "_rest2": list(second)}
+            return {"n_tokens": sizes, "pll": sums, "_known": known, "_rest1": list(first), "_rest2": list(second)}
 
         return work
 
-    rest = rest_of_documents(docs, tokens, text)
-    scored = append_columns(docs.drop("mean_pll"), "n_tokens bigint, pll double, _rest1 bigint, _rest2 bigint", make)
-    summed = scored.join(rest, ["_rest1", "_rest2"], "left").withColumn("pll", F.col("pll") + F.coalesce("_logs", F.lit(0)) / F.lit(float(GRID)))
-    return summed.drop("_rest1", "_rest2", "_logs").withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+    rest = rest_of_documents(docs, tokens, text, least, shipped)
+    scored = append_columns(docs.drop("mean_pll"), "n_tokens bigint, pll double, _known bigint, _rest1 bigint, _rest2 bigint", make)
+    summed = scored.join(rest, ["_rest1", "_rest2"], "left").withColumn("pll", F.col("pll") + (F.col("_known") + F.coalesce("_logs", F.lit(0))) / F.lit(float(GRID)))
+    return summed.drop("_known", "_rest1", "_rest2", "_logs").withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -686,6 +686,29 @@ def test_masked_lm_tells_the_words_of_a_class_apart(spark):
     assert words == pytest.approx(1, abs=1e-5)
 
 
+def test_masked_lm_joins_only_words_beyond_the_head(spark, monkeypatch):
+    """Whatever the size of the head, from no words to all, documents score the same, and words of the head aren't joined."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(0, 80))) + f" once{i}") for i in range(60)]
+    docs += [(100, docs[3][1]), (101, None), (102, "w1 never w59 w59")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = masked_lm.fit(df, groups=2, slots=4, classes=2)
+    tokens = model[0]
+    count = {bytes(r.word): r.n for r in tokens.counts.collect()}
+    found, joined = [], []
+    for most in (0, 20, masked_lm.HEAD):
+        monkeypatch.setattr(masked_lm, "HEAD", most)
+        least, common, logs = masked_lm.head(tokens.counts)
+        assert set(common) == {w for w, n in count.items() if n >= max(least, 2)} and len(common) <= most
+        assert np.array_equal(logs, np.round(np.log([float(count[w]) for w in common]) * masked_lm.GRID).astype(np.int64))
+        shipped = spark.sparkContext.broadcast((model, common, logs))
+        joined.append(masked_lm.rest_of_documents(df, tokens, "text", least, shipped).agg({"_logs": "sum"}).first()[0] or 0)
+        found.append(sorted(map(tuple, masked_lm.score_documents(df, model).drop("text").collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(docs)
+    assert joined[0] > joined[1] > joined[2] == 0
+
+
 def test_masked_lm_gradients():
     rng = np.random.default_rng(0)
     p = [x.astype(np.float64) for x in masked_lm.initial(2, 3, 2, [5, 4, 3, 2, 1], [4, 0])]
