@@ -165,22 +165,36 @@ def contexts(ids: np.ndarray, pad: int, at: np.ndarray | None = None) -> np.ndar
     return np.stack([wide[o : o + len(ids)] if at is None else wide[at + o] for o in sides], 1)
 
 
-def forward(p: list[np.ndarray], around: np.ndarray, bounded: bool = False):
-    """(inputs, hidden layer, class logits)."""
+def heads(p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes, and of the words by group, each with its bias as the last row."""
+    return tuple(np.concatenate([weights, bias[..., None, :]], -2) for weights, bias in ((p[3], p[4]), (p[5], p[6])))
+
+
+def forward(p: list[np.ndarray], around: np.ndarray):
+    """(inputs, hidden layer with a last column of ones)."""
     x = p[0].take(around.ravel(), 0).reshape(len(around), -1)
-    h = np.tanh(x @ p[1] + p[2])
-    return x, h, logits(h, p[3], p[4], bounded)
+    h = np.ones((len(around), len(p[2]) + 1), x.dtype)
+    z = x @ p[1]
+    z += p[2]
+    np.tanh(z, out=h[:, :-1])
+    return x, h
 
 
-def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool) -> np.ndarray:
-    """Less their maximum, unless exp of them is known to stay in range."""
-    z = h @ weights
-    z += bias
+def lowered(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """Logits less their maximum, unless exp of them is known to stay in range."""
     if not bounded:
         z -= z.max(1, keepdims=True)
     return z
 
 
+def word_logits(h: np.ndarray, inner: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """The logits within the own group of all rows that have one; by_group puts these rows first."""
+    z = np.empty((parts[-1][2] if parts else 0, inner.shape[-1]), h.dtype)
+    for k, a, b in parts:
+        np.matmul(h[a:b], inner[k], out=z[a:b])
+    return z
+
+
 def is_bounded(p: list[np.ndarray]) -> bool:
     """Whether no logit is large and every softmax has one that isn't low: the hidden layer lies within -1 and 1."""
     for weights, bias in ((p[3], p[4]), (p[5], p[6])):
@@ -207,21 +221,34 @@ def by_group(p: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, list[tup
 def log_probabilities(p: list[np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids))
     bounded = is_bounded(p)
-    ones, inner_ones = np.ones(p[4].shape[-1], p[4].dtype), np.ones(p[6].shape[-1], p[6].dtype)
+    outer, inner = heads(p)
+    groups = len(inner)
+    ones, inner_ones = np.ones(outer.shape[-1], outer.dtype), np.ones(inner.shape[-1], inner.dtype)
     for a in range(0, len(ids), CHUNK):
         order, parts = by_group(p, ids[a : a + CHUNK])
         own = ids[a : a + CHUNK][order]
-        _, h, z = forward(p, around[a : a + CHUNK][order], bounded)
+        h = forward(p, around[a : a + CHUNK][order])[1]
+        z = lowered(h @ outer, bounded)
         lp = z[np.arange(len(own)), class_of(p, own)].astype(np.float64)
         lp -= np.log((np.exp(z, out=z) @ ones).astype(np.float64))
-        for k, x, y in parts:
-            inner = logits(h[x:y], p[5][k], p[6][k], bounded)
-            lp[x:y] += inner[np.arange(y - x), own[x:y] // len(p[5])]
-            lp[x:y] -= np.log((np.exp(inner, out=inner) @ inner_ones).astype(np.float64))
+        z = lowered(word_logits(h, inner, parts), bounded)
+        lp[: len(z)] += z[np.arange(len(z)), own[: len(z)] // groups]
+        lp[: len(z)] -= np.log((np.exp(z, out=z) @ inner_ones).astype(np.float64))
         out[a + order] = lp
     return out
 
 
+def summed_rows(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Row i is the sum of the values whose place is i."""
+    at = at.astype(np.min_scalar_type(size))  # short numbers sort by radix
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[at[starts]] = np.add.reduceat(values.take(order, 0), starts, axis=0)
+    return out
+
+
 class Trainer:
     """Adagrad steps on masked positions; returns the parameters and the number of positions seen."""
 
@@ -240,24 +267,30 @@ class Trainer:
         self.steps += 1
         order, parts = by_group(p, ids)
         ids, around = ids[order], around[order]
-        x, h, z = forward(p, around, self.bounded)
-        np.exp(z, out=z)
-        z *= (np.float32(1 / n) / (z @ self.ones))[:, None]
-        z[np.arange(n), class_of(p, ids)] -= 1 / n
+        outer, inner = heads(p)
+        # the gradient at the logits is z times share, row by row; the share is multiplied where rows are short
+        x, h = forward(p, around)
+        z = lowered(h @ outer, self.bounded)
+        total = np.exp(z, out=z) @ self.ones
+        z[np.arange(n), class_of(p, ids)] -= total
+        share = (1 / (n * total))[:, None]
         dh = z @ p[3].T
-        inner, inner_bias = np.zeros_like(p[5]), np.zeros_like(p[6])
+        dh *= share
+        d_outer, d_inner = (h * share).T @ z, np.zeros_like(inner)
+        z = lowered(word_logits(h, inner, parts), self.bounded)
+        total = np.exp(z, out=z) @ self.inner_ones
+        z[np.arange(len(z)), ids[: len(z)] // len(inner)] -= total
+        share = (1 / (n * total))[:, None]
+        scaled, back = h[: len(z)] * share, np.empty((len(z), len(p[2])), z.dtype)
         for k, a, b in parts:
-            y = logits(h[a:b], p[5][k], p[6][k], self.bounded)
-            np.exp(y, out=y)
-            y *= (np.float32(1 / n) / (y @ self.inner_ones))[:, None]
-            y[np.arange(b - a), ids[a:b] // len(p[5])] -= 1 / n
-            dh[a:b] += y @ p[5][k].T
-            inner[k], inner_bias[k] = h[a:b].T @ y, y.sum(0)
+            np.matmul(z[a:b], p[5][k].T, out=back[a:b])
+            np.matmul(scaled[a:b].T, z[a:b], out=d_inner[k])
+        back *= share
+        dh[: len(z)] += back
+        h = h[:, :-1]
         dh *= 1 - h * h
-        dx = np.ascontiguousarray((dh @ p[1].T).reshape(-1, DIM).T)
-        flat = around.ravel()
-        rows = np.stack([np.bincount(flat, one, len(p[0])) for one in dx], 1).astype(p[0].dtype)
-        for own, square, g in zip(p, self.square, (rows, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), inner, inner_bias)):
+        rows = summed_rows(around.ravel(), (dh @ p[1].T).reshape(-1, DIM), len(p[0]))
+        for own, square, g in zip(p, self.square, (rows, x.T @ dh, np.ones(n, dh.dtype) @ dh, d_outer[:-1], d_outer[-1], d_inner[:, :-1], d_inner[:, -1])):
             square += g * g
             g *= self.rate
             g /= np.sqrt(square)

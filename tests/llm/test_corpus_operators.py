@@ -729,6 +729,32 @@ def test_masked_lm_gradients():
     assert all((b <= s).all() for b, s in zip(before, trainer.square))
 
 
+def test_masked_lm_steps_in_and_out_of_bounds():
+    """Probabilities and gradients are the plain softmax's whether or not the logits' maximum is taken off, also where no word has a group."""
+    rng = np.random.default_rng(2)
+    at, values = rng.integers(0, 300, 1000), rng.normal(size=(1000, 3))
+    want = np.zeros((301, 3))
+    np.add.at(want, at, values)
+    assert np.allclose(masked_lm.summed_rows(at, values, 301), want)
+    log_share = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    for scale, only in ((1, None), (300, None), (1, 7), (300, 7)):
+        p = [x.astype(np.float64) for x in masked_lm.initial(2, 3, 2, [6, 5, 4, 3, 2, 1], [4, 9])]
+        p[3] *= 100 * scale
+        p[5] *= 100 * scale
+        assert masked_lm.is_bounded(p) == (scale == 1)
+        ids, around = rng.integers(0, 8, 50) if only is None else np.full(50, only), rng.integers(0, 9, (50, 4))
+        got = masked_lm.log_probabilities(p, ids, around)
+        for i, row, lp in zip(ids, around, got):
+            h = np.tanh(p[0][row].reshape(-1) @ p[1] + p[2])
+            k = i % 2 if i < 6 else i - 4
+            plain = log_share(h @ p[3] + p[4])[k] + (log_share(h @ p[5][k] + p[6][k])[i // 2] if i < 6 else 0)
+            assert lp == pytest.approx(plain, rel=1e-9, abs=1e-9)
+        trainer = masked_lm.Trainer(p, 1e-3)
+        for _ in range(20):
+            trainer.step(ids, around)
+        assert masked_lm.log_probabilities(trainer.p, ids, around).mean() > got.mean()
+
+
 def test_pipeline_runs_on_edges(spark, tmp_path):
     import corpus_pipeline as C
 
