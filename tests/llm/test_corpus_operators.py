@@ -70,6 +70,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 40])
+def test_components_in_rounds(spark, bound):
+    """More links than one task takes are connected in rounds, with or without a last task."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1100 - i, 1099 - i) for i in range(60)] + [(2000, 2000 + i) for i in range(30)] + [(2000 + i, 2000) for i in range(30)]
+    want = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(5), task_links=bound).collect()
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert {want[x] for x in range(1040, 1101)} == {1040} and {want[x] for x in range(2000, 2030)} == {2000}
+    assert components(spark.createDataFrame([], "a long, b long"), task_links=bound).count() == 0
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Every task of a round leaves files, so rounds over few links filled the disk where partitions are many."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few links", "")
+    try:
+        rows = components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long").repartition(5)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    assert {(r.node, r.component) for r in rows} == {(i, 0) for i in range(65)}
+    assert sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s)) <= 40
+
+
 @pytest.mark.parametrize("group", [256, 5])
 def test_jaccard_join(spark, frame, corpus, group):
     want = brute.jaccard_components(corpus)
